@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sqloracle import pages as pg
 from sqloracle import search as s
 
 
@@ -17,4 +18,11 @@ def oracle_statements() -> dict[str, str]:
         "bm25_capped": s.bm25_documents_sql(s.BENCHMARK_QUERIES, 50, 20),
         "bm25_uncapped": s.bm25_documents_sql(s.BENCHMARK_QUERIES, None, 20),
         "bm25_conversations": s.bm25_documents_sql(s.CONVERSATION_QUERIES, 5000, 10),
+        "page_fields": pg.page_fields_sql(),
+        "page_links": pg.page_links_sql(),
+        "url_norm": pg.url_norm_sql(),
+        "page_documents": pg.page_documents_sql(),
+        "page_postings": pg.page_postings_sql(),
+        "page_search": pg.page_search_sql(),
+        "source_counts": pg.source_counts_sql(),
     }

@@ -34,8 +34,7 @@ def query_word_ctes(src_sql: str, prefix: str = "q") -> str:
 
 
 def bm25_tail(post: str, dlen: str, qterms: str, cap: int | None, limit: int) -> str:
-    """CTEs from postings/doc lengths/query terms to the final SELECT of (query_id, rank, doc_id, score,
-    total_hits)."""
+    """CTEs from postings/doc lengths/query terms to bm25res(query_id, rank, doc_id, score, total_hits)."""
     capped = (
         f"""capped AS (SELECT term, doc_id, tf_body, tf_title FROM (
              SELECT *, row_number() OVER (PARTITION BY term ORDER BY tf_body + tf_title DESC, doc_id) AS rn
@@ -62,9 +61,10 @@ sc AS (SELECT query_id, doc_id, sum(idf * ((tf * 2.5) / (tf + 1.5 * (0.25 + 0.75
        FROM tsr WHERE tf > 0 GROUP BY query_id, doc_id),
 tot AS (SELECT query_id, count(*) AS total_hits FROM sc GROUP BY query_id),
 rk AS (SELECT query_id, doc_id, score,
-              row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rnk FROM sc)
-SELECT rk.query_id, CAST(rk.rnk AS INTEGER) AS rank, rk.doc_id, round(rk.score, 3) AS score, tot.total_hits
-FROM rk JOIN tot ON rk.query_id = tot.query_id WHERE rk.rnk <= {limit}"""
+              row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rnk FROM sc),
+bm25res AS (SELECT rk.query_id, CAST(rk.rnk AS INTEGER) AS rank, rk.doc_id, round(rk.score, 3) AS score,
+                   tot.total_hits
+            FROM rk JOIN tot ON rk.query_id = tot.query_id WHERE rk.rnk <= {limit})"""
 
 
 def postings_sql() -> str:
@@ -105,7 +105,8 @@ def bm25_documents_sql(src_sql: str, cap: int | None, limit: int) -> str:
     return f"""WITH {query_word_ctes(src_sql)},
 {documents_index_ctes(extra_vocab='qsel')},
 qterms AS (SELECT DISTINCT query_id, term FROM qsel JOIN stems ON qsel.word = stems.word),
-{bm25_tail('post', 'dlen', 'qterms', cap, limit)}"""
+{bm25_tail('post', 'dlen', 'qterms', cap, limit)}
+SELECT * FROM bm25res"""
 
 
 __all__ = ["STOP_SQL", "postings_sql", "doc_lengths_sql", "corpus_stats_sql", "doc_freq_sql", "stem_vocab_sql",

@@ -38,6 +38,7 @@ META_OG_RE = r"""(?is)(<meta\b[^>]*\bproperty\s*=\s*["']?og:description["']?[\s/
 CONTENT_DQ_RE = r"""(?is)\bcontent\s*=\s*"([^"]*)\""""
 CONTENT_SQ_RE = r"""(?is)\bcontent\s*=\s*'([^']*)'"""
 LINK_RE = r"""(?is)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+QUOTES_RE = r"""^["']|["']$"""
 
 
 def element_pattern(tag: str) -> str:
@@ -78,7 +79,7 @@ def _content_attr(tag: Column) -> Column:
 def extract_links(src: Column, limit: int = MAX_LINKS_PER_PAGE) -> Column:
     """P5 + W3: non-empty href values of <a> tags, document order, first ``limit``, before de-duplication."""
     raw = F.regexp_extract_all(src, F.lit(LINK_RE), 1)
-    unq = F.transform(raw, lambda v: decode_entities(F.regexp_replace(v, r"""^["']|["']$""", "")))
+    unq = F.transform(raw, lambda v: decode_entities(F.regexp_replace(v, QUOTES_RE, "")))
     return F.slice(F.filter(unq, lambda v: F.length(v) > 0), 1, limit)
 
 

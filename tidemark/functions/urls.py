@@ -26,6 +26,8 @@ SPECIAL_REST_RE = r"^[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 REL_RE = r"^([^?#]*)(\?[^#]*)?(#.*)?$"
 # characters of a path that a browser percent-encodes: controls, blank, " < > ` { } and non-ASCII
 PATH_ENCODE_RE = r'[^\x21-\x7e]|["<>`{}]'
+# characters that make a host invalid
+HOST_FORBIDDEN_RE = r"[\s#%/:<>?@\[\\\]^|]"
 
 
 def _g(c: Column, pattern: str, idx: int) -> Column:
@@ -154,8 +156,9 @@ def add_normalized_url(df: DataFrame, href: str, base: str | None, out: str) ->
     valid = (
         F.col("_scheme").isin("http", "https")
         & (F.length(host) > 0)
-        & ((F.length(port) == 0) | port_num.isNotNull())
-        & ~host.rlike(r"[\s#%/:<>?@\[\\\]^|]")
+        & ((F.length(port) == 0) | (port_num.isNotNull() & (F.length(port_num) <= 5)
+                                    & (port_num.try_cast("int") <= 65535)))
+        & ~host.rlike(HOST_FORBIDDEN_RE)
     )
     p = F.col("_path")
     p_abs = F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))

@@ -18,7 +18,7 @@ from tidemark.functions.html import add_page_fields
 from tidemark.functions.text import body_hash
 from tidemark.functions.urls import add_normalized_url, get_domain
 from tidemark.operators.index import Index, build_index, skip_predicate
-from tidemark.operators.util import spread
+from tidemark.operators.util import materialize, spread
 
 
 def extract_pages(pages: DataFrame, links_before_removal: bool = False) -> DataFrame:
@@ -60,7 +60,10 @@ def settle_versions(extracted: DataFrame) -> DataFrame:
 
 
 def page_corpus(pages: DataFrame) -> DataFrame:
-    return settle_versions(extract_pages(pages))
+    """Extracted pages are materialised once (checkpoint): settling reads them several times, and the
+    extraction (regexes over raw html) must not be planned or run once per reference."""
+    extracted = materialize(extract_pages(pages).drop("links"))
+    return settle_versions(extracted)
 
 
 def index_pages(pages: DataFrame) -> Index:

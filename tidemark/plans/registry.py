@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.urls import add_normalized_url, classify_source
 from tidemark.operators import index as ix
 from tidemark.operators import rank
+from tidemark.plans import pages as pg
 from tidemark.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +66,47 @@ def _bm25(cap, limit, queries=benchmark_queries) -> Query:
     return run
 
 
+def _pages(spark, sf_dir):
+    return read_table(spark, sf_dir, "pages")
+
+
+def q_page_fields(spark, sf_dir):
+    ex = pg.extract_pages(_pages(spark, sf_dir))
+    return ex.select("page_id", "url", "domain", "title", "snippet", "body_text",
+                     F.size("links").alias("n_links"))
+
+
+def q_page_links(spark, sf_dir):
+    """Links with the K7 option (read before element removal), resolved against the page's url."""
+    ex = pg.extract_pages(_pages(spark, sf_dir), links_before_removal=True)
+    links = ex.select("page_id", F.col("url").alias("base"), F.posexplode("links").alias("pos", "href"))
+    return add_normalized_url(links, "href", "base", "link_url").select(
+        "page_id", F.col("pos").cast("int").alias("pos"), "href", "link_url")
+
+
+def q_url_norm(spark, sf_dir):
+    ex = pg.extract_pages(_pages(spark, sf_dir))
+    return ex.select("page_id", "raw_url", "url", "domain", classify_source(F.col("url")).alias("source"))
+
+
+def q_page_documents(spark, sf_dir):
+    return pg.index_pages(_pages(spark, sf_dir)).documents
+
+
+def q_page_postings(spark, sf_dir):
+    return pg.index_pages(_pages(spark, sf_dir)).postings.select("term", "doc_id", "tf_body", "tf_title")
+
+
+def q_page_search(spark, sf_dir):
+    idx = pg.index_pages(_pages(spark, sf_dir))
+    res = rank.bm25_search(idx, benchmark_queries(spark, sf_dir), limit=20)
+    return rank.with_document_fields(res, idx.documents)
+
+
+def q_source_counts(spark, sf_dir):
+    return rank.tab_counts(q_page_search(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "postings": q_postings,
     "doc_lengths": q_doc_lengths,
@@ -75,4 +118,11 @@ QUERIES: dict[str, Query] = {
     "bm25_capped": _bm25(50, 20),
     "bm25_uncapped": _bm25(None, 20),
     "bm25_conversations": _bm25(rank.MAX_POSTINGS_PER_TERM, 10, conversation_queries),
+    "page_fields": q_page_fields,
+    "page_links": q_page_links,
+    "url_norm": q_url_norm,
+    "page_documents": q_page_documents,
+    "page_postings": q_page_postings,
+    "page_search": q_page_search,
+    "source_counts": q_source_counts,
 }
