@@ -133,6 +133,21 @@ def _links(src: str) -> str:
     return f"list_slice(list_filter({unq}, lambda v: length(v) > 0), 1, {H.MAX_LINKS_PER_PAGE})"
 
 
+_NAMES = ["pg0", "pg1", "pg2", "pg3", "ex", "kept", "lst", "brk", "stt", "pc", "pbw", "pbk", "ptw", "ptk", "pxk",
+          "plen", "pdocs", "pvocab", "pstems", "ppost"]
+
+
+def prefixed(sql: str, px: str, src: str = "pages") -> str:
+    """Rename the page CTEs with prefix ``px`` and read ``src`` instead of the pages view."""
+    import re
+
+    if not px and src == "pages":
+        return sql
+    names = sorted(_NAMES, key=len, reverse=True)
+    sql = re.sub(r"\b(" + "|".join(names) + r")(_u[a-i]|_s[0-9]+)?\b", lambda m: px + m.group(0), sql)
+    return re.sub(r"\bFROM pages\)", f"FROM {src})", sql)
+
+
 def extraction_ctes(links_before_removal: bool = False) -> str:
     """CTEs: ex(page_id, raw_url, url, domain, title, snippet, body_text, links)."""
     body_src = (f"CASE WHEN regexp_matches(clean, '(?i)<body\\b') THEN regexp_extract(clean, {q(H.BODY_RE)}, 1) "
@@ -236,3 +251,63 @@ SELECT query_id, count(*) AS "all", count(*) FILTER (WHERE source IN ('archive',
        count(*) FILTER (WHERE source = 'google') AS google, count(*) FILTER (WHERE source = 'wikipedia') AS wikipedia,
        count(*) FILTER (WHERE source = 'youtube') AS youtube, count(*) FILTER (WHERE source = 'instagram') AS instagram
 FROM hits GROUP BY query_id"""
+
+
+def _reindex_ctes() -> str:
+    from tidemark.plans import maintenance as M
+
+    first = "(SELECT * FROM pages WHERE page_id % 10 <> 3)"
+    second = (f"(SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN replace(html, '</article>', {q(M.REVISION)}) "
+              f"ELSE html END AS html FROM pages)")
+    body = extraction_ctes() + ",\n" + settle_ctes() + ",\n" + page_index_ctes()
+    t1, t2 = f"TIMESTAMP '{M.FIRST_CRAWL_AT}'", f"TIMESTAMP '{M.SECOND_CRAWL_AT}'"
+    return f"""WITH {prefixed(body, 'a_', first)},
+{prefixed(body, 'b_', second)},
+rj AS (SELECT b.doc_id AS new_id, b.url, b.domain, b.title, b.snippet, b.body_length, b.content_hash,
+              a.doc_id AS old_id, a.content_hash AS old_hash, a.body_length AS old_len, a.title AS old_title,
+              a.snippet AS old_snippet
+       FROM b_pdocs b LEFT JOIN a_pdocs a ON b.url = a.url),
+rm AS (SELECT *, CASE WHEN old_id IS NULL THEN 'inserted' WHEN content_hash = old_hash THEN 'unchanged'
+                      ELSE 'updated' END AS mode, coalesce(old_id, new_id) AS doc_id FROM rj),
+modes AS (SELECT url, doc_id, mode, CAST(CASE mode WHEN 'inserted' THEN body_length
+                                              WHEN 'updated' THEN body_length - old_len ELSE 0 END AS BIGINT)
+                 AS length_delta FROM rm
+          UNION ALL
+          SELECT coalesce(url, raw_url) AS url, CAST(NULL AS BIGINT) AS doc_id, 'skipped' AS mode,
+                 CAST(0 AS BIGINT) AS length_delta
+          FROM b_ex WHERE NOT (url IS NOT NULL AND length(url) > 0 AND body_text IS NOT NULL AND length(body_text) > 0)),
+touched AS (SELECT doc_id, url, domain,
+                   CASE WHEN mode = 'unchanged' THEN old_title ELSE title END AS title,
+                   CASE WHEN mode = 'unchanged' THEN old_snippet ELSE snippet END AS snippet,
+                   CASE WHEN mode = 'unchanged' THEN old_len ELSE body_length END AS body_length,
+                   CASE WHEN mode = 'unchanged' THEN old_hash ELSE content_hash END AS content_hash,
+                   {t2} AS crawled_at, CASE WHEN mode = 'unchanged' THEN {t1} ELSE {t2} END AS updated_at FROM rm),
+docs2 AS (SELECT doc_id, url, domain, title, snippet, body_length, content_hash, {t1} AS crawled_at,
+                 {t1} AS updated_at FROM a_pdocs WHERE url NOT IN (SELECT url FROM touched)
+          UNION ALL SELECT doc_id, url, domain, title, snippet, body_length, content_hash, crawled_at, updated_at
+          FROM touched),
+changed AS (SELECT doc_id, url FROM rm WHERE mode <> 'unchanged'),
+post2 AS (SELECT term, doc_id, tf_body, tf_title FROM a_ppost WHERE doc_id NOT IN (SELECT doc_id FROM changed)
+          UNION ALL
+          SELECT p.term, c.doc_id, p.tf_body, p.tf_title FROM b_ppost p JOIN b_pdocs bd ON p.doc_id = bd.doc_id
+          JOIN changed c ON bd.url = c.url),
+st1 AS (SELECT count(*) AS n, coalesce(sum(body_length), 0) AS total FROM a_pdocs),
+dlt AS (SELECT count(*) FILTER (WHERE mode = 'inserted') AS dd, coalesce(sum(length_delta), 0) AS dl FROM modes)"""
+
+
+def reindex_modes_sql() -> str:
+    return _reindex_ctes() + "\nSELECT url, doc_id, mode, length_delta FROM modes"
+
+
+def reindex_documents_sql() -> str:
+    return _reindex_ctes() + "\nSELECT * FROM docs2"
+
+
+def reindex_postings_sql() -> str:
+    return _reindex_ctes() + "\nSELECT term, doc_id, tf_body, tf_title FROM post2"
+
+
+def reindex_stats_sql() -> str:
+    return _reindex_ctes() + """
+SELECT n + dd AS doc_count, CAST(total + dl AS BIGINT) AS total_length,
+       CASE WHEN n + dd > 0 THEN (total + dl) / (n + dd) ELSE 0.0 END AS avg_length FROM st1, dlt"""

@@ -25,4 +25,8 @@ def oracle_statements() -> dict[str, str]:
         "page_postings": pg.page_postings_sql(),
         "page_search": pg.page_search_sql(),
         "source_counts": pg.source_counts_sql(),
+        "reindex_modes": pg.reindex_modes_sql(),
+        "reindex_documents": pg.reindex_documents_sql(),
+        "reindex_postings": pg.reindex_postings_sql(),
+        "reindex_stats": pg.reindex_stats_sql(),
     }

@@ -107,6 +107,28 @@ def q_source_counts(spark, sf_dir):
     return rank.tab_counts(q_page_search(spark, sf_dir))
 
 
+def _reindex(spark, sf_dir):
+    from tidemark.plans import maintenance
+
+    return maintenance.run(_pages(spark, sf_dir))
+
+
+def q_reindex_modes(spark, sf_dir):
+    return _reindex(spark, sf_dir).modes
+
+
+def q_reindex_documents(spark, sf_dir):
+    return _reindex(spark, sf_dir).documents_ts
+
+
+def q_reindex_postings(spark, sf_dir):
+    return _reindex(spark, sf_dir).index.postings.select("term", "doc_id", "tf_body", "tf_title")
+
+
+def q_reindex_stats(spark, sf_dir):
+    return _reindex(spark, sf_dir).index.stats
+
+
 QUERIES: dict[str, Query] = {
     "postings": q_postings,
     "doc_lengths": q_doc_lengths,
@@ -125,4 +147,8 @@ QUERIES: dict[str, Query] = {
     "page_postings": q_page_postings,
     "page_search": q_page_search,
     "source_counts": q_source_counts,
+    "reindex_modes": q_reindex_modes,
+    "reindex_documents": q_reindex_documents,
+    "reindex_postings": q_reindex_postings,
+    "reindex_stats": q_reindex_stats,
 }
