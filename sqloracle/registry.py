@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sqloracle import activity as ac
+from sqloracle import crawl as cr
 from sqloracle import pages as pg
 from sqloracle import search as s
 
@@ -29,4 +31,20 @@ def oracle_statements() -> dict[str, str]:
         "reindex_documents": pg.reindex_documents_sql(),
         "reindex_postings": pg.reindex_postings_sql(),
         "reindex_stats": pg.reindex_stats_sql(),
+        "enqueue_new": cr.enqueue_new_sql(),
+        "fetch_list": cr.fetch_list_sql(),
+        "fetch_gate": cr.fetch_gate_sql(),
+        "outcome_queue": cr.outcome_queue_sql(),
+        "outcome_domains": cr.outcome_domains_sql(),
+        "queue_counts": cr.queue_counts_sql(),
+        "bfs_depth": cr.bfs_depth_sql(),
+        "robots_allowed": cr.robots_allowed_sql(),
+        "robots_stale": cr.robots_stale_sql(),
+        "recent_queries": ac.recent_queries_sql(),
+        "suggest": ac.suggest_sql(),
+        "result_flags": ac.result_flags_sql(),
+        "restore_user": ac.restore_user_sql(),
+        "dict_cards": ac.dict_cards_sql(),
+        # streamed index = batch index on the same input (ST1 invariant)
+        "stream_index": pg.page_postings_sql(),
     }

@@ -93,92 +93,87 @@ def _canonical_query(q: Column) -> Column:
     return F.when(F.length(text) > 0, text)
 
 
-def add_normalized_url(df: DataFrame, href: str, base: str | None, out: str) -> DataFrame:
-    """Append ``out`` = normalizeUrl(href, base) (C1); null when not http(s) or not parseable."""
-    keep = [F.col(c) for c in df.columns if c != out]
-    h = F.regexp_replace(F.regexp_replace(F.col(href), r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
-    b = F.col(base) if base else F.lit(None).cast("string")
-    s1 = df.select(*keep, h.alias("_h"), b.alias("_b"))
-    hh, bb = F.col("_h"), F.col("_b")
-
-    # base parts (the base must itself be an absolute http(s) url)
-    b_scheme = F.lower(_g(bb, ABS_RE, 1))
-    b_rest = _g(bb, ABS_RE, 2)
+def _bind(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn`` as a lambda variable (keeps the tree linear)."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _split_parts(hh: Column, bb: Column) -> Column:
+    """struct(scheme, auth, path, query) of href ``hh`` resolved against base ``bb``."""
     h_abs = hh.rlike(ABS_RE)
-    h_scheme = F.lower(_g(hh, ABS_RE, 1))
-    h_rest = _g(hh, ABS_RE, 2)
-    s2 = s1.select(
-        *keep, "_h",
-        F.when(h_abs, h_scheme).otherwise(b_scheme).alias("_scheme"),
-        b_rest.alias("_brest"),
-        h_rest.alias("_hrest"),
-        h_abs.alias("_habs"),
-    )
-    br, hr = F.col("_brest"), F.col("_hrest")
-    b_auth = _g(br, SPECIAL_REST_RE, 1)
+    scheme = F.when(h_abs, F.lower(_g(hh, ABS_RE, 1))).otherwise(F.lower(_g(bb, ABS_RE, 1)))
+    br = _g(bb, ABS_RE, 2)
+    hr = _g(hh, ABS_RE, 2)
     b_path = _g(br, SPECIAL_REST_RE, 2)
-    b_query = _opt_group(br, SPECIAL_REST_RE, 3)
-    rel_path = _g(F.col("_h"), REL_RE, 1)
-    rel_query = _opt_group(F.col("_h"), REL_RE, 2)
-    scheme_rel = F.col("_h").startswith("//") | F.col("_h").startswith("\\\\")
+    rel_path = _g(hh, REL_RE, 1)
+    rel_query = _opt_group(hh, REL_RE, 2)
+    scheme_rel = hh.startswith("//") | hh.startswith("\\\\")
     auth = (
-        F.when(F.col("_habs"), _g(hr, SPECIAL_REST_RE, 1))
-        .when(scheme_rel, _g(F.col("_h"), SPECIAL_REST_RE, 1))
-        .otherwise(b_auth)
+        F.when(h_abs, _g(hr, SPECIAL_REST_RE, 1))
+        .when(scheme_rel, _g(hh, SPECIAL_REST_RE, 1))
+        .otherwise(_g(br, SPECIAL_REST_RE, 1))
     )
     b_dir = F.regexp_extract(F.when(F.length(b_path) > 0, b_path).otherwise(F.lit("/")), r"^(.*/)", 1)
     path = (
-        F.when(F.col("_habs"), _g(hr, SPECIAL_REST_RE, 2))
-        .when(scheme_rel, _g(F.col("_h"), SPECIAL_REST_RE, 2))
-        .when(F.col("_h").startswith("/") | F.col("_h").startswith("\\"), rel_path)
-        .when((F.length(rel_path) == 0), b_path)
+        F.when(h_abs, _g(hr, SPECIAL_REST_RE, 2))
+        .when(scheme_rel, _g(hh, SPECIAL_REST_RE, 2))
+        .when(hh.startswith("/") | hh.startswith("\\"), rel_path)
+        .when(F.length(rel_path) == 0, b_path)
         .otherwise(F.concat(b_dir, rel_path))
     )
     query = (
-        F.when(F.col("_habs"), _opt_group(hr, SPECIAL_REST_RE, 3))
-        .when(scheme_rel, _opt_group(F.col("_h"), SPECIAL_REST_RE, 3))
-        .when((F.length(rel_path) == 0) & rel_query.isNull(), b_query)
+        F.when(h_abs, _opt_group(hr, SPECIAL_REST_RE, 3))
+        .when(scheme_rel, _opt_group(hh, SPECIAL_REST_RE, 3))
+        .when((F.length(rel_path) == 0) & rel_query.isNull(), _opt_group(br, SPECIAL_REST_RE, 3))
         .otherwise(rel_query)
     )
-    s3 = s2.select(*keep, "_scheme", auth.alias("_auth"), F.translate(path, "\\", "/").alias("_path"),
-                   query.alias("_query"))
+    return F.struct(scheme.alias("scheme"), auth.alias("auth"), F.translate(path, "\\", "/").alias("path"),
+                    query.alias("query"))
+
 
-    a = F.col("_auth")
+def _assemble(parts: Column) -> Column:
+    """Canonical url string from struct(scheme, auth, path, query), or null when invalid."""
+    scheme, a = parts["scheme"], parts["auth"]
     hostport = F.regexp_extract(a, r"^(?:.*@)?([^@]*)$", 1)
     userinfo = F.regexp_extract(a, r"^(.*@)", 1)
     host = F.lower(F.regexp_extract(hostport, r"^([^:]*)", 1))
     port = F.regexp_extract(hostport, r"^[^:]*:(.*)$", 1)
     port_num = F.when(port.rlike(r"^[0-9]+$"), F.regexp_replace(port, r"^0+(?=.)", ""))
-    default_port = F.when(F.col("_scheme") == "http", F.lit("80")).when(F.col("_scheme") == "https", F.lit("443"))
+    default_port = F.when(scheme == "http", F.lit("80")).when(scheme == "https", F.lit("443"))
     port_txt = F.when((F.length(port) == 0) | (port_num == default_port), F.lit("")).otherwise(
         F.concat(F.lit(":"), port_num)
     )
     valid = (
-        F.col("_scheme").isin("http", "https")
+        scheme.isin("http", "https")
         & (F.length(host) > 0)
         & ((F.length(port) == 0) | (port_num.isNotNull() & (F.length(port_num) <= 5)
                                     & (port_num.try_cast("int") <= 65535)))
         & ~host.rlike(HOST_FORBIDDEN_RE)
     )
-    p = F.col("_path")
+    p = parts["path"]
     p_abs = F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
-    s4 = s3.select(
-        *keep,
-        valid.alias("_ok"),
-        F.concat(F.col("_scheme"), F.lit("://"), userinfo, host, port_txt).alias("_origin"),
-        _encode_path(p_abs).alias("_path"),
-        "_query",
-    )
-    s5 = s4.select(*keep, "_ok", "_origin", _remove_dot_segments(F.col("_path")).alias("_path"),
-                   _canonical_query(F.col("_query")).alias("_query"))
-    p = F.col("_path")
-    trimmed = F.when((F.length(p) > 1) & p.endswith("/"), F.expr("left(_path, length(_path) - 1)")).otherwise(p)
-    result = F.when(
-        F.col("_ok"),
-        F.concat(F.col("_origin"), trimmed, F.when(F.col("_query").isNotNull(), F.concat(F.lit("?"), F.col("_query")))
-                 .otherwise(F.lit(""))),
-    )
-    return s5.select(*keep, result.alias(out))
+
+    def finish(path: Column) -> Column:
+        trimmed = F.when((F.length(path) > 1) & path.endswith("/"),
+                         F.substring(path, 1, F.length(path) - 1)).otherwise(path)
+        return _bind(_canonical_query(parts["query"]), lambda q: F.concat(
+            F.concat(scheme, F.lit("://"), userinfo, host, port_txt), trimmed,
+            F.when(q.isNotNull(), F.concat(F.lit("?"), q)).otherwise(F.lit(""))))
+
+    return F.when(valid, _bind(_remove_dot_segments(_encode_path(p_abs)), finish))
+
+
+def normalize_url(href: Column, base: Column | None = None) -> Column:
+    """C1 normalizeUrl(href, base) as one expression; null when not http(s) or not parseable."""
+    h = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    b = base if base is not None else F.lit(None).cast("string")
+    cleaned = F.struct(h.alias("h"), b.alias("b"))
+    return _bind(cleaned, lambda c: _bind(_split_parts(c["h"], c["b"]), _assemble))
+
+
+def add_normalized_url(df: DataFrame, href: str, base: str | None, out: str) -> DataFrame:
+    """Append ``out`` = normalizeUrl(href, base) (C1); null when not http(s) or not parseable."""
+    return df.withColumn(out, normalize_url(F.col(href), F.col(base) if base else None))
 
 
 def url_host(url: Column) -> Column:

@@ -129,6 +129,126 @@ def q_reindex_stats(spark, sf_dir):
     return _reindex(spark, sf_dir).index.stats
 
 
+def _crawl(spark, sf_dir):
+    from tidemark.plans import crawl
+
+    pages = _pages(spark, sf_dir)
+    cp = crawl.crawled_pages(pages)
+    queue = crawl.queue_table(cp)
+    return crawl, pages, cp, queue
+
+
+def q_enqueue_new(spark, sf_dir):
+    crawl, _, cp, queue = _crawl(spark, sf_dir)
+    from tidemark.operators import frontier as fr
+
+    links = fr.discovered_links(cp.join(queue.select("url", "depth"), "url"))
+    return fr.enqueue(links, queue, crawl.ts(crawl.AS_OF))
+
+
+def q_fetch_list(spark, sf_dir):
+    crawl, _, cp, queue = _crawl(spark, sf_dir)
+    from tidemark.operators import frontier as fr
+
+    return fr.fetch_list(queue, crawl.domain_stats_table(queue), crawl.ts(crawl.AS_OF))
+
+
+def q_fetch_gate(spark, sf_dir):
+    crawl, pages, cp, _ = _crawl(spark, sf_dir)
+    from tidemark.operators import frontier as fr
+
+    return fr.fetch_gate(crawl.fetch_log_table(cp, pages))
+
+
+def _folded(spark, sf_dir):
+    crawl, pages, cp, queue = _crawl(spark, sf_dir)
+    from tidemark.operators import frontier as fr
+
+    return fr.fold_outcomes(queue, crawl.domain_stats_table(queue), crawl.outcome_log(cp, pages))
+
+
+def q_outcome_queue(spark, sf_dir):
+    return _folded(spark, sf_dir)[0]
+
+
+def q_outcome_domains(spark, sf_dir):
+    return _folded(spark, sf_dir)[1]
+
+
+def q_queue_counts(spark, sf_dir):
+    from tidemark.operators import frontier as fr
+
+    return fr.queue_counts(_folded(spark, sf_dir)[0])
+
+
+def q_bfs_depth(spark, sf_dir):
+    crawl, _, cp, _ = _crawl(spark, sf_dir)
+    from tidemark.operators import frontier as fr
+
+    return fr.bfs_depths(cp.select("url"), crawl.edges_table(cp))
+
+
+def q_robots_allowed(spark, sf_dir):
+    crawl, _, cp, _ = _crawl(spark, sf_dir)
+    from tidemark.operators import robots as rb
+
+    return rb.check_permission(crawl.probes_table(cp), crawl.robots_table(cp))
+
+
+def q_robots_stale(spark, sf_dir):
+    crawl, _, cp, _ = _crawl(spark, sf_dir)
+    from tidemark.operators import robots as rb
+
+    return rb.cache_state(crawl.robots_table(cp), crawl.ts(crawl.AS_OF))
+
+
+def _events(spark, sf_dir):
+    return read_table(spark, sf_dir, "events")
+
+
+def q_recent_queries(spark, sf_dir):
+    from tidemark.operators import history
+    from tidemark.plans import activity
+
+    return history.recent_queries(activity.history_table(_events(spark, sf_dir)))
+
+
+def q_suggest(spark, sf_dir):
+    from tidemark.operators import history
+    from tidemark.plans import activity
+
+    ev = _events(spark, sf_dir)
+    return history.suggestions(activity.history_table(ev), activity.suggestion_inputs(ev))
+
+
+def q_result_flags(spark, sf_dir):
+    from tidemark.operators import history
+    from tidemark.plans import activity
+
+    ev = _events(spark, sf_dir)
+    return history.bookmark_flags(activity.shown_results(ev), activity.bookmarks_table(ev))
+
+
+def q_restore_user(spark, sf_dir):
+    from tidemark.plans import activity
+
+    return activity.restore_scenario(_events(spark, sf_dir))
+
+
+def q_dict_cards(spark, sf_dir):
+    from tidemark.plans import activity
+
+    return activity.dictionary_cards(spark, _events(spark, sf_dir))
+
+
+def q_stream_index(spark, sf_dir):
+    """ST1: the pages table arrives as 4 files, one micro-batch each; the final stored postings."""
+    from tidemark.plans import streaming_run
+
+    return streaming_run.stream_pages(spark, _pages(spark, sf_dir)).postings.select(
+        "term", "doc_id", "tf_body", "tf_title")
+
+
 QUERIES: dict[str, Query] = {
     "postings": q_postings,
     "doc_lengths": q_doc_lengths,
@@ -151,4 +271,19 @@ QUERIES: dict[str, Query] = {
     "reindex_documents": q_reindex_documents,
     "reindex_postings": q_reindex_postings,
     "reindex_stats": q_reindex_stats,
+    "enqueue_new": q_enqueue_new,
+    "fetch_list": q_fetch_list,
+    "fetch_gate": q_fetch_gate,
+    "outcome_queue": q_outcome_queue,
+    "outcome_domains": q_outcome_domains,
+    "queue_counts": q_queue_counts,
+    "bfs_depth": q_bfs_depth,
+    "robots_allowed": q_robots_allowed,
+    "robots_stale": q_robots_stale,
+    "recent_queries": q_recent_queries,
+    "suggest": q_suggest,
+    "result_flags": q_result_flags,
+    "restore_user": q_restore_user,
+    "dict_cards": q_dict_cards,
+    "stream_index": q_stream_index,
 }
