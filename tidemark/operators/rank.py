@@ -79,7 +79,14 @@ def score_queries(index: Index, qterms: DataFrame, max_postings_per_term: int |
     """(query_id, doc_id, score): full-precision BM25 sums, one row per matching (query, document)."""
     small = fits_broadcast(qterms)
     terms = qterms.select("term").distinct()
-    cand = index.postings.join(F.broadcast(terms) if small else terms, "term", "left_semi")
+    keys = ["term"]
+    if "term_bucket" in index.postings.columns:
+        # stored index: the bucket is a partition column, so the join on it prunes partitions (DPP)
+        from tidemark.sources.index_store import term_bucket
+
+        terms = terms.withColumn("term_bucket", term_bucket(F.col("term")))
+        keys = ["term_bucket", "term"]
+    cand = index.postings.join(F.broadcast(terms) if small else terms, keys, "left_semi")
     if max_postings_per_term is not None:
         cand = cap_postings(cand, int(max_postings_per_term), fanin)
     dfreq = cand.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
