@@ -8,7 +8,7 @@ Plan for a batch of queries (a single query string is a one-row batch):
 3. per-term cap (W1), two-level: top-``cap`` per (term, map-partition group), then per term. Each level
    gets a map-side WindowGroupLimit, so a hot term sends at most ``cap`` rows per task and the final
    merge of one term sees at most ``fanin * cap`` rows.
-4. document frequency after the cap (A2, K1) and idf per (query, term)          small
+4. document frequency after the cap (A2, K1): a count over the cap's term partitioning
 5. scores: postings x query terms on term, BM25 per row, sum per (query, doc) (A3)
 6. total hits per query (A4) and top-``limit`` per query (W2 with a map-side group limit)
 """
@@ -86,27 +86,30 @@ def score_queries(index: Index, qterms: DataFrame, max_postings_per_term: int |
 
         terms = terms.withColumn("term_bucket", term_bucket(F.col("term")))
         keys = ["term_bucket", "term"]
-    cand = index.postings.join(F.broadcast(terms) if small else terms, keys, "left_semi")
+        # static partition pruning: at most TERM_BUCKETS distinct values, a bounded list
+        buckets = sorted(r[0] for r in terms.select("term_bucket").distinct().collect())
+        postings = index.postings.filter(F.col("term_bucket").isin(buckets))
+    else:
+        postings = index.postings
+    cand = postings.join(F.broadcast(terms) if small else terms, keys, "left_semi")
     if max_postings_per_term is not None:
-        cand = cap_postings(cand, int(max_postings_per_term), fanin)
-    dfreq = cand.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(
-        index.stats.select(
-            F.col("doc_count").alias("n_docs"),
-            bm25.safe_avg(F.col("avg_length")).alias("avg_safe"),
-        )
-    )
-    qidf = qterms.join(dfreq, "term").crossJoin(stats).select(
-        "query_id", "term", bm25.idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_safe"
-    )
-    rows = cand.join(F.broadcast(qidf) if small else qidf, "term")
+        # df after the cap (K1): a count over the same term partitioning as the cap, no extra exchange
+        capped = cap_postings(cand, int(max_postings_per_term), fanin)
+        cand = capped.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
+    else:
+        # exact df as an aggregate (partial counts map-side), never a window holding a whole hot term
+        dfreq = cand.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        cand = cand.join(F.broadcast(dfreq) if small else dfreq, "term")
+    # N and the (safe) average length are scalar subqueries over the one-row stats table
+    n_docs = index.stats.select("doc_count").scalar()
+    avg_safe = index.stats.select(bm25.safe_avg(F.col("avg_length"))).scalar()
+    rows = cand.join(F.broadcast(qterms) if small else qterms, "term")
     tf = bm25.weighted_tf(F.col("tf_body"), F.col("tf_title"))
+    idf = bm25.idf(n_docs, F.col("df"))
     scored = rows.filter(tf > 0).select(
         "query_id",
         "doc_id",
-        bm25.term_score(
-            F.col("idf"), tf, bm25.doc_length_or_avg(F.col("doc_len"), F.col("avg_safe")), F.col("avg_safe")
-        ).alias("ts"),
+        bm25.term_score(idf, tf, bm25.doc_length_or_avg(F.col("doc_len"), avg_safe), avg_safe).alias("ts"),
     )
     return scored.groupBy("query_id", "doc_id").agg(F.sum("ts").alias("score"))
 
@@ -128,9 +131,17 @@ def bm25_search(index: Index, queries: DataFrame, limit=DEFAULT_LIMIT,
     limit = resolve_limit(limit)
     qterms = query_terms(queries, id_col, text_col)
     scores = score_queries(index, qterms, max_postings_per_term, fanin)
-    totals = scores.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_hits"))
-    best = top_k(scores, limit)
-    return best.join(totals, "query_id").select(
+    if max_postings_per_term is not None:
+        # hits per query <= query terms x cap: rank and total in one pass over the query_id partitioning
+        w = Window.partitionBy("query_id")
+        order = w.orderBy(bm25.rank_key(F.col("score")).desc(), F.col("doc_id").asc())
+        best = (scores.withColumn("total_hits", F.count(F.lit(1)).over(w))
+                .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit))
+    else:
+        # unbounded hits: totals as an aggregate, top-k with a map-side group limit
+        totals = scores.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_hits"))
+        best = top_k(scores, limit).join(totals, "query_id")
+    return best.select(
         "query_id",
         F.col("rank").cast("int").alias("rank"),
         "doc_id",

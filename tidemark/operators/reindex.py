@@ -88,9 +88,9 @@ def reindex(old: Index, old_documents_ts: DataFrame, batch: DataFrame, as_of: Co
         F.count_if(F.col("mode") == "inserted").cast("long").alias("d_docs"),
         F.coalesce(F.sum("length_delta"), F.lit(0)).cast("long").alias("d_len"),
     )
-    stats = old.stats.crossJoin(deltas).select(
-        (F.col("doc_count") + F.col("d_docs")).alias("doc_count"),
-        (F.col("total_length") + F.col("d_len")).alias("total_length"),
+    stats = old.stats.select(
+        (F.col("doc_count") + deltas.select("d_docs").scalar()).alias("doc_count"),
+        (F.col("total_length") + deltas.select("d_len").scalar()).alias("total_length"),
     )
     stats = stats.select(
         "doc_count", "total_length",

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.index import Index
+from tidemark.operators.index import Index, corpus_stats
 
 TERM_BUCKETS = 64
 
@@ -34,11 +34,15 @@ def _fs(spark: SparkSession, path: str):
 def write_version(index: Index, root: str, version: int, buckets: int = TERM_BUCKETS,
                   documents: DataFrame | None = None) -> str:
     base = f"{root.rstrip('/')}/version={version}"
+    spark = index.postings.sparkSession
     (documents if documents is not None else index.documents).write.mode("overwrite").parquet(f"{base}/documents")
     post = index.postings.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
     (post.repartition("term_bucket").sortWithinPartitions("term", "doc_id")
      .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{base}/postings"))
-    index.stats.select("doc_count", "total_length").write.mode("overwrite").parquet(f"{base}/stats")
+    # stats from the documents just written (a narrow column scan), not by re-running the build plan;
+    # an index whose stats are maintained by deltas (re-index) writes those instead
+    stats = index.stats if documents is not None else corpus_stats(spark.read.parquet(f"{base}/documents"))
+    stats.select("doc_count", "total_length").coalesce(1).write.mode("overwrite").parquet(f"{base}/stats")
     return base
 
 
