@@ -108,3 +108,18 @@ def test_reindex_same_batch_twice_is_unchanged(spark):
     ts = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     r = reindex(old, stamp(old.documents, ts), corpus(spark), ts)
     assert {x.mode for x in r.modes.collect()} == {"unchanged"}
+
+
+def test_tab_filter_and_seed_list(spark, tmp_path):
+    from tidemark.sources.tables import read_seed_list
+
+    res = spark.createDataFrame([(0, 1, "youtube"), (0, 2, "google"), (0, 3, "youtube"), (0, 4, "archive")],
+                                "query_id long, rank int, source string")
+    yt = [r.rank for r in rank.tab_filter(res, "youtube", 1).collect()]
+    assert yt == [1]
+    mv = [(r.rank, r.tab_rank) for r in rank.tab_filter(res, "movies").collect()]
+    assert mv == [(4, 1)]
+    path = tmp_path / "seeds.json"
+    path.write_text('[\n "https://a.test/",\n "https://b.test/x"\n]\n')
+    seeds = [(r.pos, r.url) for r in read_seed_list(spark, str(path)).orderBy("pos").collect()]
+    assert seeds == [(0, "https://a.test/"), (1, "https://b.test/x")]

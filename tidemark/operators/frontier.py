@@ -152,7 +152,8 @@ def bfs_depths(seeds: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -
     so that lineage does not grow with the number of rounds."""
     seen = seeds.select("url", F.lit(0).alias("depth")).distinct()
     frontier = seen
-    e = edges.select("src_url", "url").distinct()
+    # partitioned by source once and materialised: each round shuffles only the (small) frontier
+    e = materialize(edges.select("src_url", "url").distinct().repartition("src_url"))
     for d in range(1, max_depth + 1):
         nxt = (frontier.join(e, frontier.url == e.src_url).select(e.url.alias("url"))
                .distinct().join(seen.select("url"), "url", "left_anti")

@@ -28,7 +28,7 @@ from tidemark.functions.text import body_hash, index_words
 from tidemark.operators.util import fits_broadcast, materialize, spread
 
 # Distinct words allowed in a broadcast stem table; larger vocabularies are stemmed token by token.
-VOCAB_BROADCAST_MAX = 5_000_000
+VOCAB_BROADCAST_MAX = 2_000_000
 
 
 @dataclass

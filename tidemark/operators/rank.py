@@ -29,6 +29,7 @@ from tidemark.session import raise_group_limit
 DEFAULT_LIMIT = 20
 MAX_POSTINGS_PER_TERM = 5000
 CAP_FANIN = 32
+PUSHDOWN_TERMS = 1000
 
 # Result tabs of the search page and the sources each one shows.
 TABS = {
@@ -86,9 +87,15 @@ def score_queries(index: Index, qterms: DataFrame, max_postings_per_term: int |
 
         terms = terms.withColumn("term_bucket", term_bucket(F.col("term")))
         keys = ["term_bucket", "term"]
-        # static partition pruning: at most TERM_BUCKETS distinct values, a bounded list
-        buckets = sorted(r[0] for r in terms.select("term_bucket").distinct().collect())
-        postings = index.postings.filter(F.col("term_bucket").isin(buckets))
+        # static pruning: up to PUSHDOWN_TERMS terms go to the scan as a literal IN (row groups skipped by
+        # min/max on the term-sorted files); the bucket list (at most TERM_BUCKETS values) prunes folders
+        few = terms.limit(PUSHDOWN_TERMS + 1).collect()
+        if len(few) <= PUSHDOWN_TERMS:
+            postings = index.postings.filter(F.col("term_bucket").isin(sorted({r["term_bucket"] for r in few}))
+                                             & F.col("term").isin(sorted(r["term"] for r in few)))
+        else:
+            buckets = sorted(r[0] for r in terms.select("term_bucket").distinct().collect())
+            postings = index.postings.filter(F.col("term_bucket").isin(buckets))
     else:
         postings = index.postings
     cand = postings.join(F.broadcast(terms) if small else terms, keys, "left_semi")
