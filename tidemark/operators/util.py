@@ -27,10 +27,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     in a test file); a large input already has many splits and is left alone, so no shuffle is added.
     """
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    try:
+        want = min_partitions or spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # a session without RDD access: leave the input as it is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def materialize(df: DataFrame) -> DataFrame:
