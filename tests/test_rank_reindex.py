@@ -123,3 +123,16 @@ def test_tab_filter_and_seed_list(spark, tmp_path):
     path.write_text('[\n "https://a.test/",\n "https://b.test/x"\n]\n')
     seeds = [(r.pos, r.url) for r in read_seed_list(spark, str(path)).orderBy("pos").collect()]
     assert seeds == [(0, "https://a.test/"), (1, "https://b.test/x")]
+
+
+def test_cap_off_equals_cap_at_least_n(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    from tidemark.operators.index import index_documents_table
+
+    idx = index_documents_table(docs)
+    qs = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    n = docs.count()
+    a = rank.bm25_search(idx, qs, 20, None).collect()
+    b = rank.bm25_search(idx, qs, 20, n).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) > 0
