@@ -150,6 +150,19 @@ def stem(word: Column) -> Column:
     return F.when(F.length(word) < 3, word).otherwise(restored)
 
 
+_BUILT: dict = {}
+
+
+def stem_of(name: str) -> Column:
+    """``stem(col(name))``, built once per Spark context (the expression is large and always the same)."""
+    from pyspark import SparkContext
+
+    key = (id(SparkContext._active_spark_context), name)
+    if key not in _BUILT:
+        _BUILT[key] = stem(F.col(name))
+    return _BUILT[key]
+
+
 def add_stem(df: DataFrame, src: str, dst: str) -> DataFrame:
     """Append column ``dst`` = Porter stem of the lower-case word in ``src``."""
-    return df.withColumn(dst, stem(F.col(src)))
+    return df.withColumn(dst, stem_of(src))
