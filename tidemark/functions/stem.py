@@ -157,10 +157,11 @@ def stem_of(name: str) -> Column:
     """``stem(col(name))``, built once per Spark context (the expression is large and always the same)."""
     from pyspark import SparkContext
 
-    key = (id(SparkContext._active_spark_context), name)
-    if key not in _BUILT:
-        _BUILT[key] = stem(F.col(name))
-    return _BUILT[key]
+    sc = SparkContext._active_spark_context
+    hit = _BUILT.get(name)
+    if hit is None or hit[0] is not sc:
+        hit = _BUILT[name] = (sc, stem(F.col(name)))
+    return hit[1]
 
 
 def add_stem(df: DataFrame, src: str, dst: str) -> DataFrame:

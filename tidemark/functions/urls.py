@@ -182,10 +182,11 @@ def add_normalized_url(df: DataFrame, href: str, base: str | None, out: str) ->
     The expression is built once per Spark context and column pair (it is large and always the same)."""
     from pyspark import SparkContext
 
-    key = (id(SparkContext._active_spark_context), href, base)
-    if key not in _BUILT:
-        _BUILT[key] = normalize_url(F.col(href), F.col(base) if base else None)
-    return df.withColumn(out, _BUILT[key])
+    sc = SparkContext._active_spark_context
+    hit = _BUILT.get((href, base))
+    if hit is None or hit[0] is not sc:
+        hit = _BUILT[(href, base)] = (sc, normalize_url(F.col(href), F.col(base) if base else None))
+    return df.withColumn(out, hit[1])
 
 
 def url_host(url: Column) -> Column:
