@@ -130,3 +130,17 @@ def test_dictionary_cards(spark):
     assert cards[0].title == "hello (exclamation) - Definition & Meaning"
     assert cards[0].snippet == "Definition: A greeting. Pronunciation: /həˈləʊ/"
     assert cards[0].url.endswith("/english/hello") and cards[0].score == 100.0
+
+
+def test_seed_queue_and_card_union(spark):
+    q = spark.createDataFrame([(1, "https://a.test/x", "a.test", 0, "done", t(10, 0), None, None)], schemas.CRAWL_QUEUE)
+    seeds = spark.createDataFrame([("https://A.test/x#top",), ("https://b.test/",), ("mailto:m@b.test",),
+                                   ("https://b.test",)], "url string")
+    got = sorted((r.url, r.depth, r.status) for r in frontier.seed_queue(seeds, q, as_of()).collect())
+    assert got == [("https://b.test/", 0, "pending")]
+    cards = spark.createDataFrame([(1, 0, "dict-a", "u", "a (n) - Definition & Meaning", "s", 100.0)],
+                                  "query_id long, rank int, id string, url string, title string, snippet string, score double")
+    res = spark.createDataFrame([(1, 1, "idx-3", "v", "t", "s", 1.5, "google")],
+                                "query_id long, rank int, id string, url string, title string, snippet string, score double, source string")
+    both = [r.id for r in enrich.with_cards(res, cards).orderBy("rank").collect()]
+    assert both == ["dict-a", "idx-3"]

@@ -44,6 +44,16 @@ def enqueue(links: DataFrame, queue: DataFrame, as_of: Column) -> DataFrame:
     ).select("url", "domain", "depth", F.lit("pending").alias("status"), as_of.alias("discovered_at"))
 
 
+def seed_queue(seeds: DataFrame, queue: DataFrame, as_of: Column) -> DataFrame:
+    """SC3 + M1 at depth 0: seed urls (url) are canonicalised against themselves, urls without a host are
+    skipped, urls already queued in any status are ignored; returns the new pending rows."""
+    norm = add_normalized_url(seeds.select(F.col("url").alias("seed")), "seed", "seed", "url")
+    norm = norm.withColumn("domain", get_domain(F.col("url"))).filter(
+        F.col("domain").isNotNull() & (F.length("domain") > 0))
+    links = norm.select(F.col("seed").alias("src_url"), F.lit(-1).alias("depth"), "url", "domain")
+    return enqueue(links, queue, as_of)
+
+
 def eligible(queue: DataFrame, domain_stats: DataFrame, as_of: Column, max_pages: int = MAX_PAGES_PER_DOMAIN,
              blocked: DataFrame | None = None) -> DataFrame:
     """PF4 over J1: pending, domain not disallowed (nor in the block list, M4), under the lifetime page cap
