@@ -55,7 +55,9 @@ def main() -> None:
     queries = read_table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
-    sink(queries.select(F.explode(index_words(F.col("query"))).alias("w")).groupBy("w").count())  # warm-up
+    # warm-up (untimed): one aggregation, one checkpoint, one parquet write
+    warm = queries.select(F.explode(index_words(F.col("query"))).alias("w")).groupBy("w").count()
+    materialize(warm).write.mode("overwrite").parquet(f"{scratch}/warm")
     run("index_build_documents",
         lambda: index_store.write_version(index_documents_table(docs), f"{scratch}/docs", 1))
     run("index_build_pages", lambda: index_store.write_version(index_pages(pages), f"{scratch}/pages", 1))
