@@ -38,9 +38,9 @@ def write_version(index: Index, root: str, version: int, buckets: int = TERM_BUC
     (documents if documents is not None else index.documents).write.mode("overwrite").parquet(f"{base}/documents")
     post = index.postings.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
     # range partitions on (bucket, term, doc_id): even file sizes, each task writes one or two bucket
-    # folders, a very common term is split across tasks, and files are sorted by term for min/max skipping
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (post.repartitionByRange(n, "term_bucket", "term", "doc_id").sortWithinPartitions("term", "doc_id")
+    # folders, a very common term is split across tasks, and files are sorted by term for min/max skipping.
+    # No fixed count: AQE sizes the partitions from the data (advisory partition size).
+    (post.repartitionByRange("term_bucket", "term", "doc_id").sortWithinPartitions("term", "doc_id")
      .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{base}/postings"))
     # stats from the documents just written (a narrow column scan), not by re-running the build plan;
     # an index whose stats are maintained by deltas (re-index) writes those instead
