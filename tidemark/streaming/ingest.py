@@ -4,8 +4,9 @@ Arriving page files are read with ``readStream`` (``maxFilesPerTrigger`` bounds
 batch form of the crawler's page budget); ``foreachBatch`` runs the batch re-index on each micro-batch:
 extract, settle (the last arrival of a url in the batch wins), compare hashes with the stored version,
 write version ``batch_id + 1``. The stored documents are the seen-url state (ST2): a url already stored
-is matched by the J6 join, so no unbounded streaming state is kept. The query's checkpoint plus the
-idempotent version directory make a replayed batch rewrite the same output.
+is matched by the J6 join, so no unbounded streaming state is kept. The batch's clock is the newest
+modification time of its files, so the query's checkpoint plus the per-batch version directory make a
+replayed batch rewrite the same output.
 """
 
 from __future__ import annotations
@@ -22,7 +23,11 @@ from tidemark.sources import index_store
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, index_root: str, as_of=None) -> None:
-    as_of = as_of if as_of is not None else F.current_timestamp().cast("timestamp_ntz")
+    if as_of is None:
+        # the batch's clock is the newest arrival time of its files: a replay of the batch after a failure
+        # sees the same files and writes the same rows
+        as_of = (batch.select(F.max("arrived_at").cast("timestamp_ntz")).scalar() if "arrived_at" in batch.columns
+                 else F.current_timestamp().cast("timestamp_ntz"))
     extracted = materialize(extract_pages(batch).drop("links"))
     settled = settle_versions(extracted)
     previous = [v for v in index_store.versions(spark, index_root) if v <= batch_id]
@@ -46,7 +51,8 @@ def start(spark: SparkSession, source_dir: str, index_root: str, checkpoint: str
           available_now: bool = True):
     """Start the ingest stream; returns the StreamingQuery."""
     stream = (spark.readStream.schema(schemas.INPUT["pages"]).option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(source_dir))
+              .parquet(source_dir)
+              .select("*", F.col("_metadata.file_modification_time").alias("arrived_at")))
     writer = (stream.writeStream.option("checkpointLocation", checkpoint)
               .foreachBatch(lambda df, bid: process_batch(spark, df, bid, index_root)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")
