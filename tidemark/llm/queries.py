@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix
 
@@ -38,6 +44,25 @@ def op6_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.staging import new_folder
+    from tidemark.llm.token_files import read_token_files, write_token_files
+
+    folder = new_folder(spark, "tokens")
+    index = write_token_files(_table(spark, sf_dir, "documents"), folder, _vocabulary("word_bpe_49k.json"))
+    read = read_token_files(spark, folder, index)
+    return read.select(F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.packing import pack, token_pieces
+
+    pieces = token_pieces(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_pareto_mixing, op3_chat_round_trip, op6_content_sort)
+    f.__name__: f for f in (op2_pareto_mixing, op3_chat_round_trip, op6_content_sort, op7_wavelet_files, op9_sum_of_squares)
 }
