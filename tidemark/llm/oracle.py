@@ -2,6 +2,17 @@
 
 from __future__ import annotations
 
+OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (
+  SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+    CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS kept
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM d
+"""
+
 OP2 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
@@ -66,6 +77,7 @@ FROM n WINDOW same AS (PARTITION BY norm)
 """
 
 ORACLE: dict[str, str] = {
+    "op1_warc": OP1,
     "op2_pareto_mixing": OP2,
     "op3_chat_round_trip": OP3,
     "op6_content_sort": OP6,

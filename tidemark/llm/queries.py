@@ -20,6 +20,21 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.staging import new_folder
+    from tidemark.llm.warc import hex_digest, page_of, read_warc, write_warc
+
+    folder = new_folder(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages"), folder)
+    read = read_warc(spark, folder)
+    response = F.col("record_type") == "response"
+    return read.select(
+        page_of("record_id").alias("page_id"),
+        F.when(response, F.octet_length("payload")).otherwise(F.col("http_length")).cast("long").alias("payload_bytes"),
+        F.when(response, F.sha1("payload")).otherwise(hex_digest(F.col("payload_digest"))).alias("payload_digest"),
+        "record_type", page_of("refers_to").alias("refers_to"))
+
+
 def op2_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix
 
@@ -64,5 +79,5 @@ def op9_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_pareto_mixing, op3_chat_round_trip, op6_content_sort, op7_wavelet_files, op9_sum_of_squares)
+    f.__name__: f for f in (op1_warc, op2_pareto_mixing, op3_chat_round_trip, op6_content_sort, op7_wavelet_files, op9_sum_of_squares)
 }
