@@ -53,12 +53,33 @@ def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_conversations(format_conversations(turns.unionByName(planted))))
 
 
+def _remainder(divisor: int, column: str = "doc_id"):
+    return F.crc32(F.col(column).cast("string")) % divisor
+
+
+def op4_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import score, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = train(docs, _table(spark, sf_dir, "labels"), learn=_remainder(5) != 0)
+    return score(docs, machine).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.content_sort import exact_groups
 
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language import identify, prototypes
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learned = prototypes(docs, learn=_remainder(4) != 2)
+    out = identify(docs, learned, keep=["doc_id"])
+    return out.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.staging import new_folder
     from tidemark.llm.token_files import read_token_files, write_token_files
@@ -79,5 +100,5 @@ def op9_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_warc, op2_pareto_mixing, op3_chat_round_trip, op6_content_sort, op7_wavelet_files, op9_sum_of_squares)
+    f.__name__: f for f in (op1_warc, op2_pareto_mixing, op3_chat_round_trip, op4_factorization_machine, op6_content_sort, op7_wavelet_files, op8_hyperdimensional, op9_sum_of_squares)
 }
