@@ -99,6 +99,12 @@ def op9_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.jaccard_join import jaccard_classes
+
+    return jaccard_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_warc, op2_pareto_mixing, op3_chat_round_trip, op4_factorization_machine, op6_content_sort, op7_wavelet_files, op8_hyperdimensional, op9_sum_of_squares)
+    f.__name__: f for f in (op1_warc, op2_pareto_mixing, op3_chat_round_trip, op4_factorization_machine, op6_content_sort, op7_wavelet_files, op8_hyperdimensional, op9_sum_of_squares, op10_bayes_jaccard)
 }
