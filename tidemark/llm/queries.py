@@ -65,6 +65,12 @@ def op4_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, machine).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.hash_search import search
+
+    return search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), asked=F.col("vec_id") % 20 == 0)
+
+
 def op6_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.content_sort import exact_groups
 
@@ -106,5 +112,5 @@ def op10_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_warc, op2_pareto_mixing, op3_chat_round_trip, op4_factorization_machine, op6_content_sort, op7_wavelet_files, op8_hyperdimensional, op9_sum_of_squares, op10_bayes_jaccard)
+    f.__name__: f for f in (op1_warc, op2_pareto_mixing, op3_chat_round_trip, op4_factorization_machine, op5_multi_index_hashing, op6_content_sort, op7_wavelet_files, op8_hyperdimensional, op9_sum_of_squares, op10_bayes_jaccard)
 }
