@@ -96,8 +96,8 @@ def pack(pieces: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIEC
     meaning. Other columns pass through. Rows are told apart by their place in the staged table, so repeated rows and null
     identifiers are packed like any others.
     """
-    rows = staged(pieces, "pack-pieces").withColumn("row", F.monotonically_increasing_id())
-    full = rows.where(F.col("length") >= length).withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long")})
+    rows = staged(pieces, "pack-pieces").withColumn("_place", F.monotonically_increasing_id())
+    full = rows.where(F.col("length") >= length).withColumns({"sequence_id": -1 - F.col("_place"), "offset": F.lit(0).cast("long")})
     short = rows.where(F.col("length") < length)
     groups = max(1, -(-short.count() // group_pieces))
 
@@ -109,6 +109,6 @@ def pack(pieces: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIEC
             batch = batch.append_column("sequence_id", pa.array(numbers))
             yield batch.append_column("offset", pa.array([o for _, o in at], pa.int64()))
 
-    dealt = short.repartition(groups, F.xxhash64("row")).sortWithinPartitions(F.desc("length"), "row")
+    dealt = short.repartition(groups, F.xxhash64("_place")).sortWithinPartitions(F.desc("length"), "_place")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in short.schema] + ["sequence_id bigint", "offset bigint"])
-    return dealt.mapInArrow(run, schema).unionByName(full).drop("row")
+    return dealt.mapInArrow(run, schema).unionByName(full).drop("_place")
