@@ -9,42 +9,23 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
-# The pre-tokenizer patterns of the two vocabularies, with their Unicode classes spelled out for Latin-1.
+# The pre-tokenizer patterns of the two vocabularies, with their Unicode classes spelled out for Latin-1. No
+# alternative can start where another does but for "'", so the commonest one stands first.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _N = "0-9²³¹¼½¾"
 _S = "\t\n\x0b\x0c\r \x85\xa0"
-_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
-_BYTE_LEVEL = re.compile(f"{_SHORT}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_WORD_LEVEL = re.compile(f"{_SHORT}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+_SHORT = "'(?:[stmd]|re|ve|ll)"
+_BYTE_LEVEL = re.compile(f" ?[{_L}]+|{_SHORT}| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_WORD_LEVEL = re.compile(f"[{_L}]+|{_SHORT}|[{_N}]|[^{_S}{_L}{_N}]+")
 _PLAIN = re.compile("[\t\n\x0b\x0c\r -~\xa0-\xff]*")
 
-#: Plain text whose only white space is single blanks and line feeds, so that every blank starts a word.
-_SPACED = re.compile("[\n -~\xa1-\xff]*")
-_DOUBLED = ("  ", "\n\n", " \n", "\n ")
-#: Marks a chunk that no blank precedes; ``_SPACED`` texts do not hold it.
-_BARE = "\x00"
-
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 BATCH_WORDS = 4096
 
 
-class _Chunks(dict):
-    """Cached chunks; the batch's own new ones beside them."""
-
-    new: dict[str, bytes]
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.new[chunk]
-
-
-def _spaced_chunks(text: str) -> list[str] | None:
-    """The text cut before every blank and around every line feed, or None where that is no word border."""
-    if not text or text[0] in " \n" or text[-1] in " \n" or not _SPACED.fullmatch(text) or any(d in text for d in _DOUBLED):
-        return None
-    return (_BARE + text.replace("\n", " \n " + _BARE)).split(" ")
-
-
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers, without special tokens."""
 
@@ -55,53 +36,51 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # a special token's string inside a text is ordinary text
         kind = str(self.library.pre_tokenizer)
-        self.byte_level = kind.startswith("ByteLevel(add_prefix_space=False") and self.library.normalizer is None
-        self.word_level = kind.startswith("Sequence(pretokenizers=[Split(") and "Lowercase" in str(self.library.normalizer)
-        self.words: dict[str, bytes] = {}
-        self.chunks = _Chunks()
+        self.words = None
+        if kind.startswith("ByteLevel(add_prefix_space=False") and self.library.normalizer is None:
+            self.words = _BYTE_LEVEL.findall
+        elif kind.startswith("Sequence(pretokenizers=[Split(") and "Lowercase" in str(self.library.normalizer):
+            self.words = lambda text: _WORD_LEVEL.findall(text.lower())
+        self.cache: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _split(self, text: str) -> list[str] | None:
-        if self.word_level and _PLAIN.fullmatch(text):
-            return text.lower().split()
-        return _spaced_chunks(text) if self.byte_level else None
-
-    def _chunk_words(self, chunk: str) -> list[str]:
-        if self.word_level:
-            return _WORD_LEVEL.findall(chunk)
-        return _BYTE_LEVEL.findall(chunk if chunk == "\n" else chunk[1:] if chunk[0] == _BARE else " " + chunk)
-
-    def _encode_new(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of chunks, from the ids of their words; both caches take what fits."""
-        split = {c: self._chunk_words(c) for c in chunks}
-        known = self.words
-        new = list(set().union(*split.values()) - known.keys())
-        extra: dict[str, bytes] = {}
-        for k in range(0, len(new), BATCH_WORDS):
-            part = new[k : k + BATCH_WORDS]
-            (known if len(known) < CACHE_WORDS else extra).update(zip(part, self._library(part), strict=True))
-        found = {c: b"".join([known[w] if w in known else extra[w] for w in words]) for c, words in split.items()}
-        if len(self.chunks) < CACHE_WORDS:
-            self.chunks.update(found)
-            return {}
+        out = []
+        for found in self.library.encode_batch_fast(texts, add_special_tokens=False):
+            ids = array("I", found.ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            out.append(ids.tobytes())
+        return out
+
+    def _encode_new(self, words: list[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
+        for k in range(0, len(words), BATCH_WORDS):
+            part = words[k : k + BATCH_WORDS]
+            found.update(zip(part, self._library(part), strict=True))
+        if len(self.cache) < CACHE_WORDS:
+            self.cache.update(found)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        split = [(i, self._split(t)) for i, t in enumerate(texts)]
-        for i, chunks in split:
-            if chunks is None and texts[i]:
-                out[i] = self._library([texts[i]])[0]
-        split = [(i, c) for i, c in split if c]
-        cache = self.chunks
-        cache.new = self._encode_new(set().union(*[c for _, c in split]) - cache.keys()) if split else {}
-        for i, chunks in split:
-            out[i] = b"".join(map(cache.__getitem__, chunks))
-        cache.new = {}
+        waiting, new, known = [], set(), self.cache.get
+        for i, text in enumerate(texts):
+            if self.words is None or not _PLAIN.fullmatch(text):
+                out[i] = self._library([text])[0]
+                continue
+            words = self.words(text)
+            ids = list(map(known, words))
+            if None in ids:
+                missing = [k for k, found in enumerate(ids) if found is None]
+                new.update([words[k] for k in missing])
+                waiting.append((i, words, ids, missing))
+            else:
+                out[i] = b"".join(ids)
+        found = self._encode_new(list(new))
+        for i, words, ids, missing in waiting:
+            for k in missing:
+                ids[k] = found[words[k]]
+            out[i] = b"".join(ids)
         return out
 
 
