@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+from sqloracle import fixed as K
 from sqloracle.text import q
-from tidemark.operators import enrich
-from tidemark.plans import activity as A
 
 HIST = """h AS (SELECT CAST(event_id AS VARCHAR) AS history_id, CAST(user_id AS VARCHAR) AS user_id,
               event_type || ' ' || regexp_extract(props, '"k": ?([0-9]+)', 1) AS query, ts FROM events)"""
@@ -37,29 +36,39 @@ FROM sr LEFT JOIN bm ON sr.user_id = bm.user_id AND sr.id = bm.id"""
 
 
 def restore_user_sql() -> str:
+    """Users whose id ends in 0 take the rows of the next user, a week older."""
     return f"""WITH {HIST},
-users AS (SELECT DISTINCT user_id FROM h WHERE suffix(user_id, '0')),
-backup AS (SELECT 'r' || history_id AS history_id, user_id, query, ts - INTERVAL {A.RESTORE_SHIFT_DAYS} DAYS AS ts
-           FROM h WHERE user_id IN (SELECT user_id FROM users))
+users AS (SELECT DISTINCT user_id, CAST(CAST(user_id AS BIGINT) + 1 AS VARCHAR) AS source_user FROM h WHERE suffix(user_id, '0'))
 SELECT history_id, user_id, query, ts FROM h WHERE user_id NOT IN (SELECT user_id FROM users)
-UNION ALL SELECT history_id, user_id, query, ts FROM backup"""
+UNION ALL
+SELECT 'r' || h.history_id, u.user_id, h.query, h.ts - INTERVAL 7 DAYS FROM h JOIN users u ON h.user_id = u.source_user"""
 
 
-def dict_cards_sql() -> str:
-    values = ", ".join(f"({q(w)}, {q(j)})" for w, j in sorted(A.DICTIONARY_JSON.items()))
+def history_edit_sql() -> str:
+    """Purchases are appended to the other searches; then every seventh event's row is deleted."""
+    return f"""WITH {HIST}
+SELECT history_id, user_id, query, ts FROM h WHERE CAST(history_id AS BIGINT) % 7 <> 0"""
+
+
+def cards_cte() -> str:
+    values = ", ".join(f"({q(w)}, {q(j)})" for w, j in sorted(K.DICTIONARY.items()))
     j = "entry_json"
-    return f"""WITH dict AS (SELECT * FROM (VALUES {values}) t(word, entry_json)),
+    return f"""dict AS (SELECT * FROM (VALUES {values}) t(word, entry_json)),
 c0 AS (SELECT word, json_extract_string({j}, '$[0].word') AS entry_word,
               json_extract_string({j}, '$[0].meanings[0].definitions[0].definition') AS definition,
               coalesce(json_extract_string({j}, '$[0].meanings[0].partOfSpeech'), '') AS pos,
               coalesce(nullif(json_extract_string({j}, '$[0].phonetic'), ''),
                        list_filter(json_extract_string({j}, '$[0].phonetics[*].text'),
                                    lambda t: coalesce(length(t), 0) > 0)[1], '') AS phonetic FROM dict),
-cards AS (SELECT word, 'dict-' || word AS id, {q(enrich.CARD_URL)} || url_encode(word) AS url,
+cards AS (SELECT word, 'dict-' || word AS id, {q(K.CARD_URL)} || url_encode(word) AS url,
                  entry_word || ' (' || pos || ') - Definition & Meaning' AS title,
                  'Definition: ' || definition || CASE WHEN length(phonetic) > 0 THEN ' Pronunciation: ' || phonetic
                                                       ELSE '' END AS snippet,
-                 CAST({enrich.CARD_SCORE} AS DOUBLE) AS score
-          FROM c0 WHERE definition IS NOT NULL AND length(definition) > 0)
+                 CAST({K.CARD_SCORE} AS DOUBLE) AS score
+          FROM c0 WHERE definition IS NOT NULL AND length(definition) > 0)"""
+
+
+def dict_cards_sql() -> str:
+    return f"""WITH {cards_cte()}
 SELECT e.event_id AS query_id, 0 AS rank, c.id, c.url, c.title, c.snippet, c.score
 FROM events e JOIN cards c ON lower(trim(e.event_type)) = c.word WHERE regexp_matches(trim(e.event_type), '^[a-zA-Z]+$')"""

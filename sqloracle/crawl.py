@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from sqloracle import fixed as K
 from sqloracle.pages import extraction_ctes, url_ctes
 from sqloracle.text import q
-from tidemark.plans import crawl as C
 
 
 def _ts(t: str) -> str:
@@ -12,8 +12,8 @@ def _ts(t: str) -> str:
 
 
 def base_ctes() -> str:
-    base, as_of = _ts(C.BASE_TS), _ts(C.AS_OF)
-    t0, t1, t2 = (q(x) for x in C.ROBOTS_TEXTS)
+    base, as_of = _ts(K.QUEUE_AT), _ts(K.AS_OF)
+    t0, t1, t2 = (q(x) for x in K.ROBOTS_TEXTS)
     return f"""{extraction_ctes(links_before_removal=True)},
 cp AS (SELECT min(page_id) AS page_id, url, arg_min(domain, page_id) AS domain, arg_min(links, page_id) AS links
        FROM ex WHERE url IS NOT NULL GROUP BY url),
@@ -31,24 +31,19 @@ fl AS (SELECT cp.page_id, cp.url, cp.domain,
               CASE WHEN cp.page_id % 13 = 0 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type,
               p.html, CAST(NULL AS VARCHAR) AS error FROM cp JOIN pages p ON cp.page_id = p.page_id),
 gate AS (SELECT url,
-           CASE WHEN NOT (status >= 200 AND status < 400) OR strlen(coalesce(html, '')) > 2000000 THEN 'failed'
+           CASE WHEN NOT (status >= 200 AND status < 400) OR strlen(coalesce(html, '')) > 10000 THEN 'failed'
                 WHEN NOT contains(coalesce(content_type, ''), 'text/html') THEN 'skipped-non-html'
                 ELSE 'indexed' END AS outcome,
-           substr(CASE WHEN strlen(coalesce(html, '')) > 2000000 AND status >= 200 AND status < 400
-                       THEN 'maxContentLength size of 2000000 exceeded'
-                       WHEN NOT (status >= 200 AND status < 400)
-                       THEN coalesce(error, 'Request failed with status code ' || CAST(status AS VARCHAR)) END, 1, 500)
-             AS error FROM fl),
-ol AS (SELECT g.url, f.domain, CASE WHEN g.outcome = 'failed' THEN 'failed' ELSE 'done' END AS outcome,
-              {as_of} + to_seconds(f.page_id) AS ts, CAST(NULL AS INTEGER) AS crawl_delay_ms, g.error
-       FROM gate g JOIN fl f ON g.url = f.url
-       UNION ALL
-       SELECT g.url, f.domain, 'touch' AS outcome, {as_of} + to_seconds(f.page_id) AS ts,
-              CAST(3000 AS INTEGER) AS crawl_delay_ms, CAST(NULL AS VARCHAR) AS error
-       FROM gate g JOIN fl f ON g.url = f.url WHERE f.page_id % 3 = 0),
-robots AS (SELECT domain, CASE length(domain) % 3 WHEN 0 THEN {t0} WHEN 1 THEN {t1} ELSE {t2} END AS rules_text,
+           CASE WHEN strlen(coalesce(html, '')) > 10000 AND status >= 200 AND status < 400
+                THEN 'maxContentLength size of 10000 exceeded'
+                WHEN NOT (status >= 200 AND status < 400)
+                THEN coalesce(error, 'Request failed with status code ' || CAST(status AS VARCHAR)) END AS error FROM fl),
+latest AS (SELECT domain, CASE length(domain) % 3 WHEN 0 THEN {t0} WHEN 1 THEN {t1} ELSE {t2} END AS rules_text,
                   {as_of} - to_hours(CAST(length(domain) % 48 AS INTEGER)) AS fetched_at
-           FROM (SELECT DISTINCT domain FROM cp))"""
+           FROM (SELECT DISTINCT domain FROM cp)),
+robots AS (SELECT * FROM latest UNION ALL
+           SELECT domain, 'User-agent: *' || chr(10) || 'Disallow: /' || chr(10), fetched_at - INTERVAL 3 DAYS FROM latest),
+{_permission_ctes()}"""
 
 
 def links_ctes() -> str:
@@ -64,7 +59,7 @@ lk3 AS (SELECT src_url, url, min(pos) AS pos, min(depth) AS depth, min(domain) A
 def enqueue_new_sql() -> str:
     return f"""WITH {base_ctes()}, {links_ctes()}
 SELECT url, min(domain) AS domain, CAST(min(depth) + 1 AS INTEGER) AS depth, 'pending' AS status,
-       {_ts(C.AS_OF)} AS discovered_at
+       {_ts(K.AS_OF)} AS discovered_at
 FROM lk3 WHERE url NOT IN (SELECT url FROM queue) GROUP BY url"""
 
 
@@ -73,7 +68,7 @@ def fetch_list_sql() -> str:
 el AS (SELECT q.* FROM queue q LEFT JOIN ds d ON q.domain = d.domain
        WHERE q.status = 'pending' AND NOT coalesce(d.disallowed, false) AND coalesce(d.pages_crawled, 0) < 200
          AND (d.last_fetched_at IS NULL
-              OR d.last_fetched_at < {_ts(C.AS_OF)} - to_milliseconds(coalesce(d.crawl_delay_ms, 1000)))),
+              OR d.last_fetched_at < {_ts(K.AS_OF)} - to_milliseconds(coalesce(d.crawl_delay_ms, 1000)))),
 one AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY discovered_at, id) AS rn
                                     FROM el) WHERE rn = 1)
 SELECT * FROM one ORDER BY discovered_at, id LIMIT 50"""
@@ -84,12 +79,21 @@ def fetch_gate_sql() -> str:
 
 
 def _fold_ctes() -> str:
+    as_of = _ts(K.AS_OF)
     return f"""WITH {base_ctes()},
-fin AS (SELECT url, arg_max(outcome, ts) AS o_outcome, max(ts) AS o_ts, arg_max(error, ts) AS o_error FROM ol
-        WHERE outcome IN ('done', 'failed', 'disallowed') GROUP BY url),
-q2 AS (SELECT q.id, q.url, q.domain, q.depth, coalesce(f.o_outcome, q.status) AS status, q.discovered_at,
-              coalesce(f.o_ts, q.processed_at) AS processed_at,
-              CASE WHEN f.o_outcome = 'failed' THEN substr(f.o_error, 1, 500) WHEN f.url IS NULL THEN q.error END AS error
+lg AS (SELECT cp.url, cp.page_id, cp.domain, g.outcome AS gated, g.error, w.allowed, w.crawl_delay_ms FROM cp JOIN gate g ON cp.url = g.url
+       JOIN allowed w ON w.page_id = cp.page_id AND w.agent = {q(K.AGENTS[0])} WHERE cp.page_id % 5 <> 1),
+dec AS (SELECT *, CASE WHEN NOT allowed THEN 'disallowed' WHEN gated = 'failed' THEN 'failed' ELSE 'done' END AS outcome FROM lg),
+ol AS (SELECT url, domain, outcome, {as_of} + to_seconds(page_id) AS ts, CAST(NULL AS INTEGER) AS crawl_delay_ms,
+              CASE WHEN outcome = 'failed' THEN error END AS error FROM dec
+       UNION ALL SELECT url, domain, 'failed', {as_of} + to_seconds(page_id) - INTERVAL 1 MINUTE, NULL, 'socket hang up' FROM dec WHERE page_id % 4 = 0
+       UNION ALL SELECT url, domain, 'touch', {as_of} + to_seconds(page_id), CAST(crawl_delay_ms AS INTEGER), NULL FROM dec
+                 WHERE crawl_delay_ms IS NOT NULL),
+fin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts DESC) AS rn FROM ol
+                       WHERE outcome IN ('done', 'failed', 'disallowed')) WHERE rn = 1),
+q2 AS (SELECT q.id, q.url, q.domain, q.depth, coalesce(f.outcome, q.status) AS status, q.discovered_at,
+              coalesce(f.ts, q.processed_at) AS processed_at,
+              CASE WHEN f.outcome = 'failed' THEN f.error ELSE q.error END AS error
        FROM queue q LEFT JOIN fin f ON q.url = f.url),
 pd AS (SELECT domain, CAST(count(*) FILTER (WHERE outcome = 'done') AS INTEGER) AS add_pages, max(ts) AS new_fetched,
               arg_max(crawl_delay_ms, CASE WHEN crawl_delay_ms IS NOT NULL THEN ts END) AS new_delay
@@ -115,18 +119,23 @@ def queue_counts_sql() -> str:
 
 
 def bfs_depth_sql() -> str:
+    """One seed per domain; edges are the links and, from each page n, the pages 2n + 1 and 2n + 2."""
+    links = links_ctes().replace("FROM cp JOIN queue ON cp.url = queue.url) WHERE depth < 4", "FROM cp JOIN (SELECT url, 0 AS depth FROM cp) queue ON cp.url = queue.url)")
     return f"""WITH RECURSIVE {base_ctes()},
-{links_ctes().replace("FROM cp JOIN queue ON cp.url = queue.url) WHERE depth < 4", "FROM cp JOIN (SELECT url, 0 AS depth FROM cp) queue ON cp.url = queue.url) WHERE depth < 4")},
-edges AS (SELECT DISTINCT src_url, url FROM lk3),
-bfs(url, depth) AS (SELECT url, 0 FROM cp
+{links},
+edges AS (SELECT src_url, url FROM lk3 UNION
+          SELECT a.url, b.url FROM cp a JOIN cp b ON b.page_id IN (2 * a.page_id + 1, 2 * a.page_id + 2)),
+bfs(url, depth) AS (SELECT arg_min(url, page_id), 0 FROM cp GROUP BY domain
                     UNION SELECT e.url, b.depth + 1 FROM bfs b JOIN edges e ON e.src_url = b.url WHERE b.depth < 4)
 SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM bfs GROUP BY url"""
 
 
-def _robots_ctes() -> str:
-    return f"""{base_ctes()},
+def _permission_ctes() -> str:
+    """allowed(page_id, agent, allowed, crawl_delay_ms) from the latest text of each domain in ``robots``."""
+    return f"""
+now AS (SELECT domain, rules_text FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY fetched_at DESC) AS rn FROM robots) WHERE rn = 1),
 rl0 AS (SELECT domain, unnest(string_split_regex(coalesce(rules_text, ''), '\\r\\n|\\r|\\n')) AS raw,
-               unnest(range(len(string_split_regex(coalesce(rules_text, ''), '\\r\\n|\\r|\\n')))) AS line_no FROM robots),
+               unnest(range(len(string_split_regex(coalesce(rules_text, ''), '\\r\\n|\\r|\\n')))) AS line_no FROM now),
 rl1 AS (SELECT domain, line_no, trim(regexp_replace(raw, '#.*$', '')) AS body FROM rl0),
 rl2 AS (SELECT domain, line_no, lower(trim(regexp_extract(body, '^([^:]*):', 1))) AS field,
                trim(regexp_extract(body, '^[^:]*:(.*)$', 1)) AS value FROM rl1),
@@ -136,44 +145,47 @@ rl4 AS (SELECT *, CASE WHEN field = 'user-agent' AND (lag(field) OVER w IS NULL
 rl5 AS (SELECT *, sum(st) OVER (PARTITION BY domain ORDER BY line_no) AS group_id FROM rl4),
 ag AS (SELECT DISTINCT domain, group_id, trim(lower(split_part(value, '/', 1))) AS agent FROM rl5
        WHERE group_id > 0 AND field = 'user-agent'),
-ru AS (SELECT domain, group_id, field = 'allow' AS allow, value AS pattern FROM rl5
-       WHERE group_id > 0 AND field IN ('allow', 'disallow') AND length(value) > 0),
-dl AS (SELECT domain, group_id, line_no, TRY_CAST(value AS DOUBLE) AS delay_sec FROM rl5
-       WHERE group_id > 0 AND field = 'crawl-delay'),
-pr AS (SELECT cp.page_id * 10 + a.i AS probe_id, cp.url, cp.domain, a.agent
-       FROM cp CROSS JOIN (VALUES (0, {q(C.AGENTS[0])}), (1, {q(C.AGENTS[1])})) a(i, agent)),
-pr1 AS (SELECT probe_id, domain, trim(lower(split_part(agent, '/', 1))) AS token,
-               CASE WHEN length(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*([^#]*)', 1)) = 0 THEN '/'
-                    WHEN starts_with(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*([^#]*)', 1), '?')
-                    THEN '/' || regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*([^#]*)', 1)
-                    ELSE regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*([^#]*)', 1) END AS path FROM pr),
-pr2 AS (SELECT p.*, CASE WHEN n.token IS NOT NULL THEN p.token ELSE '*' END AS group_agent
-        FROM pr1 p LEFT JOIN (SELECT DISTINCT domain, agent AS token FROM ag) n
-        ON p.domain = n.domain AND p.token = n.token),
-gr AS (SELECT r.domain, a.agent AS group_agent, r.allow, r.pattern,
-              CASE WHEN suffix(r.pattern, '$')
-                   THEN '^\\Q' || replace(left(r.pattern, length(r.pattern) - 1), '*', '\\E.*\\Q') || '\\E$'
-                   ELSE '^\\Q' || replace(r.pattern, '*', '\\E.*\\Q') || '\\E' END AS rx
-       FROM ru r JOIN ag a ON r.domain = a.domain AND r.group_id = a.group_id),
-best AS (SELECT p.probe_id, arg_max(g.allow, length(g.pattern) * 2 + CAST(g.allow AS INTEGER)) AS winner
-         FROM pr2 p JOIN gr g ON p.domain = g.domain AND p.group_agent = g.group_agent
-         WHERE regexp_matches(p.path, g.rx) GROUP BY p.probe_id),
-gd AS (SELECT d.domain, a.agent, arg_max(d.delay_sec, d.line_no) AS delay_sec
-       FROM dl d JOIN ag a ON d.domain = a.domain AND d.group_id = a.group_id GROUP BY d.domain, a.agent)"""
+pr AS (SELECT cp.page_id, cp.domain, a.agent, trim(lower(split_part(a.agent, '/', 1))) AS token,
+              regexp_extract(cp.url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*([^#]*)', 1) AS tail
+       FROM cp, (VALUES ({q(K.AGENTS[0])}), ({q(K.AGENTS[1])})) a(agent)),
+pr2 AS (SELECT page_id, domain, agent, CASE WHEN tail = '' THEN '/' WHEN starts_with(tail, '?') THEN '/' || tail ELSE tail END AS path,
+               CASE WHEN EXISTS (SELECT 1 FROM ag WHERE ag.domain = pr.domain AND ag.agent = pr.token) THEN token ELSE '*' END AS chosen
+        FROM pr),
+ru AS (SELECT r.domain, a.agent AS chosen, r.field, r.value, r.line_no FROM rl5 r JOIN ag a ON r.domain = a.domain AND r.group_id = a.group_id
+       WHERE r.field <> 'user-agent' AND r.group_id > 0),
+fit AS (SELECT p.page_id, p.agent, max_by(u.field = 'allow', length(u.value) * 2 + CAST(u.field = 'allow' AS INTEGER)) AS won
+        FROM pr2 p JOIN ru u ON p.domain = u.domain AND p.chosen = u.chosen
+        WHERE u.field IN ('allow', 'disallow') AND u.value <> '' AND regexp_matches(p.path, '^' ||
+              regexp_replace(regexp_replace(regexp_replace(u.value, '\\$$', chr(1)), '([^a-zA-Z0-9_*' || chr(1) || '])', '\\\\\\1', 'g'), '\\*', '.*', 'g').replace(chr(1), '$'))
+        GROUP BY p.page_id, p.agent),
+wait AS (SELECT domain, chosen, arg_max(TRY_CAST(value AS DOUBLE), line_no) AS sec FROM ru WHERE field = 'crawl-delay' GROUP BY domain, chosen),
+allowed AS (SELECT p.page_id, p.agent, coalesce(f.won, true) AS allowed, CASE WHEN w.sec > 0 THEN CAST(trunc(w.sec * 1000) AS BIGINT) END AS crawl_delay_ms
+            FROM pr2 p LEFT JOIN fit f ON p.page_id = f.page_id AND p.agent = f.agent
+            LEFT JOIN wait w ON p.domain = w.domain AND p.chosen = w.chosen)"""
 
 
 def robots_allowed_sql() -> str:
-    return f"""WITH {_robots_ctes()}
-SELECT p.probe_id, coalesce(b.winner, true) AS allowed,
-       CASE WHEN coalesce(o.delay_sec, s.delay_sec) > 0 THEN CAST(trunc(coalesce(o.delay_sec, s.delay_sec) * 1000) AS BIGINT)
-       END AS crawl_delay_ms
-FROM pr2 p LEFT JOIN best b ON p.probe_id = b.probe_id
-     LEFT JOIN gd o ON p.domain = o.domain AND p.token = o.agent
-     LEFT JOIN (SELECT domain, delay_sec FROM gd WHERE agent = '*') s ON p.domain = s.domain"""
+    return f"""WITH {base_ctes()}
+SELECT page_id * 10 + CASE WHEN agent = {q(K.AGENTS[0])} THEN 0 ELSE 1 END AS probe_id, allowed, crawl_delay_ms FROM allowed"""
 
 
 def robots_stale_sql() -> str:
     return f"""WITH {base_ctes()}
 SELECT domain, coalesce(arg_max(rules_text, fetched_at), '') AS rules_text, max(fetched_at) AS fetched_at,
-       CASE WHEN max(fetched_at) > {_ts(C.AS_OF)} - INTERVAL 24 HOURS THEN 'fresh' ELSE 'stale' END AS state
+       CASE WHEN max(fetched_at) > {_ts(K.AS_OF)} - INTERVAL 24 HOURS THEN 'fresh' ELSE 'stale' END AS state
 FROM robots GROUP BY domain"""
+
+
+def seed_queue_sql() -> str:
+    return f"""WITH {base_ctes()},
+sd0 AS (SELECT url AS seed FROM pages),
+{url_ctes('sd0', 'seed', 'seed', 'url', 'sd1')},
+sd2 AS (SELECT url, regexp_extract(url, '^[a-z]+://(?:[^/?#@]*@)?([^/?#:]*)', 1) AS domain FROM sd1 WHERE url IS NOT NULL)
+SELECT DISTINCT url, domain, CAST(0 AS INTEGER) AS depth, 'pending' AS status, {_ts(K.AS_OF)} AS discovered_at FROM sd2
+WHERE length(domain) > 0 AND url NOT IN (SELECT url FROM queue WHERE id % 3 = 0)"""
+
+
+def blocked_domains_sql() -> str:
+    return f"""WITH {base_ctes()}
+SELECT domain, pages_crawled, last_fetched_at, crawl_delay_ms,
+       disallowed OR domain IN (SELECT domain FROM cp WHERE page_id % 9 = 0) AS disallowed FROM ds"""

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+from sqloracle import fixed as K
 from sqloracle.search import BENCHMARK_QUERIES, bm25_tail, query_word_ctes
 from sqloracle.text import collapse_ws, keep_word, q, stem_ctes, trim_ws, words_of
-from tidemark.functions import html as H
-from tidemark.functions import urls as U
 
-ABS, SR, REL = q(U.ABS_RE), q(U.SPECIAL_REST_RE), q(U.REL_RE)
-PENC = q(U.PATH_ENCODE_RE)
-TRACKING = "(" + ", ".join(q(k) for k in U.TRACKING_KEYS) + ")"
+ABS, SR, REL = q(K.ABS_RE), q(K.SPECIAL_REST_RE), q(K.REL_RE)
+PENC = q(K.PATH_ENCODE_RE)
+TRACKING = "(" + ", ".join(q(k) for k in K.TRACKING_KEYS) + ")"
 DOTS2 = "('..', '.%2e', '%2e.', '%2e%2e')"
 DOTS_ALL = "('..', '.', '.%2e', '%2e.', '%2e%2e', '%2e')"
 
@@ -64,7 +63,7 @@ def url_ctes(src: str, href: str, base: str | None, out_col: str, rel: str) -> s
     c.append(f"""{p}g AS (SELECT *,
         (_scheme IN ('http', 'https') AND length(_host) > 0
          AND (length(_port) = 0 OR (_pn IS NOT NULL AND CAST(_pn AS INTEGER) <= 65535))
-         AND NOT regexp_matches(_host, {q(U.HOST_FORBIDDEN_RE)})) AS _ok,
+         AND NOT regexp_matches(_host, {q(K.HOST_FORBIDDEN_RE)})) AS _ok,
         _scheme || '://' || _ui || _host ||
           CASE WHEN length(_port) = 0 OR _pn = CASE _scheme WHEN 'http' THEN '80' WHEN 'https' THEN '443' END
                THEN '' ELSE ':' || _pn END AS _origin,
@@ -104,36 +103,54 @@ def classify(url: str) -> str:
 
 
 def _decode(x: str) -> str:
-    out = x
-    for ent, ch in H.ENTITIES:
-        out = f"replace({out}, {q(ent)}, {q(ch)})"
-    return out
+    """References decoded once, left to right; the value is split into references, other text and lone '&'."""
+    names = f"map([{', '.join(q(k) for k in K.NAMED)}], [{', '.join(q(v) for v in K.NAMED.values())}])"
+    legacy = " ".join(f"WHEN {n} THEN {q(c)}" for n, c in K.WINDOWS_1252.items() if c)
+    number = ("coalesce(CASE WHEN lower(substr(r, 3, 1)) = 'x' THEN TRY_CAST('0x' || substr(r, 4, length(r) - 4) AS BIGINT) "
+              "ELSE TRY_CAST(substr(r, 3, length(r) - 3) AS BIGINT) END, 0)")
+    point = (f"CASE {number} {legacy} ELSE CASE WHEN {number} > 0 AND {number} <= 1114111 AND NOT ({number} BETWEEN 55296 AND 57343) "
+             f"THEN chr(CAST({number} AS INTEGER)) ELSE chr(65533) END END")
+    one = (f"CASE WHEN NOT starts_with(r, '&') OR length(r) < 3 THEN r WHEN starts_with(r, '&#') THEN {point} "
+           f"ELSE coalesce({names}[substr(r, 2, length(r) - 2)], r) END")
+    whole = f"array_to_string(list_transform(regexp_extract_all({x}, {q(K.REFERENCE)}), lambda r: {one}), '')"
+    return f"CASE WHEN contains({x}, '&') THEN {whole} ELSE {x} END"
+
+
+def _without_scripts(col: str) -> str:
+    out = col
+    for tag in K.RAW_TEXT_TAGS:
+        out = f"regexp_replace({out}, {q(K.element(tag))}, '', 'g')"
+    return f"regexp_replace({out}, {q(K.COMMENT)}, '', 'g')"
 
 
 def _remove(col: str) -> str:
-    out = col
-    for tag in H.RAW_TEXT_TAGS:
-        out = f"regexp_replace({out}, {q(H.element_pattern(tag))}, '', 'g')"
-    out = f"regexp_replace({out}, {q(H.COMMENT_RE)}, '', 'g')"
-    for tag in H.REMOVED_TAGS:
-        out = f"regexp_replace({out}, {q(H.element_pattern(tag))}, '', 'g')"
+    out = _without_scripts(col)
+    for tag in K.REMOVED_TAGS:
+        out = f"regexp_replace({out}, {q(K.element(tag))}, '', 'g')"
     return out
 
 
-def _content(tag: str) -> str:
-    v = (f"CASE WHEN length({tag}) > 0 THEN coalesce(nullif(regexp_extract({tag}, {q(H.CONTENT_DQ_RE)}, 1), ''), "
-         f"nullif(regexp_extract({tag}, {q(H.CONTENT_SQ_RE)}, 1), '')) END")
-    return f"nullif({_decode(v)}, '')"
+def _unquoted(v: str) -> str:
+    return f"regexp_replace({v}, {q(chr(94) + chr(91) + chr(34) + chr(39) + ']|[' + chr(34) + chr(39) + ']$')}, '', 'g')"
+
 
+def _description(which: str) -> str:
+    metas = f"list_filter(regexp_extract_all(clean, {q('(?is)' + K.open_tag('meta'))}), lambda m: regexp_matches(m, {q(which)}))"
+    found = f"list_transform({metas}, lambda m: {_unquoted(f'regexp_extract(m, {q(K.CONTENT)}, 1)')})"
+    return f"list_filter(list_transform({found}, lambda v: {_decode('v')}), lambda v: length(v) > 0)[1]"
 
-def _links(src: str) -> str:
-    raw = f"regexp_extract_all({src}, {q(H.LINK_RE)}, 1)"
-    stripped = f"regexp_replace(v, {q(H.QUOTES_RE)}, '', 'g')"
-    unq = f"list_transform({raw}, lambda v: {_decode(stripped)})"
-    return f"list_slice(list_filter({unq}, lambda v: length(v) > 0), 1, {H.MAX_LINKS_PER_PAGE})"
 
+def _links(src: str, limit: int | None = None) -> str:
+    raw = f"list_transform(regexp_extract_all({src}, {q(K.HREF)}, 1), lambda v: {_unquoted('v')})"
+    kept = f"list_filter(list_transform({raw}, lambda v: {_decode('v')}), lambda v: length(v) > 0)"
+    return kept if limit is None else f"list_slice({kept}, 1, {limit})"
 
-_NAMES = ["pg0", "pg1", "pg2", "pg3", "ex", "kept", "lst", "brk", "stt", "pc", "pbw", "pbk", "ptw", "ptk", "pxk",
+
+def _tagless(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, {q(K.ANY_TAG)}, '', 'g'), {q(K.DECLARATION)}, '', 'g')"
+
+
+_NAMES = ["pg0", "pg1", "pg2", "pg3", "pg4", "pg5", "ex", "kept", "seen", "lst", "pc", "pbw", "pbk", "ptw", "ptk", "pxk",
           "plen", "pdocs", "pvocab", "pstems", "ppost"]
 
 
@@ -148,40 +165,37 @@ def prefixed(sql: str, px: str, src: str = "pages") -> str:
     return re.sub(r"\bFROM pages\)", f"FROM {src})", sql)
 
 
-def extraction_ctes(links_before_removal: bool = False) -> str:
-    """CTEs: ex(page_id, raw_url, url, domain, title, snippet, body_text, links)."""
-    body_src = (f"CASE WHEN regexp_matches(clean, '(?i)<body\\b') THEN regexp_extract(clean, {q(H.BODY_RE)}, 1) "
-                f"ELSE regexp_replace(clean, {q(H.HEAD_RE)}, '', 'g') END")
-    title = f"nullif({trim_ws(_decode(f'regexp_extract(clean, {q(H.TITLE_RE)}, 1)'))}, '')"
-    h1_inner = f"regexp_replace(regexp_extract(clean, {q(H.H1_RE)}, 1), {q(H.TAG_RE)}, '', 'g')"
-    h1 = f"nullif({trim_ws(_decode(h1_inner))}, '')"
-    meta = (f"coalesce({_content(f'regexp_extract(clean, {q(H.META_DESC_RE)}, 1)')}, "
-            f"{_content(f'regexp_extract(clean, {q(H.META_OG_RE)}, 1)')})")
-    body_text = collapse_ws(_decode(f"regexp_replace({body_src}, {q(H.TAG_RE)}, '', 'g')"))
-    link_src = "html" if links_before_removal else "clean"
+def extraction_ctes(links_before_removal: bool = False, arrived: str = "NULL") -> str:
+    """CTEs: ex(page_id, raw_url, url, domain, title, snippet, body_text, links, arrived)."""
     return f"""
-pg0 AS (SELECT page_id, url AS raw_url, html FROM pages),
+pg0 AS (SELECT page_id, url AS raw_url, html, {arrived} AS arrived FROM pages),
 {url_ctes('pg0', 'raw_url', None, 'url', 'pg1')},
-pg2 AS (SELECT page_id, raw_url, url, html, {_remove('html')} AS clean FROM pg1),
-pg3 AS (SELECT page_id, raw_url, url, {domain_of('url')} AS domain, coalesce({title}, {h1}, url) AS title,
-               {meta} AS meta, {body_text} AS body_text, {_links(link_src)} AS links FROM pg2),
-ex AS (SELECT page_id, raw_url, url, CASE WHEN url IS NULL THEN NULL ELSE domain END AS domain, title,
+pg2 AS (SELECT page_id, raw_url, url, arrived, {_without_scripts('html')} AS plain, {_remove('html')} AS clean FROM pg1),
+pg3 AS (SELECT *, regexp_extract(clean, {q(K.until_close('title'))}, 1) AS title0,
+               {_tagless(f"regexp_extract(clean, {q(K.until_close('h1'))}, 1)")} AS h10,
+               {_tagless(f"CASE WHEN regexp_matches(clean, {q('(?is)' + K.open_tag('body'))}) THEN regexp_extract(clean, {q(K.until_close('body'))}, 1) ELSE regexp_replace(regexp_replace(clean, {q(K.element('head'))}, '', 'g'), {q(K.until_close('title'))}, '', 'g') END")} AS body0,
+               {_description(K.DESCRIPTION)} AS meta1, {_description(K.OG_DESCRIPTION)} AS meta2,
+               {_links('plain' if links_before_removal else 'clean')} AS links FROM pg2),
+pg4 AS (SELECT *, {_decode('title0')} AS title1, {_decode('h10')} AS h11, {_decode('body0')} AS body1 FROM pg3),
+pg5 AS (SELECT page_id, raw_url, url, arrived, {domain_of('url')} AS domain,
+               coalesce(nullif({trim_ws('title1')}, ''), nullif({trim_ws('h11')}, ''), url) AS title,
+               coalesce(meta1, meta2) AS meta, {collapse_ws('body1')} AS body_text, links FROM pg4),
+ex AS (SELECT page_id, raw_url, url, arrived, CASE WHEN url IS NULL THEN NULL ELSE domain END AS domain, title,
               coalesce(meta, CASE WHEN length(body_text) > 200 THEN substr(body_text, 1, 200) || '...'
-                                  ELSE body_text END) AS snippet, body_text, links FROM pg3)"""
+                                  ELSE body_text END) AS snippet, body_text, links FROM pg5)"""
 
 
 def settle_ctes() -> str:
-    """CTEs after extraction_ctes: pc(doc_id, url, domain, title, snippet, body)."""
+    """CTEs after extraction_ctes: pc(doc_id, url, domain, title, snippet, body). Pages of a url are replayed in order of arrival,
+    page_id and content hash: the last run of equal bodies counts, with the fields of its first page."""
     return """
 kept AS (SELECT *, sha256(coalesce(body_text, '')) AS h FROM ex
          WHERE url IS NOT NULL AND length(url) > 0 AND body_text IS NOT NULL AND length(body_text) > 0),
-lst AS (SELECT url, arg_max(h, page_id) AS last_hash, min(page_id) AS doc_id FROM kept GROUP BY url),
-brk AS (SELECT k.url, max(CASE WHEN k.h <> l.last_hash THEN k.page_id END) AS last_diff
-        FROM kept k JOIN lst l ON k.url = l.url GROUP BY k.url),
-stt AS (SELECT k.url, min(k.page_id) AS page_id FROM kept k JOIN lst l ON k.url = l.url JOIN brk b ON k.url = b.url
-        WHERE k.h = l.last_hash AND (b.last_diff IS NULL OR k.page_id > b.last_diff) GROUP BY k.url),
-pc AS (SELECT l.doc_id, k.url, k.domain, k.title, k.snippet, k.body_text AS body
-       FROM kept k JOIN stt s ON k.url = s.url AND k.page_id = s.page_id JOIN lst l ON k.url = l.url)"""
+seen AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY arrived NULLS FIRST, page_id NULLS FIRST, h) AS turn,
+                coalesce(h <> lag(h) OVER (PARTITION BY url ORDER BY arrived NULLS FIRST, page_id NULLS FIRST, h), true) AS fresh FROM kept),
+lst AS (SELECT url, max(turn) AS turn FROM seen WHERE fresh GROUP BY url),
+pc AS (SELECT CAST(('0x' || substr(md5(k.url), 1, 15)) AS BIGINT) AS doc_id, k.url, k.domain, k.title, k.snippet, k.body_text AS body
+       FROM seen k JOIN lst l ON k.url = l.url AND k.turn = l.turn)"""
 
 
 def page_index_ctes(extra_vocab: str | None = None) -> str:
@@ -231,11 +245,16 @@ def page_postings_sql() -> str:
 SELECT term, doc_id, tf_body, tf_title FROM ppost"""
 
 
-def _page_search_ctes() -> str:
-    return f"""WITH {query_word_ctes(BENCHMARK_QUERIES)}, {extraction_ctes()}, {settle_ctes()},
-{page_index_ctes(extra_vocab='qsel')},
+VARIED = """(SELECT page_id, html, 'https://' || CASE page_id % 7 WHEN 0 THEN 'en.wikipedia.org' WHEN 1 THEN 'www.youtube.com' WHEN 2 THEN 'youtu.be'
+    WHEN 3 THEN 'www.instagram.com' WHEN 4 THEN 'web.archive.org' WHEN 6 THEN 'example.org' ELSE regexp_extract(url, '^https?://([^/?#]*)', 1) END
+    || regexp_replace(url, '^https?://[^/?#]*', '') AS url FROM pages)"""
+
+
+def _page_search_ctes(src: str = "pages", queries: str = BENCHMARK_QUERIES, limit: int = 20) -> str:
+    body = prefixed(f"{extraction_ctes()}, {settle_ctes()}, {page_index_ctes(extra_vocab='qsel')}", "", src)
+    return f"""WITH {query_word_ctes(queries)}, {body},
 qterms AS (SELECT DISTINCT query_id, term FROM qsel JOIN pstems ON qsel.word = pstems.word),
-{bm25_tail('ppost', 'plen', 'qterms', 5000, 20)},
+{bm25_tail('ppost', 'plen', 'qterms', None, limit)},
 hits AS (SELECT r.query_id, r.rank, 'idx-' || CAST(r.doc_id AS VARCHAR) AS id, r.doc_id, d.url, d.title, d.snippet,
                 r.score, {classify('d.url')} AS source, r.total_hits
          FROM bm25res r JOIN pdocs d ON r.doc_id = d.doc_id)"""
@@ -245,22 +264,91 @@ def page_search_sql() -> str:
     return _page_search_ctes() + "\nSELECT * FROM hits"
 
 
+def first_result_sql() -> str:
+    return _page_search_ctes() + "\nSELECT query_id, rank, id, score, total_hits FROM hits WHERE rank = 1"
+
+
 def source_counts_sql() -> str:
-    return _page_search_ctes() + """
+    return _page_search_ctes(VARIED) + """
 SELECT query_id, count(*) AS "all", count(*) FILTER (WHERE source IN ('archive', 'vimeo', 'streaming')) AS movies,
        count(*) FILTER (WHERE source = 'google') AS google, count(*) FILTER (WHERE source = 'wikipedia') AS wikipedia,
        count(*) FILTER (WHERE source = 'youtube') AS youtube, count(*) FILTER (WHERE source = 'instagram') AS instagram
 FROM hits GROUP BY query_id"""
 
 
-def _reindex_ctes() -> str:
-    from tidemark.plans import maintenance as M
+def tab_results_sql() -> str:
+    return _page_search_ctes(VARIED) + """
+SELECT query_id, CAST(n AS INTEGER) AS tab_rank, id, CASE WHEN length(url) > 30 THEN left(url, 30) || '...' ELSE url END AS shown
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM hits WHERE source = 'youtube') WHERE n <= 3"""
+
+
+def search_response_sql() -> str:
+    from sqloracle.activity import cards_cte
+
+    queries = f"""SELECT item_id AS query_id, text AS qtext FROM benchmark UNION ALL SELECT -1, '   ' UNION ALL SELECT -2, 'the a an'
+        UNION ALL SELECT -2 - row_number() OVER (ORDER BY event_type), event_type FROM (SELECT DISTINCT event_type FROM events)"""
+    return _page_search_ctes(queries=queries, limit=5) + f""",
+{cards_cte()},
+asked AS ({queries}),
+shown AS (SELECT query_id, rank, id, source, total_hits FROM hits
+          UNION ALL SELECT a.query_id, 0, c.id, '-', NULL FROM asked a JOIN cards c ON lower(trim(a.qtext)) = c.word)
+SELECT a.query_id, a.qtext AS query, coalesce(max(s.total_hits), 0) AS total_hits,
+       coalesce(string_agg(s.id, ' ' ORDER BY s.rank), '') AS ids, coalesce(string_agg(s.source, ' ' ORDER BY s.rank), '') AS sources
+FROM asked a LEFT JOIN shown s ON a.query_id = s.query_id GROUP BY a.query_id, a.qtext"""
+
 
+def page_entities_sql() -> str:
+    src = f"(SELECT page_id, url, replace(html, '<article>', '<article>' || {q(K.ENTITY_FORMS)}) AS html FROM pages)"
+    body = prefixed(extraction_ctes(), "", src)
+    return f"""WITH {body}
+SELECT page_id, title, snippet, body_text, array_to_string(links, ' ') AS links FROM ex"""
+
+
+_SECOND = f"""SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN replace(html, '</article>', {q(K.REVISION)}) ELSE html END AS html"""
+
+
+def recrawl_same_id_sql() -> str:
+    src = f"(SELECT page_id, url, html, 1 AS arrived FROM pages UNION ALL ({_SECOND}, 2 AS arrived FROM pages))"
+    body = prefixed(f"{extraction_ctes(arrived='arrived')}, {settle_ctes()}, {page_index_ctes()}", "", src)
+    return f"""WITH {body}
+SELECT doc_id, url, domain, title, snippet, body_length, content_hash FROM pdocs"""
+
+
+def recrawl_moved_url_sql() -> str:
+    """Documents are told apart by url alone, so moving ids about changes nothing."""
+    even = "(SELECT * FROM pages WHERE page_id % 2 = 0)"
+    odd = "(SELECT page_id - 1 AS page_id, url, html FROM pages WHERE page_id % 2 = 1)"
+    body = f"{extraction_ctes()}, {settle_ctes()}, {page_index_ctes()}"
+    cols = "doc_id, url, domain, title, snippet, body_length, content_hash"
+    return f"""WITH {prefixed(body, 'a_', even)}, {prefixed(body, 'b_', odd)}
+SELECT b.doc_id, b.url, b.domain, CASE WHEN a.content_hash = b.content_hash THEN a.title ELSE b.title END AS title,
+       CASE WHEN a.content_hash = b.content_hash THEN a.snippet ELSE b.snippet END AS snippet, b.body_length, b.content_hash
+FROM b_pdocs b LEFT JOIN a_pdocs a ON a.url = b.url
+UNION ALL SELECT {cols} FROM a_pdocs WHERE url NOT IN (SELECT url FROM b_pdocs)"""
+
+
+def _deleted_ctes() -> str:
+    return f"""WITH {extraction_ctes()}, {settle_ctes()}, {page_index_ctes()},
+gone AS (SELECT DISTINCT url FROM ex WHERE page_id % 7 = 0 AND url IS NOT NULL),
+left_over AS (SELECT * FROM pdocs WHERE url NOT IN (SELECT url FROM gone))"""
+
+
+def delete_documents_sql() -> str:
+    return _deleted_ctes() + "\nSELECT p.term, p.doc_id, p.tf_body, p.tf_title FROM ppost p JOIN left_over d ON p.doc_id = d.doc_id"
+
+
+def delete_stats_sql() -> str:
+    return _deleted_ctes() + """
+SELECT count(*) AS doc_count, CAST(coalesce(sum(body_length), 0) AS BIGINT) AS total_length,
+       CASE WHEN count(*) > 0 THEN sum(body_length) / count(*) ELSE 0.0 END AS avg_length FROM left_over"""
+
+
+def _reindex_ctes() -> str:
     first = "(SELECT * FROM pages WHERE page_id % 10 <> 3)"
-    second = (f"(SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN replace(html, '</article>', {q(M.REVISION)}) "
+    second = (f"(SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN replace(html, '</article>', {q(K.REVISION)}) "
               f"ELSE html END AS html FROM pages)")
     body = extraction_ctes() + ",\n" + settle_ctes() + ",\n" + page_index_ctes()
-    t1, t2 = f"TIMESTAMP '{M.FIRST_CRAWL_AT}'", f"TIMESTAMP '{M.SECOND_CRAWL_AT}'"
+    t1, t2 = f"TIMESTAMP '{K.FIRST_CRAWL_AT}'", f"TIMESTAMP '{K.SECOND_CRAWL_AT}'"
     return f"""WITH {prefixed(body, 'a_', first)},
 {prefixed(body, 'b_', second)},
 rj AS (SELECT b.doc_id AS new_id, b.url, b.domain, b.title, b.snippet, b.body_length, b.content_hash,

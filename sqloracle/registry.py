@@ -16,10 +16,10 @@ def oracle_statements() -> dict[str, str]:
         "doc_freq": s.doc_freq_sql(),
         "stem_vocab": s.stem_vocab_sql(),
         "query_terms": s.query_terms_sql(s.BENCHMARK_QUERIES),
-        "bm25_batch": s.bm25_documents_sql(s.BENCHMARK_QUERIES, 5000, 20),
+        "bm25_batch": s.bm25_documents_sql(s.BENCHMARK_QUERIES, None, 20),
         "bm25_capped": s.bm25_documents_sql(s.BENCHMARK_QUERIES, 50, 20),
         "bm25_uncapped": s.bm25_documents_sql(s.BENCHMARK_QUERIES, None, 20),
-        "bm25_conversations": s.bm25_documents_sql(s.CONVERSATION_QUERIES, 5000, 10),
+        "bm25_conversations": s.bm25_documents_sql(s.CONVERSATION_QUERIES, None, 10),
         "page_fields": pg.page_fields_sql(),
         "page_links": pg.page_links_sql(),
         "url_norm": pg.url_norm_sql(),
@@ -47,4 +47,16 @@ def oracle_statements() -> dict[str, str]:
         "dict_cards": ac.dict_cards_sql(),
         # streamed index = batch index on the same input (ST1 invariant)
         "stream_index": pg.page_postings_sql(),
+        "page_entities": pg.page_entities_sql(),
+        "tab_results": pg.tab_results_sql(),
+        "first_result": pg.first_result_sql(),
+        "search_response": pg.search_response_sql(),
+        "bm25_stored": s.bm25_documents_sql(s.BENCHMARK_QUERIES, None, 20),
+        "recrawl_same_id": pg.recrawl_same_id_sql(),
+        "recrawl_moved_url": pg.recrawl_moved_url_sql(),
+        "delete_documents": pg.delete_documents_sql(),
+        "delete_stats": pg.delete_stats_sql(),
+        "seed_queue": cr.seed_queue_sql(),
+        "blocked_domains": cr.blocked_domains_sql(),
+        "history_edit": ac.history_edit_sql(),
     }

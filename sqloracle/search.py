@@ -97,8 +97,7 @@ SELECT DISTINCT query_id, term FROM qsel JOIN stems ON qsel.word = stems.word"""
 
 
 BENCHMARK_QUERIES = "SELECT item_id AS query_id, text AS qtext FROM benchmark"
-CONVERSATION_QUERIES = ("SELECT conv_id * 1000 + turn AS query_id, text AS qtext FROM conversations "
-                        "WHERE role = 'user'")
+CONVERSATION_QUERIES = "SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS query_id, text AS qtext FROM conversations"
 
 
 def bm25_documents_sql(src_sql: str, cap: int | None, limit: int) -> str:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.functions import stem as S
-from tidemark.functions.text import STOP_WORDS, WHITESPACE_CLASS
+from sqloracle import fixed as S
+from sqloracle.fixed import STOP_WORDS, WHITESPACE_CLASS
 
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
 

@@ -1,14 +1,16 @@
 """Page extraction (P1-P5, T6, T7, W3) with regular expressions over the ``html`` column.
 
-Element removal runs first (P1): script and style (raw text, may hold fake tags), then comments, then the
-other removed elements, one non-greedy pattern per tag name. Title, description, body text and links are
-read from what is left. Patterns use only features shared by Java regex and RE2 (no back-references), so
-the SQL oracle runs the same ones. Known limits: nested elements of the same removed name, numeric
-character references, and an unclosed removed element.
+Scripts, styles and comments go first, then the other removed elements (P1). Title, description, body text and links are
+read from what is left. A tag is its name, ended by a blank, ``/`` or ``>``, and attributes whose quoted values may hold ``>``.
+Character references are decoded once, left to right: numeric ones by code point, named ones by the HTML table. Patterns use only
+features shared by Java regex and RE2. Known limits: nested elements of the same removed name, an unclosed removed element, and
+named references without a semicolon.
 """
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,99 +19,136 @@ from tidemark.functions.text import collapse_ws, snippet_cut, trim_ws
 # Elements removed with their content before anything is read from a page.
 RAW_TEXT_TAGS = ["script", "style"]
 REMOVED_TAGS = ["nav", "footer", "header", "iframe", "noscript", "svg", "button", "form"]
-# Links kept per page, in document order.
-MAX_LINKS_PER_PAGE = 25
-
-# Named character references decoded in text and attribute values; '&amp;' goes last
-# so that an escaped reference is decoded once.
-ENTITIES = [
-    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
-]
-
-COMMENT_RE = r"(?s)<!--.*?-->"
-TAG_RE = r"</?[a-zA-Z][^>]*>"
-TITLE_RE = r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\z)"
-H1_RE = r"(?is)<h1\b[^>]*>(.*?)(?:</h1\s*>|\z)"
-BODY_RE = r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)"
-HEAD_RE = r"(?is)<head\b[^>]*>.*?</head\s*>"
-META_DESC_RE = r"""(?is)(<meta\b[^>]*\bname\s*=\s*["']?description["']?[\s/>][^>]*>?)"""
-META_OG_RE = r"""(?is)(<meta\b[^>]*\bproperty\s*=\s*["']?og:description["']?[\s/>][^>]*>?)"""
-CONTENT_DQ_RE = r"""(?is)\bcontent\s*=\s*"([^"]*)\""""
-CONTENT_SQ_RE = r"""(?is)\bcontent\s*=\s*'([^']*)'"""
-LINK_RE = r"""(?is)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+
+ATTRS = r"""(?:[\s/](?:[^>"']|"[^"]*"|'[^']*')*)?"""
+COMMENT_RE = r"(?s)<!--.*?(?:-->|\z)"
+DECLARATION_RE = r"<[!?][^>]*>"
+TAG_RE = r"""</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>"""
+TITLE_RE = rf"(?is)<title{ATTRS}>(.*?)(?:</title\s*>|\z)"
+H1_RE = rf"(?is)<h1{ATTRS}>(.*?)(?:</h1\s*>|\z)"
+BODY_RE = rf"(?is)<body{ATTRS}>(.*?)(?:</body\s*>|\z)"
+HEAD_RE = rf"(?is)<head{ATTRS}>.*?</head\s*>"
+TITLE_ELEMENT_RE = rf"(?is)<title{ATTRS}>.*?(?:</title\s*>|\z)"
+META_RE = rf"(?is)<meta{ATTRS}>"
+NAMED_DESCRIPTION_RE = r"""(?is)[\s"'/]name\s*=\s*(?:"description"|'description'|description[\s/>])"""
+OG_DESCRIPTION_RE = r"""(?is)[\s"'/]property\s*=\s*(?:"og:description"|'og:description'|og:description[\s/>])"""
+CONTENT_RE = r"""(?is)[\s"'/]content\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
+LINK_RE = (r"""(?is)<a(?:[\s/]+[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]*))?)*?"""
+           r"""[\s/]+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)""")
 QUOTES_RE = r"""^["']|["']$"""
+#: A reference, a run without "&", or a "&" that starts no reference.
+REFERENCE_RE = r"&(?:#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[a-zA-Z][a-zA-Z0-9]*);|[^&]+|&"
+#: The commonest names first: a map is searched from its start.
+_COMMON = ["amp", "lt", "gt", "quot", "nbsp", "apos", "copy", "middot"]
 
 
 def element_pattern(tag: str) -> str:
-    return rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>"
+    return rf"(?is)<{tag}{ATTRS}>.*?</{tag}\s*>"
 
 
-def remove_elements(html: Column) -> Column:
-    """Drop removed elements with their content, and comments."""
+def _map(pairs: dict[str, str]) -> Column:
+    """A map of constants as one folded literal."""
+    return F.map_from_arrays(F.split(F.lit("\n".join(pairs)), "\n"), F.split(F.lit("\x00".join(pairs.values())), "\x00"))
+
+
+def named_references() -> dict[str, str]:
+    names = {k[:-1]: v for k, v in html5.items() if k.endswith(";") and v != "\n"}
+    return {k: names[k] for k in [*_COMMON, *sorted(names.keys() - set(_COMMON))]}
+
+
+def legacy_code_points() -> dict[str, str]:
+    """Code points 128 to 159 stand for the characters that Windows-1252 has there."""
+    out = {}
+    for n in range(128, 160):
+        try:
+            out[str(n)] = bytes([n]).decode("cp1252")
+        except UnicodeDecodeError:
+            continue
+    return out
+
+
+def _code_point(n: Column) -> Column:
+    fine = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    code = F.when(fine, n).otherwise(F.lit(0xFFFD))
+    own = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(n.between(128, 159), F.coalesce(F.try_element_at(_map(legacy_code_points()), n.cast("string")), own)).otherwise(own)
+
+
+def decode_entities(text: Column) -> Column:
+    def one(piece: Column) -> Column:
+        name = F.substr(piece, F.lit(2), F.length(piece) - 2)
+        number = (F.when(F.lower(F.substr(name, F.lit(2), F.lit(1))) == "x", F.conv(F.substr(name, F.lit(3)), 16, 10))
+                  .otherwise(F.substr(name, F.lit(2)))).try_cast("bigint")
+        return (F.when(~F.startswith(piece, F.lit("&")) | (F.length(piece) < 3), piece)
+                .when(F.startswith(name, F.lit("#")), _code_point(F.coalesce(number, F.lit(0))))
+                .otherwise(F.coalesce(F.try_element_at(_map(named_references()), name), piece)))
+
+    pieces = F.regexp_extract_all(text, F.lit(REFERENCE_RE), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+
+def without_scripts(html: Column) -> Column:
+    """Scripts, styles and comments with their content, which may hold fake tags."""
     out = html
     for tag in RAW_TEXT_TAGS:
         out = F.regexp_replace(out, element_pattern(tag), "")
-    out = F.regexp_replace(out, COMMENT_RE, "")
-    for tag in REMOVED_TAGS:
-        out = F.regexp_replace(out, element_pattern(tag), "")
-    return out
+    return F.regexp_replace(out, COMMENT_RE, "")
 
 
-def decode_entities(text: Column) -> Column:
-    out = text
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
+def remove_elements(html: Column) -> Column:
+    """Drop removed elements with their content, and comments."""
+    out = without_scripts(html)
+    for tag in REMOVED_TAGS:
+        out = F.regexp_replace(out, element_pattern(tag), "")
     return out
 
 
 def strip_tags(fragment: Column) -> Column:
-    """Text content of a fragment: tags dropped without inserting blanks (K8), references decoded."""
-    return decode_entities(F.regexp_replace(fragment, TAG_RE, ""))
+    """Text content of a fragment: tags and declarations dropped without inserting blanks (K8), references decoded."""
+    return decode_entities(F.regexp_replace(F.regexp_replace(fragment, TAG_RE, ""), DECLARATION_RE, ""))
 
 
-def _content_attr(tag: Column) -> Column:
-    v = F.when(F.length(tag) > 0, F.coalesce(
-        F.nullif(F.regexp_extract(tag, CONTENT_DQ_RE, 1), F.lit("")),
-        F.nullif(F.regexp_extract(tag, CONTENT_SQ_RE, 1), F.lit("")),
-    ))
-    return F.nullif(decode_entities(v), F.lit(""))
+def _description(clean: Column, which: str) -> Column:
+    """The first non-empty content of the meta tags whose attributes match ``which``."""
+    metas = F.filter(F.regexp_extract_all(clean, F.lit(META_RE), F.lit(0)), lambda m: F.rlike(m, F.lit(which)))
+    found = F.transform(metas, lambda m: decode_entities(F.regexp_replace(F.regexp_extract(m, CONTENT_RE, 1), QUOTES_RE, "")))
+    return F.get(F.filter(found, lambda v: F.length(v) > 0), 0)
 
 
-def extract_links(src: Column, limit: int = MAX_LINKS_PER_PAGE) -> Column:
-    """P5 + W3: non-empty href values of <a> tags, document order, first ``limit``, before de-duplication."""
-    raw = F.regexp_extract_all(src, F.lit(LINK_RE), 1)
+def extract_links(src: Column, limit: int | None = None) -> Column:
+    """P5 + W3: non-empty href values of <a> tags in document order, before de-duplication; the first ``limit`` if one is given."""
+    raw = F.regexp_extract_all(src, F.lit(LINK_RE), F.lit(1))
     unq = F.transform(raw, lambda v: decode_entities(F.regexp_replace(v, QUOTES_RE, "")))
-    return F.slice(F.filter(unq, lambda v: F.length(v) > 0), 1, limit)
+    kept = F.filter(unq, lambda v: F.length(v) > 0)
+    return kept if limit is None else F.slice(kept, 1, limit)
 
 
 def add_page_fields(pages: DataFrame, url: str = "url", html: str = "html",
-                    links_before_removal: bool = False) -> DataFrame:
+                    links_before_removal: bool = False, max_links: int | None = None) -> DataFrame:
     """Append title, snippet, body_text and links.
 
     title: first <title> text trimmed, else first <h1> text trimmed, else the url (P2).
     snippet: meta description, else og:description, else the body text cut to 200 characters (P3, T7).
-    body_text: text of <body> (to </body> or the end), tags dropped, references decoded, whitespace
-    collapsed (P4, T6). links: see ``extract_links``; with ``links_before_removal`` they are read from the
-    page before element removal (K7 option: links inside nav, header, footer are kept).
+    body_text: text of <body> (to </body> or the end; without a body, of the page without head and title), tags dropped, references
+    decoded, whitespace collapsed (P4, T6). links: see ``extract_links``; with ``links_before_removal`` they are read before the
+    elements of P1 other than scripts, styles and comments go (K7 option: links inside nav, header, footer are kept).
     """
     keep = [F.col(c) for c in pages.columns]
     cleaned = pages.select(*keep, remove_elements(F.col(html)).alias("_clean"))
     c = F.col("_clean")
-    body_src = F.when(c.rlike(r"(?i)<body\b"), F.regexp_extract(c, BODY_RE, 1)).otherwise(
-        F.regexp_replace(c, HEAD_RE, "")
+    body_src = F.when(c.rlike(rf"(?is)<body{ATTRS}>"), F.regexp_extract(c, BODY_RE, 1)).otherwise(
+        F.regexp_replace(F.regexp_replace(c, HEAD_RE, ""), TITLE_ELEMENT_RE, "")
     )
     title = F.nullif(trim_ws(decode_entities(F.regexp_extract(c, TITLE_RE, 1))), F.lit(""))
     h1 = F.nullif(trim_ws(strip_tags(F.regexp_extract(c, H1_RE, 1))), F.lit(""))
-    meta = F.coalesce(_content_attr(F.regexp_extract(c, META_DESC_RE, 1)),
-                      _content_attr(F.regexp_extract(c, META_OG_RE, 1)))
-    link_src = F.col(html) if links_before_removal else c
+    meta = F.coalesce(_description(c, NAMED_DESCRIPTION_RE), _description(c, OG_DESCRIPTION_RE))
+    link_src = without_scripts(F.col(html)) if links_before_removal else c
     fields = cleaned.select(
         *keep,
         F.coalesce(title, h1, F.col(url)).alias("title"),
         meta.alias("_meta"),
         collapse_ws(strip_tags(body_src)).alias("body_text"),
-        extract_links(link_src).alias("links"),
+        extract_links(link_src, max_links).alias("links"),
     )
     return fields.select(
         *keep, "title",

@@ -76,5 +76,5 @@ def snippet_cut(text: Column, n: int = SNIPPET_CHARS) -> Column:
 
 
 def contains_ci(haystack: Column, needle: Column) -> Column:
-    """Case-insensitive substring test with the needle trimmed."""
-    return F.contains(F.lower(haystack), F.lower(F.trim(needle)))
+    """Case-insensitive substring test with all white space around the needle trimmed."""
+    return F.contains(F.lower(haystack), F.lower(trim_ws(needle)))

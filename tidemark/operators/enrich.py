@@ -1,7 +1,7 @@
 """Dictionary cards for single-word queries (D1, J10, U2, PF11), over a dictionary table.
 
 The dictionary is a table (word, entry_json) of dictionary API answers (a JSON array of entries); it is
-joined to the queries on the word (broadcast after a size check) instead of a web call per query.
+joined to the queries on the word instead of a web call per query.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from tidemark import schemas
-from tidemark.operators.util import fits_broadcast
+from tidemark.functions.text import trim_ws
 
 CARD_URL = "https://dictionary.cambridge.org/dictionary/english/"
 CARD_SCORE = 100.0
@@ -20,7 +20,7 @@ CARD_SCORE = 100.0
 
 def single_word(query: Column) -> Column:
     """PF11: the trimmed query is one word of ASCII letters."""
-    return F.trim(query).rlike(r"^[a-zA-Z]+$")
+    return trim_ws(query).rlike(r"^[a-zA-Z]+$")
 
 
 def parse_cards(dictionary: DataFrame) -> DataFrame:
@@ -53,13 +53,12 @@ def cards_for_queries(queries: DataFrame, dictionary: DataFrame, id_col: str = "
                       text_col: str = "query") -> DataFrame:
     """J10 + U2: one card row (rank 0, not counted in totals) per single-word query with a definition."""
     cards = parse_cards(dictionary)
-    cards = F.broadcast(cards) if fits_broadcast(cards) else cards
     q = queries.filter(single_word(F.col(text_col))).select(
-        F.col(id_col).alias("query_id"), F.lower(F.trim(F.col(text_col))).alias("word"))
+        F.col(id_col).alias("query_id"), F.lower(trim_ws(F.col(text_col))).alias("word"))
     return q.join(cards, "word").select(
         "query_id", F.lit(0).alias("rank"), "id", "url", "title", "snippet", "score")
 
 
 def with_cards(results: DataFrame, cards: DataFrame) -> DataFrame:
-    """The card goes first (rank 0) in front of the ranked results."""
-    return cards.unionByName(results.select(*cards.columns))
+    """The card goes first (rank 0) in front of the ranked results; it has no source and counts in no total."""
+    return results.unionByName(cards, allowMissingColumns=True)

@@ -13,19 +13,14 @@ from pyspark.sql import functions as F
 from tidemark.functions.urls import add_normalized_url, get_domain
 from tidemark.operators.util import materialize
 
-MAX_DEPTH = 4
-PAGE_BUDGET = 50
-MAX_PAGES_PER_DOMAIN = 200
 DEFAULT_DELAY_MS = 1000
-MAX_BODY_BYTES = 2_000_000
-ERROR_CHARS = 500
 
 
-def discovered_links(pages: DataFrame) -> DataFrame:
-    """M1 part 1: (src_url, depth, pos, url, domain) for pages (url, depth, links) with depth < 4 (PF10):
+def discovered_links(pages: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """M1 part 1: (src_url, depth, pos, url, domain) for pages (url, depth, links), with a limit those below it (PF10):
     links resolved against the page's own url (K19), invalid ones dropped (PF9), first occurrence per page
     kept (A10)."""
-    src = pages.filter(F.col("depth") < MAX_DEPTH).select(
+    src = (pages if max_depth is None else pages.filter(F.col("depth") < max_depth)).select(
         F.col("url").alias("src_url"), "depth", F.posexplode("links").alias("pos", "href"))
     norm = add_normalized_url(src, "href", "src_url", "url").filter(F.col("url").isNotNull())
     norm = norm.withColumn("domain", get_domain(F.col("url"))).filter(
@@ -54,10 +49,10 @@ def seed_queue(seeds: DataFrame, queue: DataFrame, as_of: Column) -> DataFrame:
     return enqueue(links, queue, as_of)
 
 
-def eligible(queue: DataFrame, domain_stats: DataFrame, as_of: Column, max_pages: int = MAX_PAGES_PER_DOMAIN,
+def eligible(queue: DataFrame, domain_stats: DataFrame, as_of: Column, max_pages: int | None = None,
              blocked: DataFrame | None = None) -> DataFrame:
-    """PF4 over J1: pending, domain not disallowed (nor in the block list, M4), under the lifetime page cap
-    (K11), delay elapsed (strict) or never fetched."""
+    """PF4 over J1: pending, domain not disallowed (nor in the block list, M4), under the lifetime page cap if one is
+    given (K11), delay elapsed (strict) or never fetched."""
     ds = domain_stats.select("domain", "pages_crawled", "last_fetched_at", "crawl_delay_ms", "disallowed")
     j = queue.filter(F.col("status") == "pending").join(ds, "domain", "left")
     if blocked is not None:
@@ -67,15 +62,15 @@ def eligible(queue: DataFrame, domain_stats: DataFrame, as_of: Column, max_pages
         F.lit(0), F.lit(0), F.lit(0), (delay / F.lit(1000.0)).cast("decimal(18,6)"))
     ok = (
         ~F.coalesce(F.col("disallowed"), F.lit(False))
-        & (F.coalesce(F.col("pages_crawled"), F.lit(0)) < max_pages)
+        & (F.lit(True) if max_pages is None else F.coalesce(F.col("pages_crawled"), F.lit(0)) < max_pages)
         & (F.col("last_fetched_at").isNull() | waited)
     )
     return j.filter(ok).select(queue.columns)
 
 
-def fetch_list(queue: DataFrame, domain_stats: DataFrame, as_of: Column, budget: int = PAGE_BUDGET,
-               max_pages: int = MAX_PAGES_PER_DOMAIN, blocked: DataFrame | None = None) -> DataFrame:
-    """M2 / L2: at most one url per domain (its oldest), then the oldest ``budget`` overall.
+def fetch_list(queue: DataFrame, domain_stats: DataFrame, as_of: Column, budget: int | None = None,
+               max_pages: int | None = None, blocked: DataFrame | None = None) -> DataFrame:
+    """M2 / L2: at most one url per domain (its oldest), then the oldest ``budget`` overall if one is given.
 
     The per-domain pick is an aggregate (min_by), so a domain holding a large part of the queue is reduced
     map-side; the overall cut is a top-k (TakeOrderedAndProject)."""
@@ -83,15 +78,15 @@ def fetch_list(queue: DataFrame, domain_stats: DataFrame, as_of: Column, budget:
     key = F.struct("discovered_at", "id")
     one = e.groupBy("domain").agg(F.min_by(F.struct(*[c for c in e.columns if c != "domain"]), key).alias("r"))
     rows = one.select("domain", "r.*")
-    return rows.orderBy("discovered_at", "id").limit(budget).select(e.columns)
+    return (rows if budget is None else rows.orderBy("discovered_at", "id").limit(budget)).select(e.columns)
 
 
-def fetch_gate(fetch_log: DataFrame) -> DataFrame:
-    """SC4: classify fetch responses -> (url, outcome, error). 200-399 with an html content type and a body
-    of at most 2,000,000 bytes is indexed; other 2xx/3xx responses are finished without indexing; anything
-    else failed, with its message cut to 500 characters."""
+def fetch_gate(fetch_log: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """SC4: classify fetch responses -> (url, outcome, error). 200-399 with an html content type and, if a limit is given, a body
+    of at most ``max_bytes`` is indexed; other 2xx/3xx responses are finished without indexing; anything else failed, with
+    its whole message."""
     status_ok = (F.col("status") >= 200) & (F.col("status") < 400)
-    too_big = F.octet_length(F.coalesce(F.col("html"), F.lit(""))) > MAX_BODY_BYTES
+    too_big = F.lit(False) if max_bytes is None else F.octet_length(F.coalesce(F.col("html"), F.lit(""))) > max_bytes
     html = F.contains(F.coalesce(F.col("content_type"), F.lit("")), F.lit("text/html"))
     err = F.coalesce(F.col("error"), F.concat(F.lit("Request failed with status code "), F.col("status").cast("string")))
     outcome = (
@@ -99,15 +94,15 @@ def fetch_gate(fetch_log: DataFrame) -> DataFrame:
         .when(~html, F.lit("skipped-non-html"))
         .otherwise(F.lit("indexed"))
     )
-    error = F.when(too_big & status_ok, F.lit("maxContentLength size of 2000000 exceeded")).when(~status_ok, err)
-    return fetch_log.select("url", outcome.alias("outcome"), F.substring(error, 1, ERROR_CHARS).alias("error"))
+    error = F.when(too_big & status_ok, F.lit(f"maxContentLength size of {max_bytes} exceeded")).when(~status_ok, err)
+    return fetch_log.select("url", outcome.alias("outcome"), error.alias("error"))
 
 
 def fold_outcomes(queue: DataFrame, domain_stats: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M3: outcome log (url, domain, outcome, ts, crawl_delay_ms, error) -> new queue and domain_stats.
 
     outcome is one of done, failed, disallowed, or touch (a robots delay seen before the decision). The
-    latest outcome per url sets status / processed_at / error; per domain, ``done`` adds a page, done,
+    latest outcome per url sets status and processed_at, a failure also the error (others leave it); per domain, ``done`` adds a page, done,
     failed and touch move last_fetched_at, and a known delay replaces the stored one (A8). domain_stats is
     merged by a full outer join with coalesce (new domains start at 0 pages and 1000 ms)."""
     final = outcomes.filter(F.col("outcome").isin("done", "failed", "disallowed")).groupBy("url").agg(
@@ -116,8 +111,7 @@ def fold_outcomes(queue: DataFrame, domain_stats: DataFrame, outcomes: DataFrame
         *[c for c in queue.columns if c not in ("status", "processed_at", "error")],
         F.coalesce(F.col("o.outcome"), F.col("status")).alias("status"),
         F.coalesce(F.col("o.ts"), F.col("processed_at")).alias("processed_at"),
-        F.when(F.col("o.outcome") == "failed", F.substring(F.col("o.error"), 1, ERROR_CHARS))
-        .when(F.col("o").isNull(), F.col("error")).alias("error"),
+        F.when(F.col("o.outcome") == "failed", F.col("o.error")).otherwise(F.col("error")).alias("error"),
     ).select(queue.columns)
     touching = outcomes.filter(F.col("outcome").isin("done", "failed", "touch"))
     per_domain = touching.groupBy("domain").agg(
@@ -154,23 +148,24 @@ def queue_counts(queue: DataFrame) -> DataFrame:
     return queue.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def bfs_depths(seeds: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def bfs_depths(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """M5: bounded breadth-first expansion; (url, depth) with the smallest depth at which a url is reached.
 
-    seeds (url, depth=0); edges (src_url, url). Each round joins the current frontier with the edges,
-    drops urls already seen (left anti) and keeps the minimum depth; the seen set is materialised per round
-    so that lineage does not grow with the number of rounds."""
-    seen = seeds.select("url", F.lit(0).alias("depth")).distinct()
-    frontier = seen
-    # partitioned by source once and materialised: each round shuffles only the (small) frontier
+    seeds (url); edges (src_url, url). Each round joins the current frontier with the edges and drops urls already seen. Every
+    round's own urls are written once; the seen set is the union of the rounds."""
+    frontier = materialize(seeds.select("url", F.lit(0).alias("depth")).distinct())
+    rounds = [frontier]
+    # partitioned by source once and written: each round shuffles only the (small) frontier
     e = materialize(edges.select("src_url", "url").distinct().repartition("src_url"))
     for d in range(1, max_depth + 1):
-        nxt = (frontier.join(e, frontier.url == e.src_url).select(e.url.alias("url"))
-               .distinct().join(seen.select("url"), "url", "left_anti")
-               .select("url", F.lit(d).alias("depth")))
-        nxt = materialize(nxt)
-        if nxt.isEmpty():
+        nxt = frontier.select(F.col("url").alias("src_url")).join(e, "src_url").select("url").distinct()
+        for seen in rounds:
+            nxt = nxt.join(seen.select("url"), "url", "left_anti")
+        frontier = materialize(nxt.select("url", F.lit(d).alias("depth")))
+        if frontier.isEmpty():
             break
-        seen = materialize(seen.unionByName(nxt))
-        frontier = nxt
-    return seen
+        rounds.append(frontier)
+    out = rounds[0]
+    for more in rounds[1:]:
+        out = out.unionByName(more)
+    return out

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import contains_ci
-from tidemark.session import raise_group_limit
 
 RECENT = 3
 
@@ -24,7 +23,6 @@ def recent_queries(history: DataFrame, n: int = RECENT) -> DataFrame:
 
     Distinct (user, query) first (partial aggregate), then a top-n window per user with a map-side group
     limit, so a very active user is reduced before the shuffle."""
-    raise_group_limit(history.sparkSession, n)
     last = history.groupBy("user_id", "query").agg(F.max("ts").alias("last_ts"))
     w = Window.partitionBy("user_id").orderBy(F.col("last_ts").desc(), F.col("query").asc())
     return last.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select(
@@ -34,7 +32,6 @@ def recent_queries(history: DataFrame, n: int = RECENT) -> DataFrame:
 def suggestions(history: DataFrame, inputs: DataFrame, n: int = RECENT) -> DataFrame:
     """For each (user_id, input), the ``n`` newest distinct history queries of that user that
     contain the trimmed input, case-insensitively. Inputs join history on user (equi-join)."""
-    raise_group_limit(history.sparkSession, n)
     j = inputs.join(history, "user_id").filter(contains_ci(F.col("query"), F.col("input")))
     last = j.groupBy("user_id", "input", "query").agg(F.max("ts").alias("last_ts"))
     w = Window.partitionBy("user_id", "input").orderBy(F.col("last_ts").desc(), F.col("query").asc())
@@ -64,9 +61,20 @@ def read_backup(spark, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def restore(current: DataFrame, imported: DataFrame, user_ids: DataFrame) -> DataFrame:
-    """SC8 restore / U3: the listed users' rows are replaced by the imported rows, re-keyed to each user
-    (``imported`` carries the target ``user_id`` of the restore); other users' rows are untouched."""
-    keep = current.join(user_ids.select("user_id"), "user_id", "left_anti")
-    rekeyed = imported.join(user_ids.select("user_id"), "user_id", "left_semi")
+def restore(current: DataFrame, imported: DataFrame, target_user) -> DataFrame:
+    """SC8 restore / U3: the target user's rows are replaced by all imported rows, re-keyed to that user; other users' rows are
+    untouched. ``imported`` may come from any user. An empty import leaves the user without rows."""
+    keep = current.join(_user(current, target_user), "user_id", "left_anti")
+    rekeyed = imported.withColumn("user_id", F.lit(target_user).cast(current.schema["user_id"].dataType))
     return keep.unionByName(rekeyed.select(*current.columns))
+
+
+def restore_each(current: DataFrame, imported: DataFrame, targets: DataFrame) -> DataFrame:
+    """``restore`` for many users at once: ``targets`` has source_user (whose rows were exported) and user_id (who takes them)."""
+    keep = current.join(targets.select("user_id").distinct(), "user_id", "left_anti")
+    rows = imported.withColumnRenamed("user_id", "source_user").join(targets, "source_user")
+    return keep.unionByName(rows.select(*current.columns))
+
+
+def _user(current: DataFrame, user) -> DataFrame:
+    return current.sparkSession.range(1).select(F.lit(user).cast(current.schema["user_id"].dataType).alias("user_id"))

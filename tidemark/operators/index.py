@@ -5,15 +5,15 @@ A corpus is a DataFrame ``(doc_id, url, domain, title, snippet, body)``. The ind
     documents  (doc_id, url, domain, title, snippet, body_length, content_hash)
     postings   (term, doc_id, tf_body, tf_title, doc_len)   one row per (term, document)
     stats      (doc_count, total_length)                     one row
+    terms      (term, df)                                    one row per term
 
 ``doc_len`` repeats the document's body length inside each posting so that scoring never joins the
 (large) documents table: a query only reads the postings of its terms.
 
-Plan: each document row becomes its filtered word arrays (no shuffle; the body length is the array size),
-the arrays are exploded with their position (title words follow body words), words are mapped to stems
-through the stemmed vocabulary, and one hash aggregate on (term, doc_id) counts title and body
-occurrences together (the union of title and body terms, zero-filled). The aggregate's map-side partial
-step already sees whole documents, so the shuffle carries one row per posting.
+Plan: each document row becomes its filtered word arrays (no shuffle; the body length is the array size).
+The arrays are exploded with their position (title words follow body words), each word is stemmed in place,
+and one hash aggregate on (term, doc_id) counts title and body occurrences together. Its map-side partial
+step sees whole documents, so the only shuffle carries one row per posting.
 """
 
 from __future__ import annotations
@@ -25,10 +25,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.stem import add_stem
 from tidemark.functions.text import body_hash, index_words
-from tidemark.operators.util import fits_broadcast, materialize, spread
-
-# Distinct words allowed in a broadcast stem table; larger vocabularies are stemmed token by token.
-VOCAB_BROADCAST_MAX = 2_000_000
 
 
 @dataclass
@@ -36,6 +32,7 @@ class Index:
     documents: DataFrame
     postings: DataFrame
     stats: DataFrame
+    terms: DataFrame
 
 
 def skip_predicate(url: Column, body: Column, require_url: bool = True) -> Column:
@@ -58,8 +55,8 @@ def corpus_from_documents(documents: DataFrame) -> DataFrame:
     )
 
 
-def _tokens(corpus: DataFrame) -> DataFrame:
-    """(doc_id, doc_len, word, is_title): one row per index word occurrence."""
+def _word_counts(corpus: DataFrame) -> DataFrame:
+    """(doc_id, doc_len, word, in_body, in_title): one row per index word occurrence."""
     arrays = corpus.select(
         "doc_id",
         index_words(F.col("body")).alias("b"),
@@ -70,35 +67,30 @@ def _tokens(corpus: DataFrame) -> DataFrame:
         F.size("b").alias("doc_len"),
         F.posexplode(F.concat("b", "t")).alias("pos", "word"),
     )
-    return exploded.select("doc_id", "doc_len", "word", (F.col("pos") >= F.col("doc_len")).alias("is_title"))
+    title = F.col("pos") >= F.col("doc_len")
+    return exploded.select("doc_id", "doc_len", "word", (~title).cast("int").alias("in_body"), title.cast("int").alias("in_title"))
 
 
 def stem_table(words: DataFrame, col: str = "word") -> DataFrame:
-    """Distinct words of ``words[col]`` with their stems, materialised: (word, term)."""
-    vocab = words.select(F.col(col).alias("word")).distinct()
-    return materialize(add_stem(vocab, "word", "term"))
-
-
-def with_terms(tokens: DataFrame, vocab_max: int = VOCAB_BROADCAST_MAX) -> DataFrame:
-    """Add the stem ``term`` of ``word``: broadcast lookup into the stemmed vocabulary when its size is
-    within bound, else the stemmer runs on every token (no broadcast, no extra shuffle)."""
-    stems = stem_table(tokens)
-    if fits_broadcast(stems, vocab_max):
-        return tokens.join(F.broadcast(stems), "word")
-    return add_stem(tokens, "word", "term")
+    """Distinct words of ``words[col]`` with their stems: (word, term)."""
+    return add_stem(words.select(F.col(col).alias("word")).distinct(), "word", "term")
 
 
-def build_postings(corpus: DataFrame, vocab_max: int = VOCAB_BROADCAST_MAX) -> DataFrame:
+def build_postings(corpus: DataFrame) -> DataFrame:
     """(term, doc_id, tf_body, tf_title, doc_len) for the kept documents of ``corpus``."""
-    toks = with_terms(_tokens(corpus), vocab_max)
-    title = F.col("is_title")
-    return toks.groupBy("term", "doc_id").agg(
-        F.count(F.when(~title, 1)).cast("int").alias("tf_body"),
-        F.count(F.when(title, 1)).cast("int").alias("tf_title"),
+    counts = add_stem(_word_counts(corpus), "word", "term")
+    return counts.groupBy("term", "doc_id").agg(
+        F.sum("in_body").cast("int").alias("tf_body"),
+        F.sum("in_title").cast("int").alias("tf_title"),
         F.max("doc_len").cast("int").alias("doc_len"),
     )
 
 
+def term_table(postings: DataFrame) -> DataFrame:
+    """(term, df): the number of documents of every term."""
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def build_documents(corpus: DataFrame) -> DataFrame:
     """Stored document rows: title falls back to the url, snippet to '' (PF2)."""
     return corpus.select(
@@ -127,13 +119,13 @@ def corpus_stats(documents: DataFrame) -> DataFrame:
     )
 
 
-def build_index(corpus: DataFrame, require_url: bool = True, vocab_max: int = VOCAB_BROADCAST_MAX) -> Index:
+def build_index(corpus: DataFrame, require_url: bool = True) -> Index:
     kept = corpus.filter(skip_predicate(F.col("url"), F.col("body"), require_url))
     documents = build_documents(kept)
-    postings = build_postings(kept, vocab_max)
-    return Index(documents=documents, postings=postings, stats=corpus_stats(documents))
+    postings = build_postings(kept)
+    return Index(documents=documents, postings=postings, stats=corpus_stats(documents), terms=term_table(postings))
 
 
-def index_documents_table(documents_table: DataFrame, vocab_max: int = VOCAB_BROADCAST_MAX) -> Index:
+def index_documents_table(documents_table: DataFrame) -> Index:
     """Index the ``documents`` test table (body only, no url)."""
-    return build_index(corpus_from_documents(spread(documents_table)), require_url=False, vocab_max=vocab_max)
+    return build_index(corpus_from_documents(documents_table), require_url=False)

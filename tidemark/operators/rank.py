@@ -3,14 +3,14 @@ PF8, A7, SC7).
 
 Plan for a batch of queries (a single query string is a one-row batch):
 
-1. query terms: T2 words -> stems -> distinct (query_id, term)                  small
-2. postings of those terms: left-semi join with the distinct terms (broadcast after a size check)
-3. per-term cap (W1), two-level: top-``cap`` per (term, map-partition group), then per term. Each level
-   gets a map-side WindowGroupLimit, so a hot term sends at most ``cap`` rows per task and the final
-   merge of one term sees at most ``fanin * cap`` rows.
-4. document frequency after the cap (A2, K1): a count over the cap's term partitioning
-5. scores: postings x query terms on term, BM25 per row, sum per (query, doc) (A3)
-6. total hits per query (A4) and top-``limit`` per query (W2 with a map-side group limit)
+1. query terms: T2 words -> stems -> distinct (query_id, term), with df from the index's term table   small
+2. one scan of the postings, joined on term (and on the bucket column of a stored index, which prunes folders)
+3. scores: BM25 per row, summed per (query, doc) after one exchange on (query, salt) (A3)
+4. total hits (A4) and top-``limit`` (W2): first within (query, salt), then over at most salts x limit rows a query
+
+A salt is a hash of the document, so no task ever holds all hits of a query. Small sides are broadcast by the
+planner's own size rule. The per-term cap (W1) is an option of its own: two-level, top-``cap`` per (term, map-partition
+group), then per term, with document frequencies counted after the cap (A2, K1).
 """
 
 from __future__ import annotations
@@ -23,13 +23,10 @@ from tidemark.functions.stem import add_stem
 from tidemark.functions.text import query_words
 from tidemark.functions.urls import classify_source
 from tidemark.operators.index import Index
-from tidemark.operators.util import fits_broadcast
-from tidemark.session import raise_group_limit
 
 DEFAULT_LIMIT = 20
-MAX_POSTINGS_PER_TERM = 5000
 CAP_FANIN = 32
-PUSHDOWN_TERMS = 1000
+SALTS = 32
 
 # Result tabs of the search page and the sources each one shows.
 TABS = {
@@ -60,7 +57,6 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
 
 def cap_postings(cand: DataFrame, cap: int, fanin: int = CAP_FANIN) -> DataFrame:
     """Keep the ``cap`` postings of each term with the highest tf_body + tf_title (doc_id breaks ties)."""
-    raise_group_limit(cand.sparkSession, cap)
     order = [(F.col("tf_body") + F.col("tf_title")).desc(), F.col("doc_id").asc()]
     grouped = cand.withColumn("_grp", F.pmod(F.spark_partition_id(), F.lit(fanin)))
     level1 = (
@@ -75,80 +71,61 @@ def cap_postings(cand: DataFrame, cap: int, fanin: int = CAP_FANIN) -> DataFrame
     )
 
 
-def score_queries(index: Index, qterms: DataFrame, max_postings_per_term: int | None = MAX_POSTINGS_PER_TERM,
-                  fanin: int = CAP_FANIN) -> DataFrame:
-    """(query_id, doc_id, score): full-precision BM25 sums, one row per matching (query, document)."""
-    small = fits_broadcast(qterms)
-    terms = qterms.select("term").distinct()
-    keys = ["term"]
+def score_queries(index: Index, qterms: DataFrame, max_postings_per_term: int | None = None,
+                  fanin: int = CAP_FANIN, salts: int = SALTS) -> DataFrame:
+    """(query_id, salt, doc_id, score): full-precision BM25 sums, one row per matching (query, document)."""
+    keys, known = ["term"], index.terms
     if "term_bucket" in index.postings.columns:
-        # stored index: the bucket is a partition column, so the join on it prunes partitions (DPP)
+        # stored index: the bucket is a partition column, so the join on it prunes folders at run time
         from tidemark.sources.index_store import term_bucket
 
-        terms = terms.withColumn("term_bucket", term_bucket(F.col("term")))
+        qterms = qterms.filter(F.length("term") > 0).withColumn("term_bucket", term_bucket(F.col("term")))
         keys = ["term_bucket", "term"]
-        # static pruning: up to PUSHDOWN_TERMS terms go to the scan as a literal IN (row groups skipped by
-        # min/max on the term-sorted files); the bucket list (at most TERM_BUCKETS values) prunes folders
-        few = terms.limit(PUSHDOWN_TERMS + 1).collect()
-        if len(few) <= PUSHDOWN_TERMS:
-            postings = index.postings.filter(F.col("term_bucket").isin(sorted({r["term_bucket"] for r in few}))
-                                             & F.col("term").isin(sorted(r["term"] for r in few)))
-        else:
-            buckets = sorted(r[0] for r in terms.select("term_bucket").distinct().collect())
-            postings = index.postings.filter(F.col("term_bucket").isin(buckets))
+    if max_postings_per_term is None:
+        rows = index.postings.join(qterms.join(known, keys), keys)
     else:
-        postings = index.postings
-    cand = postings.join(F.broadcast(terms) if small else terms, keys, "left_semi")
-    if max_postings_per_term is not None:
-        # df after the cap (K1): a count over the same term partitioning as the cap, no extra exchange
+        cand = index.postings.join(qterms.select(keys).distinct(), keys, "left_semi")
         capped = cap_postings(cand, int(max_postings_per_term), fanin)
-        cand = capped.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
-    else:
-        # exact df as an aggregate (partial counts map-side), never a window holding a whole hot term
-        dfreq = cand.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        cand = cand.join(F.broadcast(dfreq) if small else dfreq, "term")
+        # df after the cap (K1): a count over the same term partitioning as the cap, no extra exchange
+        capped = capped.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
+        rows = capped.join(qterms, keys)
     # N and the (safe) average length are scalar subqueries over the one-row stats table
     n_docs = index.stats.select("doc_count").scalar()
     avg_safe = index.stats.select(bm25.safe_avg(F.col("avg_length"))).scalar()
-    rows = cand.join(F.broadcast(qterms) if small else qterms, "term")
     tf = bm25.weighted_tf(F.col("tf_body"), F.col("tf_title"))
     idf = bm25.idf(n_docs, F.col("df"))
     scored = rows.filter(tf > 0).select(
         "query_id",
+        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
         "doc_id",
         bm25.term_score(idf, tf, bm25.doc_length_or_avg(F.col("doc_len"), avg_safe), avg_safe).alias("ts"),
     )
-    return scored.groupBy("query_id", "doc_id").agg(F.sum("ts").alias("score"))
+    # the sums and the first ranking share this exchange
+    return scored.repartition("query_id", "salt").groupBy("query_id", "salt", "doc_id").agg(F.sum("ts").alias("score"))
 
 
 def top_k(scores: DataFrame, limit: int) -> DataFrame:
-    """W2 + L1: rank within each query by score (doc_id breaks ties), keep ranks <= limit."""
-    raise_group_limit(scores.sparkSession, limit)
-    w = Window.partitionBy("query_id").orderBy(bm25.rank_key(F.col("score")).desc(), F.col("doc_id").asc())
-    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    """W2 + L1 + A4: rank by score (doc_id breaks ties), keep ranks <= limit, with the query's total hits."""
+    order = [bm25.rank_key(F.col("score")).desc(), F.col("doc_id").asc()]
+    part = Window.partitionBy("query_id", "salt")
+    first = (scores.withColumn("part_rank", F.row_number().over(part.orderBy(*order)))
+             .withColumn("part_hits", F.count(F.lit(1)).over(part)).filter(F.col("part_rank") <= limit))
+    whole = Window.partitionBy("query_id")
+    hits = F.sum(F.when(F.col("part_rank") == 1, F.col("part_hits")).otherwise(0)).over(whole)
+    return (first.withColumn("rank", F.row_number().over(whole.orderBy(*order))).withColumn("total_hits", hits)
+            .filter(F.col("rank") <= limit))
 
 
 def bm25_search(index: Index, queries: DataFrame, limit=DEFAULT_LIMIT,
-                max_postings_per_term: int | None = MAX_POSTINGS_PER_TERM, id_col: str = "query_id",
+                max_postings_per_term: int | None = None, id_col: str = "query_id",
                 text_col: str = "query", fanin: int = CAP_FANIN) -> DataFrame:
-    """(query_id, rank, doc_id, score, total_hits); score rounded to 3 decimals.
+    """(query_id, rank, doc_id, score, total_hits); score rounded to 3 decimals (B5). Exact unless a cap is named.
 
     Queries without any hit give no rows; ``search_response`` turns them into totalHits 0.
     """
     limit = resolve_limit(limit)
-    qterms = query_terms(queries, id_col, text_col)
-    scores = score_queries(index, qterms, max_postings_per_term, fanin)
-    if max_postings_per_term is not None:
-        # hits per query <= query terms x cap: rank and total in one pass over the query_id partitioning
-        w = Window.partitionBy("query_id")
-        order = w.orderBy(bm25.rank_key(F.col("score")).desc(), F.col("doc_id").asc())
-        best = (scores.withColumn("total_hits", F.count(F.lit(1)).over(w))
-                .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit))
-    else:
-        # unbounded hits: totals as an aggregate, top-k with a map-side group limit
-        totals = scores.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_hits"))
-        best = top_k(scores, limit).join(totals, "query_id")
-    return best.select(
+    scores = score_queries(index, query_terms(queries, id_col, text_col), max_postings_per_term, fanin)
+    return top_k(scores, limit).select(
         "query_id",
         F.col("rank").cast("int").alias("rank"),
         "doc_id",
@@ -160,12 +137,15 @@ def bm25_search(index: Index, queries: DataFrame, limit=DEFAULT_LIMIT,
 def with_document_fields(results: DataFrame, documents: DataFrame) -> DataFrame:
     """Late materialisation (J3 after top-k): url, title, snippet and source for the kept results only.
 
-    The result side is at most queries x limit rows; it is broadcast after a size check and the documents
-    table is only scanned for the four display columns.
+    Only the four display columns of the documents are read; on a stored index the document bucket prunes folders.
     """
-    small = fits_broadcast(results)
-    docs = documents.select("doc_id", "url", "title", "snippet")
-    joined = docs.join(F.broadcast(results) if small else results, "doc_id")
+    keys = ["doc_id"]
+    if "doc_bucket" in documents.columns:
+        from tidemark.sources.index_store import doc_bucket
+
+        results = results.filter(F.col("rank") > 0).withColumn("doc_bucket", doc_bucket(F.col("doc_id")))
+        keys = ["doc_bucket", "doc_id"]
+    joined = documents.select(*keys, "url", "title", "snippet").join(results, keys)
     return joined.select(
         "query_id", "rank", bm25.result_id(F.col("doc_id")).alias("id"), "doc_id", "url", "title", "snippet",
         "score", classify_source(F.col("url")).alias("source"), "total_hits",

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.index import Index, build_documents, build_postings, corpus_stats
+from tidemark.operators.index import Index, build_documents, build_postings, corpus_stats, term_table
 
 
 @dataclass
@@ -97,10 +97,27 @@ def reindex(old: Index, old_documents_ts: DataFrame, batch: DataFrame, as_of: Co
         F.when(F.col("doc_count") > 0, F.col("total_length") / F.col("doc_count")).otherwise(F.lit(0.0))
         .alias("avg_length"),
     )
-    return Reindex(modes=modes, index=Index(documents=documents, postings=postings, stats=stats),
+    return Reindex(modes=modes, index=Index(documents=documents, postings=postings, stats=stats, terms=term_table(postings)),
                    documents_ts=docs_ts)
 
 
+def delete_documents(old: Index, gone: DataFrame) -> Index:
+    """The index without the documents of ``gone`` (doc_id), their postings and their share of the statistics.
+
+    Ids that are not stored change nothing; ids that occur twice count once.
+    """
+    ids = gone.select("doc_id").distinct()
+    removed = old.documents.join(ids, "doc_id", "left_semi").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("body_length"), F.lit(0)).cast("long").alias("length"))
+    stats = old.stats.select(
+        (F.col("doc_count") - removed.select("n").scalar()).alias("doc_count"),
+        (F.col("total_length") - removed.select("length").scalar()).alias("total_length"))
+    stats = stats.select("doc_count", "total_length", F.when(F.col("doc_count") > 0, F.col("total_length") / F.col("doc_count"))
+                         .otherwise(F.lit(0.0)).alias("avg_length"))
+    postings = old.postings.join(ids, "doc_id", "left_anti")
+    return Index(documents=old.documents.join(ids, "doc_id", "left_anti"), postings=postings, stats=stats, terms=term_table(postings))
+
+
 def recomputed_stats(index: Index) -> DataFrame:
     """A5 over the stored documents, for the R3 invariant."""
     return corpus_stats(index.documents)

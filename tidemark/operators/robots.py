@@ -9,9 +9,9 @@ version (``TestBot/1.0`` -> ``testbot``).
 A probe (url, agent) uses the rules of every group naming its token, else those of ``*``; rules match
 from the start of path + query, ``*`` is any run of characters and a trailing ``$`` anchors the end; the
 longest pattern wins and allow wins a tie (RFC 9309); no matching rule means allowed. The crawl delay
-is the token's value, else the ``*`` value. Probes join the rules on domain (J9) and the pattern is the
-residual predicate; the winner per probe is an aggregate (``max_by``), so a domain with very many urls
-is combined map-side.
+is that of the same groups: a specific group wins outright, also when it states no delay. Of several cached
+texts of a domain the latest counts. A domain's rules for one agent are one row with an array, so probes join
+one row each (J9) and the winner is picked inside the row; a domain with very many urls is split like any skewed join.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ def rule_tables(robots: DataFrame):
 def pattern_regex(pattern: Column) -> Column:
     """Robots path pattern -> anchored regex: literal text quoted, '*' any run, trailing '$' the end."""
     anchored = pattern.endswith("$")
-    core = F.when(anchored, F.expr("left(pattern, length(pattern) - 1)")).otherwise(pattern)
+    core = F.when(anchored, F.left(pattern, F.length(pattern) - 1)).otherwise(pattern)
     quoted = F.concat(F.lit("^\\Q"), F.replace(core, F.lit("*"), F.lit("\\E.*\\Q")), F.lit("\\E"))
     return F.when(anchored, F.concat(quoted, F.lit("$"))).otherwise(quoted)
 
@@ -70,41 +70,50 @@ def url_path_query(url: Column) -> Column:
     return F.when(F.length(pq) == 0, F.lit("/")).when(pq.startswith("?"), F.concat(F.lit("/"), pq)).otherwise(pq)
 
 
+def group_rows(robots: DataFrame) -> DataFrame:
+    """(domain, agent, rules, delay_sec): one row per domain and named agent, from the domain's latest text."""
+    agents, rules, delays = rule_tables(latest_rules(robots))
+    named = agents.select("domain", "agent").distinct()
+    own = rules.join(agents, ["domain", "group_id"]).groupBy("domain", "agent").agg(
+        F.array_sort(F.collect_set(F.struct(F.length("pattern").alias("chars"), "allow", "pattern", pattern_regex(F.col("pattern")).alias("rx")))).alias("rules"))
+    delay = delays.join(agents, ["domain", "group_id"]).groupBy("domain", "agent").agg(
+        F.max_by("delay_sec", "line_no").alias("delay_sec"))
+    return named.join(own, ["domain", "agent"], "left").join(delay, ["domain", "agent"], "left")
+
+
+def _matches(path: Column, rule: Column) -> Column:
+    """Literal prefixes by comparison; a regex only where the pattern has '*' or ends in '$'."""
+    plain = ~F.contains(rule["pattern"], F.lit("*")) & ~F.endswith(rule["pattern"], F.lit("$"))
+    return F.when(plain, F.startswith(path, rule["pattern"])).otherwise(F.rlike(path, rule["rx"]))
+
+
 def check_permission(probes: DataFrame, robots: DataFrame) -> DataFrame:
     """G1: probes (probe_id, url, domain, agent) -> (probe_id, allowed, crawl_delay_ms)."""
-    agents, rules, delays = rule_tables(robots)
-    p = probes.select("probe_id", "domain", agent_token(F.col("agent")).alias("token"),
-                      url_path_query(F.col("url")).alias("path"))
-    named = agents.select("domain", F.col("agent").alias("token")).distinct().withColumn("_named", F.lit(True))
-    p = p.join(named, ["domain", "token"], "left").select(
-        "probe_id", "domain", "path", "token",
-        F.when(F.col("_named"), F.col("token")).otherwise(F.lit("*")).alias("group_agent"))
-    group_rules = rules.join(agents, ["domain", "group_id"]).select(
-        "domain", F.col("agent").alias("group_agent"), "allow", "pattern", pattern_regex(F.col("pattern")).alias("rx"))
-    cand = p.join(group_rules, ["domain", "group_agent"]).filter(F.expr("path RLIKE rx"))
-    best = cand.groupBy("probe_id").agg(
-        F.max_by("allow", F.struct(F.length("pattern"), F.col("allow").cast("int"))).alias("winner"))
-    group_delay = delays.join(agents, ["domain", "group_id"]).groupBy("domain", "agent").agg(
-        F.max_by("delay_sec", "line_no").alias("delay_sec"))
-    own = group_delay.select("domain", F.col("agent").alias("token"), F.col("delay_sec").alias("own_delay"))
-    star = group_delay.filter(F.col("agent") == "*").select("domain", F.col("delay_sec").alias("star_delay"))
-    out = (
-        p.join(best, "probe_id", "left")
-        .join(own, ["domain", "token"], "left")
-        .join(star, "domain", "left")
-    )
-    delay = F.coalesce(F.col("own_delay"), F.col("star_delay"))
+    groups = group_rows(robots)
+    p = probes.select("probe_id", "domain", agent_token(F.col("agent")).alias("agent"), url_path_query(F.col("url")).alias("path"))
+    star = groups.filter(F.col("agent") == "*").select("domain", F.struct("rules", "delay_sec").alias("star"))
+    own = groups.select("domain", "agent", F.struct("rules", "delay_sec").alias("own"))
+    out = p.join(own, ["domain", "agent"], "left").join(star, "domain", "left")
+    out = out.withColumn("group", F.when(F.col("own").isNotNull(), F.col("own")).otherwise(F.col("star")))
+    hits = F.filter("group.rules", lambda r: _matches(F.col("path"), r))
+    delay = F.col("group.delay_sec")
     return out.select(
         "probe_id",
-        F.coalesce(F.col("winner"), F.lit(True)).alias("allowed"),
+        # rules are sorted by (length, allow): the last match is the longest, allow before disallow
+        F.coalesce(F.try_element_at(hits, F.lit(-1))["allow"], F.lit(True)).alias("allowed"),
         F.when(delay > 0, (delay * 1000).cast("long")).alias("crawl_delay_ms"),
     )
 
 
+def latest_rules(robots: DataFrame) -> DataFrame:
+    """The latest cached text of each domain; of texts fetched at one time, the largest."""
+    key = F.struct(F.col("fetched_at"), F.coalesce(F.col("rules_text"), F.lit("")).alias("rules_text"))
+    return robots.groupBy("domain").agg(F.max(key).alias("r")).select("domain", "r.rules_text", "r.fetched_at")
+
+
 def cache_state(robots: DataFrame, as_of: Column) -> DataFrame:
     """G2 / PF5: latest rules row per domain, marked fresh (younger than 24 h) or stale (refetch)."""
-    latest = robots.groupBy("domain").agg(
-        F.max_by("rules_text", "fetched_at").alias("rules_text"), F.max("fetched_at").alias("fetched_at"))
+    latest = latest_rules(robots)
     fresh = F.col("fetched_at") > as_of - F.expr(f"INTERVAL {CACHE_TTL_HOURS} HOURS")
-    return latest.select("domain", F.coalesce(F.col("rules_text"), F.lit("")).alias("rules_text"), "fetched_at",
+    return latest.select("domain", "rules_text", "fetched_at",
                          F.when(fresh, F.lit("fresh")).otherwise(F.lit("stale")).alias("state"))

@@ -2,46 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import uuid
 
-# Rows a side may have to be broadcast. The side is counted first (a cheap job on a small,
-# already-reduced DataFrame); past the bound the caller's shuffle plan is used instead.
-BROADCAST_MAX_ROWS = 2_000_000
+from pyspark.sql import DataFrame
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1 rows)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` behind a row-count check; otherwise ``df`` unchanged (shuffle join)."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin an under-split input so CPU-heavy row work uses every core.
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: ``df`` as Parquet in the session's shared folder, read back.
 
-    Only triggers when the scan has fewer partitions than the default parallelism (one big row group
-    in a test file); a large input already has many splits and is left alone, so no shuffle is added.
+    Later reads prune columns, the planner knows the real size, and a lost executor costs one read.
     """
-    spark = df.sparkSession
-    try:
-        want = min_partitions or spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # a session without RDD access: leave the input as it is
-        return df
-    return df.repartition(want) if have < want else df
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the session's checkpoint folder."""
     from tidemark.session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -57,13 +57,22 @@ def suggestion_inputs(events: DataFrame) -> DataFrame:
 
 
 def restore_scenario(events: DataFrame) -> DataFrame:
-    """Users whose id ends in 0 restore a backup: their own history, a week older."""
+    """Users whose id ends in 0 restore a backup of the next user's history, a week older."""
     h = history_table(events)
-    users = h.filter(F.col("user_id").endswith("0")).select("user_id").distinct()
-    backup = h.join(users, "user_id", "left_semi").withColumn(
-        "ts", F.col("ts") - F.make_dt_interval(F.lit(RESTORE_SHIFT_DAYS))).withColumn(
+    targets = h.filter(F.col("user_id").endswith("0")).select("user_id").distinct().withColumn(
+        "source_user", (F.col("user_id").cast("long") + 1).cast("string"))
+    backup = h.withColumn("ts", F.col("ts") - F.make_dt_interval(F.lit(RESTORE_SHIFT_DAYS))).withColumn(
         "history_id", F.concat(F.lit("r"), F.col("history_id")))
-    return history.restore(h, backup, users)
+    return history.restore_each(h, backup, targets)
+
+
+def edit_scenario(events: DataFrame) -> DataFrame:
+    """Purchases are appended to the other searches (H1); then every seventh event's row is deleted (PF12)."""
+    h = history_table(events).join(events.select(F.col("event_id").cast("string").alias("history_id"), "event_type"), "history_id")
+    first = h.filter(F.col("event_type") != "purchase").select("history_id", "user_id", "query", "ts")
+    added = history.append(first, h.filter(F.col("event_type") == "purchase"))
+    gone = events.filter(F.pmod("event_id", F.lit(7)) == 0).select(F.col("event_id").cast("string").alias("history_id"))
+    return history.delete_items(added, gone)
 
 
 def dictionary_table(spark: SparkSession) -> DataFrame:

@@ -17,7 +17,7 @@ from tidemark.plans.pages import extract_pages
 
 BASE_TS = "2024-01-01 10:00:00"
 AS_OF = "2024-01-01 10:05:00"
-AGENTS = ["TidemarkBot/1.0", "SomeOtherBot/2.0"]
+AGENTS = ["TidemarkBot/1.0", "GleanerBot/2.0"]
 # robots.txt texts handed out to domains by length(domain) % 3
 ROBOTS_TEXTS = [
     "",
@@ -27,6 +27,11 @@ ROBOTS_TEXTS = [
 ]
 
 
+# the text that every domain had three days before its latest one
+OLD_ROBOTS_TEXT = "User-agent: *\nDisallow: /\n"
+PAGE_BUDGET, MAX_PAGES_PER_DOMAIN, MAX_DEPTH, MAX_BODY_BYTES = 50, 200, 4, 10_000
+
+
 def ts(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
@@ -74,17 +79,25 @@ def fetch_log_table(cp: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def outcome_log(cp: DataFrame, pages: DataFrame) -> DataFrame:
-    """Gate results as outcomes at as_of + page_id seconds, plus a robots-delay touch for every third page."""
-    gate = fr.fetch_gate(fetch_log_table(cp, pages))
-    lg = fetch_log_table(cp, pages).select("url", "page_id", "domain").join(gate, "url")
+    """What a crawl round decides about each page: robots rules first, then the fetch gate.
+
+    A page that the rules forbid is ``disallowed``; a robots delay is a ``touch``. Every fourth page also failed a minute before; pages with
+    page_id % 5 = 1 were not tried.
+    """
+    gate = fr.fetch_gate(fetch_log_table(cp, pages), max_bytes=MAX_BODY_BYTES).withColumnRenamed("outcome", "gated")
+    probes = cp.select(F.col("page_id").alias("probe_id"), "url", "domain", F.lit(AGENTS[0]).alias("agent"))
+    permission = rb.check_permission(probes, robots_table(cp)).withColumnRenamed("probe_id", "page_id")
+    lg = cp.select("url", "page_id", "domain").filter(F.pmod("page_id", F.lit(5)) != 1).join(gate, "url").join(permission, "page_id")
     t = ts(AS_OF) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("page_id").cast("decimal(18,6)"))
-    main = lg.select("url", "domain",
-                     F.when(F.col("outcome") == "failed", "failed").otherwise("done").alias("outcome"),
-                     t.alias("ts"), F.lit(None).cast("int").alias("crawl_delay_ms"), "error")
-    touch = lg.filter(F.pmod(F.col("page_id"), F.lit(3)) == 0).select(
-        "url", "domain", F.lit("touch").alias("outcome"), t.alias("ts"),
-        F.lit(3000).cast("int").alias("crawl_delay_ms"), F.lit(None).cast("string").alias("error"))
-    return main.unionByName(touch)
+    minute = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(1), F.lit(0))
+    no_delay, no_error = F.lit(None).cast("int").alias("crawl_delay_ms"), F.lit(None).cast("string").alias("error")
+    decided = F.when(~F.col("allowed"), "disallowed").when(F.col("gated") == "failed", "failed").otherwise("done")
+    main = lg.select("url", "domain", decided.alias("outcome"), t.alias("ts"), no_delay, F.when(decided == "failed", F.col("error")).alias("error"))
+    earlier = lg.filter(F.pmod("page_id", F.lit(4)) == 0).select(
+        "url", "domain", F.lit("failed").alias("outcome"), (t - minute).alias("ts"), no_delay, F.lit("socket hang up").alias("error"))
+    touch = lg.filter(F.col("crawl_delay_ms").isNotNull()).select(
+        "url", "domain", F.lit("touch").alias("outcome"), t.alias("ts"), F.col("crawl_delay_ms").cast("int").alias("crawl_delay_ms"), no_error)
+    return main.unionByName(earlier).unionByName(touch)
 
 
 def robots_table(cp: DataFrame) -> DataFrame:
@@ -93,7 +106,10 @@ def robots_table(cp: DataFrame) -> DataFrame:
     text = F.when(k == 0, ROBOTS_TEXTS[0]).when(k == 1, ROBOTS_TEXTS[1]).otherwise(ROBOTS_TEXTS[2])
     hours = F.pmod(F.length(d), F.lit(48))
     fetched = ts(AS_OF) - F.make_dt_interval(F.lit(0), hours.cast("int"), F.lit(0), F.lit(0))
-    return cp.select("domain").distinct().select("domain", text.alias("rules_text"), fetched.alias("fetched_at"))
+    latest = cp.select("domain").distinct().select("domain", text.alias("rules_text"), fetched.alias("fetched_at"))
+    older = latest.select("domain", F.lit(OLD_ROBOTS_TEXT).alias("rules_text"),
+                          (F.col("fetched_at") - F.make_dt_interval(F.lit(3), F.lit(0), F.lit(0), F.lit(0))).alias("fetched_at"))
+    return older.unionByName(latest)
 
 
 def probes_table(cp: DataFrame) -> DataFrame:
@@ -103,5 +119,12 @@ def probes_table(cp: DataFrame) -> DataFrame:
 
 
 def edges_table(cp: DataFrame) -> DataFrame:
+    """The pages' links, and from each page n the pages 2n + 1 and 2n + 2, so that paths have several steps."""
     links = fr.discovered_links(cp.withColumn("depth", F.lit(0)))
-    return links.select("src_url", "url")
+    up = cp.select(F.floor((F.col("page_id") - 1) / 2).alias("parent"), F.col("url"))
+    tree = cp.select(F.col("page_id").alias("parent"), F.col("url").alias("src_url")).join(up, "parent").select("src_url", "url")
+    return links.select("src_url", "url").union(tree)
+
+
+def first_of_domain(cp: DataFrame) -> DataFrame:
+    return cp.groupBy("domain").agg(F.min_by("url", "page_id").alias("url")).select("url")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.index import build_index, skip_predicate
-from tidemark.operators.reindex import Reindex, reindex, stamp
+from tidemark.operators.reindex import Reindex, delete_documents, reindex, stamp
 from tidemark.operators.util import materialize
 from tidemark.plans.pages import extract_pages, settle_versions
 
@@ -44,3 +44,29 @@ def run(pages: DataFrame) -> Reindex:
     skipped = second.filter(~skip_predicate(F.col("url"), F.col("body_text"))).select(
         F.coalesce(F.col("url"), F.col("raw_url")).alias("url"))
     return reindex(v1, v1_ts, settle_versions(second), ts(SECOND_CRAWL_AT), skipped)
+
+
+def recrawled_same_id(pages: DataFrame) -> DataFrame:
+    """Documents after one batch that holds every page twice under one id: as it was, and as the second crawl found it."""
+    both = pages.withColumn("arrived_at", ts(FIRST_CRAWL_AT).cast("timestamp")).unionByName(
+        second_crawl(pages).withColumn("arrived_at", ts(SECOND_CRAWL_AT).cast("timestamp"))).unionByName(
+        second_crawl(pages).withColumn("arrived_at", ts(SECOND_CRAWL_AT).cast("timestamp")))
+    return build_index(settle_versions(materialize(extract_pages(both).drop("links")))).documents
+
+
+def recrawled_moved_url(pages: DataFrame) -> Reindex:
+    """A first crawl of the even pages; a second one in which each odd page carries the id of the even page before it."""
+    even = pages.filter(F.pmod("page_id", F.lit(2)) == 0)
+    odd = pages.filter(F.pmod("page_id", F.lit(2)) == 1).withColumn("page_id", F.col("page_id") - 1)
+    v1 = build_index(settle_versions(materialize(extract_pages(even).drop("links"))))
+    batch = settle_versions(materialize(extract_pages(odd).drop("links")))
+    return reindex(v1, stamp(v1.documents, ts(FIRST_CRAWL_AT)), batch, ts(SECOND_CRAWL_AT))
+
+
+def with_deletions(pages: DataFrame):
+    """The page index without the documents of every seventh page."""
+    from tidemark.plans.pages import index_pages, url_id
+
+    index = index_pages(pages)
+    gone = extract_pages(pages.filter(F.pmod("page_id", F.lit(7)) == 0)).filter(F.col("url").isNotNull())
+    return delete_documents(index, gone.select(url_id(F.col("url")).alias("doc_id")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.urls import add_normalized_url, classify_source
@@ -27,10 +27,9 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn is a query; its id is the conversation and the turn, written out."""
     conv = read_table(spark, sf_dir, "conversations")
-    return conv.filter(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query")
-    )
+    return conv.select(F.concat_ws("/", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
 
 
 def q_postings(spark, sf_dir):
@@ -97,14 +96,87 @@ def q_page_postings(spark, sf_dir):
     return pg.index_pages(_pages(spark, sf_dir)).postings.select("term", "doc_id", "tf_body", "tf_title")
 
 
-def q_page_search(spark, sf_dir):
-    idx = pg.index_pages(_pages(spark, sf_dir))
-    res = rank.bm25_search(idx, benchmark_queries(spark, sf_dir), limit=20)
+ENTITY_FORMS = ('<a data-href="/lost" href="/found?x=1&amp;y=2" title="p > q">more</a><p title="a > b">caf&#233; &eacute;t&eacute; &#8217;&#x2014;&mdash; '
+                '&amp;lt; &#146; &nosuch; &#0;</p><nav-bar>bar</nav-bar><!-- <a href="/hidden">h</a> -->')
+#: Hosts handed out by page_id % 7, so that every source class occurs.
+HOSTS = ["en.wikipedia.org", "www.youtube.com", "youtu.be", "www.instagram.com", "web.archive.org", "", "example.org"]
+
+
+def _with_entities(pages):
+    """The pages with the harder forms of markup in front of each article."""
+    return pages.withColumn("html", F.replace(F.col("html"), F.lit("<article>"), F.lit("<article>" + ENTITY_FORMS)))
+
+
+def _varied_hosts(pages):
+    hosts = F.element_at(F.array(*[F.lit(h) for h in HOSTS]), (F.pmod("page_id", F.lit(len(HOSTS))) + 1).cast("int"))
+    own = F.regexp_extract("url", r"^https?://([^/?#]*)", 1)
+    rest = F.regexp_replace("url", r"^https?://[^/?#]*", "")
+    return pages.withColumn("url", F.concat(F.lit("https://"), F.when(F.length(hosts) > 0, hosts).otherwise(own), rest))
+
+
+def q_page_entities(spark, sf_dir):
+    ex = pg.extract_pages(_with_entities(_pages(spark, sf_dir)))
+    return ex.select("page_id", "title", "snippet", "body_text", F.array_join("links", " ").alias("links"))
+
+
+def _page_hits(spark, sf_dir, pages=None, queries=None, limit=20):
+    idx = pg.index_pages(_pages(spark, sf_dir) if pages is None else pages)
+    res = rank.bm25_search(idx, benchmark_queries(spark, sf_dir) if queries is None else queries, limit=limit)
     return rank.with_document_fields(res, idx.documents)
 
 
+def q_page_search(spark, sf_dir):
+    return _page_hits(spark, sf_dir)
+
+
+def _varied_hits(spark, sf_dir):
+    return _page_hits(spark, sf_dir, pages=_varied_hosts(_pages(spark, sf_dir)))
+
+
 def q_source_counts(spark, sf_dir):
-    return rank.tab_counts(q_page_search(spark, sf_dir))
+    return rank.tab_counts(_varied_hits(spark, sf_dir))
+
+
+def q_tab_results(spark, sf_dir):
+    """PF7, L4, PF13: the youtube tab, at most three results a query, with the address as displayed."""
+    from tidemark.functions.urls import display_url
+
+    rows = rank.tab_filter(_varied_hits(spark, sf_dir), "youtube", 3)
+    return rows.select("query_id", F.col("tab_rank").cast("int").alias("tab_rank"), "id", display_url(F.col("url"), 30).alias("shown"))
+
+
+def q_first_result(spark, sf_dir):
+    """L3: the first result of every query only."""
+    return _page_hits(spark, sf_dir, limit=1).select("query_id", "rank", "id", "score", "total_hits")
+
+
+def q_search_response(spark, sf_dir):
+    """SC7, U2, PF8: the answer to each query, the card in front; blank, stop-word and dictionary-word queries among them."""
+    from tidemark.operators import enrich
+    from tidemark.plans import activity
+
+    asked = read_table(spark, sf_dir, "events").select(F.col("event_type").alias("query")).distinct()
+    asked = asked.select((-2 - F.row_number().over(Window.orderBy("query"))).cast("long").alias("query_id"), "query")
+    fixed = spark.createDataFrame([(-1, "   "), (-2, "the a an")], "query_id long, query string")
+    queries = benchmark_queries(spark, sf_dir).unionByName(fixed).unionByName(asked)
+    hits = _page_hits(spark, sf_dir, queries=queries, limit=5)
+    cards = enrich.cards_for_queries(queries, activity.dictionary_table(spark))
+    out = rank.search_response(queries, enrich.with_cards(hits, cards))
+    return out.select("query_id", "query", F.col("totalHits").alias("total_hits"),
+                      F.array_join(F.transform("results", lambda r: r["id"]), " ").alias("ids"),
+                      F.array_join(F.transform("results", lambda r: F.coalesce(r["source"], F.lit("-"))), " ").alias("sources"))
+
+
+def q_bm25_stored(spark, sf_dir):
+    """The benchmark queries on a stored index: written as a version, read back, searched with folder pruning."""
+    import uuid
+
+    from tidemark.session import ensure_checkpoint_dir
+    from tidemark.sources import index_store
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    index_store.write_version(_documents_index(spark, sf_dir), root, 1)
+    return rank.bm25_search(index_store.read_version(spark, root, 1), benchmark_queries(spark, sf_dir), 20)
 
 
 def _reindex(spark, sf_dir):
@@ -129,6 +201,30 @@ def q_reindex_stats(spark, sf_dir):
     return _reindex(spark, sf_dir).index.stats
 
 
+def q_recrawl_same_id(spark, sf_dir):
+    from tidemark.plans import maintenance
+
+    return maintenance.recrawled_same_id(_pages(spark, sf_dir))
+
+
+def q_recrawl_moved_url(spark, sf_dir):
+    from tidemark.plans import maintenance
+
+    return maintenance.recrawled_moved_url(_pages(spark, sf_dir)).index.documents
+
+
+def q_delete_documents(spark, sf_dir):
+    from tidemark.plans import maintenance
+
+    return maintenance.with_deletions(_pages(spark, sf_dir)).postings.select("term", "doc_id", "tf_body", "tf_title")
+
+
+def q_delete_stats(spark, sf_dir):
+    from tidemark.plans import maintenance
+
+    return maintenance.with_deletions(_pages(spark, sf_dir)).stats
+
+
 def _crawl(spark, sf_dir):
     from tidemark.plans import crawl
 
@@ -142,7 +238,7 @@ def q_enqueue_new(spark, sf_dir):
     crawl, _, cp, queue = _crawl(spark, sf_dir)
     from tidemark.operators import frontier as fr
 
-    links = fr.discovered_links(cp.join(queue.select("url", "depth"), "url"))
+    links = fr.discovered_links(cp.join(queue.select("url", "depth"), "url"), max_depth=crawl.MAX_DEPTH)
     return fr.enqueue(links, queue, crawl.ts(crawl.AS_OF))
 
 
@@ -150,14 +246,15 @@ def q_fetch_list(spark, sf_dir):
     crawl, _, cp, queue = _crawl(spark, sf_dir)
     from tidemark.operators import frontier as fr
 
-    return fr.fetch_list(queue, crawl.domain_stats_table(queue), crawl.ts(crawl.AS_OF))
+    return fr.fetch_list(queue, crawl.domain_stats_table(queue), crawl.ts(crawl.AS_OF), crawl.PAGE_BUDGET,
+                         crawl.MAX_PAGES_PER_DOMAIN)
 
 
 def q_fetch_gate(spark, sf_dir):
     crawl, pages, cp, _ = _crawl(spark, sf_dir)
     from tidemark.operators import frontier as fr
 
-    return fr.fetch_gate(crawl.fetch_log_table(cp, pages))
+    return fr.fetch_gate(crawl.fetch_log_table(cp, pages), max_bytes=crawl.MAX_BODY_BYTES)
 
 
 def _folded(spark, sf_dir):
@@ -185,7 +282,24 @@ def q_bfs_depth(spark, sf_dir):
     crawl, _, cp, _ = _crawl(spark, sf_dir)
     from tidemark.operators import frontier as fr
 
-    return fr.bfs_depths(cp.select("url"), crawl.edges_table(cp))
+    return fr.bfs_depths(crawl.first_of_domain(cp), crawl.edges_table(cp), crawl.MAX_DEPTH)
+
+
+def q_seed_queue(spark, sf_dir):
+    """SC3, M1: the pages' addresses as seeds; every third page is queued already."""
+    crawl, pages, _, queue = _crawl(spark, sf_dir)
+    from tidemark.operators import frontier as fr
+
+    known = queue.filter(F.pmod("id", F.lit(3)) == 0)
+    return fr.seed_queue(pages.select("url"), known, crawl.ts(crawl.AS_OF))
+
+
+def q_blocked_domains(spark, sf_dir):
+    """M4: the domains of every ninth page are blocked."""
+    crawl, _, cp, queue = _crawl(spark, sf_dir)
+    from tidemark.operators import frontier as fr
+
+    return fr.block_domains(crawl.domain_stats_table(queue), cp.filter(F.pmod("page_id", F.lit(9)) == 0).select("domain"))
 
 
 def q_robots_allowed(spark, sf_dir):
@@ -235,6 +349,12 @@ def q_restore_user(spark, sf_dir):
     return activity.restore_scenario(_events(spark, sf_dir))
 
 
+def q_history_edit(spark, sf_dir):
+    from tidemark.plans import activity
+
+    return activity.edit_scenario(_events(spark, sf_dir))
+
+
 def q_dict_cards(spark, sf_dir):
     from tidemark.plans import activity
 
@@ -256,10 +376,10 @@ QUERIES: dict[str, Query] = {
     "doc_freq": q_doc_freq,
     "stem_vocab": q_stem_vocab,
     "query_terms": q_query_terms,
-    "bm25_batch": _bm25(rank.MAX_POSTINGS_PER_TERM, 20),
+    "bm25_batch": _bm25(None, 20),
     "bm25_capped": _bm25(50, 20),
     "bm25_uncapped": _bm25(None, 20),
-    "bm25_conversations": _bm25(rank.MAX_POSTINGS_PER_TERM, 10, conversation_queries),
+    "bm25_conversations": _bm25(None, 10, conversation_queries),
     "page_fields": q_page_fields,
     "page_links": q_page_links,
     "url_norm": q_url_norm,
@@ -286,4 +406,16 @@ QUERIES: dict[str, Query] = {
     "restore_user": q_restore_user,
     "dict_cards": q_dict_cards,
     "stream_index": q_stream_index,
+    "page_entities": q_page_entities,
+    "tab_results": q_tab_results,
+    "first_result": q_first_result,
+    "search_response": q_search_response,
+    "bm25_stored": q_bm25_stored,
+    "recrawl_same_id": q_recrawl_same_id,
+    "recrawl_moved_url": q_recrawl_moved_url,
+    "delete_documents": q_delete_documents,
+    "delete_stats": q_delete_stats,
+    "seed_queue": q_seed_queue,
+    "blocked_domains": q_blocked_domains,
+    "history_edit": q_history_edit,
 }

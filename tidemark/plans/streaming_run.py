@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators.index import Index
 from tidemark.session import ensure_checkpoint_dir
@@ -14,20 +15,19 @@ from tidemark.streaming import ingest
 ARRIVAL_FILES = 4
 
 
-def split_into_files(spark: SparkSession, pages: DataFrame, path: str, n: int = ARRIVAL_FILES) -> None:
-    """Write ``pages`` as ``n`` page_id ranges, file i older than file i + 1 (arrival order)."""
-    pages.repartitionByRange(n, "page_id").sortWithinPartitions("page_id").write.mode("overwrite").parquet(path)
-    fs, p = index_store._fs(spark, path)
-    files = [st.getPath() for st in fs.listStatus(p) if st.getPath().getName().endswith(".parquet")]
-    base = 1_700_000_000_000
-    for i, f in enumerate(sorted(files, key=lambda x: x.getName())):
-        fs.setTimes(f, base + i * 1000, -1)
+def split_into_files(pages: DataFrame, path: str, n: int = ARRIVAL_FILES) -> None:
+    """Write ``pages`` as ``n`` parts by page_id, one after the other, so that each arrives after the one before."""
+    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
+    width = ((high or 0) - (low or 0)) // n + 1
+    for k in range(n):
+        part = pages.filter(F.floor((F.col("page_id") - F.lit(low or 0)) / width) == k)
+        part.coalesce(1).write.mode("append").parquet(path)
 
 
-def stream_pages(spark: SparkSession, pages: DataFrame, n: int = ARRIVAL_FILES) -> Index:
+def stream_pages(spark: SparkSession, pages: DataFrame, n: int = ARRIVAL_FILES, files_per_batch: int = 1) -> Index:
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    split_into_files(spark, pages, f"{root}/arrivals", n)
-    q = ingest.start(spark, f"{root}/arrivals", f"{root}/index", f"{root}/checkpoint", max_files_per_trigger=1)
+    split_into_files(pages, f"{root}/arrivals", n)
+    q = ingest.start(spark, f"{root}/arrivals", f"{root}/index", f"{root}/checkpoint", max_files_per_trigger=files_per_batch)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

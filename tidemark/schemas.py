@@ -13,7 +13,7 @@ def _s(*fields) -> StructType:
 # stored index tables
 DOCUMENTS = _s(("doc_id", LongType()), ("url", StringType()), ("domain", StringType()), ("title", StringType()),
                ("snippet", StringType()), ("body_length", IntegerType()), ("content_hash", StringType()),
-               ("crawled_at", TimestampType()), ("updated_at", TimestampType()))
+               ("crawled_at", TimestampNTZType()), ("updated_at", TimestampNTZType()))
 POSTINGS = _s(("term", StringType()), ("doc_id", LongType()), ("tf_body", IntegerType()),
               ("tf_title", IntegerType()), ("doc_len", IntegerType()))
 INDEX_STATS = _s(("doc_count", LongType()), ("total_length", LongType()))

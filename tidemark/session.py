@@ -7,55 +7,45 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Largest per-term posting cap that still gets a partial (map-side) WindowGroupLimit.
-# Spark only inserts the group limit when rank <= this threshold (default 1000).
-WINDOW_GROUP_LIMIT = 5000
-
-
-def get_spark(master: str | None = None, app: str = "tidemark", partitions: int = 8) -> SparkSession:
-    """Local or cluster session with the settings the plans are designed for.
-
-    On a cluster the deploy configuration wins: every option below is only a default.
-    """
+#: Runtime settings that the plans are designed for; each is set only where the deployment says nothing.
+RUNTIME_DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
+def get_spark(master: str | None = None, app: str = "tidemark", partitions: int | None = None) -> SparkSession:
+    """Local or cluster session. What the deployment configures stays as it is; ``partitions`` counts only where it names none."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    builder = (
-        builder.config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.optimizer.windowGroupLimitThreshold", str(WINDOW_GROUP_LIMIT))
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "16g"))
-    )
+        given = os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+        for key, value in (("spark.ui.enabled", "false"), ("spark.ui.showConsoleProgress", "false"),
+                           ("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "16g"))):
+            if key not in given and not (key == "spark.driver.memory" and "--driver-memory" in given):
+                builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    set_by_deployment = {k for k, _ in spark.sparkContext.getConf().getAll()}
+    wanted = RUNTIME_DEFAULTS | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    for key, value in wanted.items():
+        if key not in set_by_deployment:
+            spark.conf.set(key, value)
     ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only when none is configured.
-
-    On a cluster ``spark.checkpoint.dir`` names a shared, fault-tolerant folder and is used as is.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    """The shared checkpoint folder. Only a local master may go without one; it gets a fresh folder of its own."""
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="tidemark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current
-
-
-def raise_group_limit(spark: SparkSession, rank_limit: int) -> None:
-    """Make sure a top-``rank_limit`` window still gets the map-side group limit."""
-    current = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if rank_limit > current:
-        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(rank_limit))

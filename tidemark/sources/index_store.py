@@ -1,80 +1,88 @@
-"""Versioned index storage (SC5, SC6, §7.4).
+"""Stored index (SC5, SC6, §7.4).
 
 Layout under a root folder (HDFS, object store or local):
 
-    version=N/documents/            parquet
-    version=N/postings/term_bucket=B/   parquet, sorted by term inside each file
-    version=N/stats/                one-row parquet
+    version=N/documents/doc_bucket=B/    parquet
+    version=N/postings/term_bucket=B/    parquet, sorted by term inside each file
+    version=N/terms/term_bucket=B/       parquet: document frequency of every term
+    version=N/stats/                     one-row parquet
+    versions/                            one row per complete version, written last
 
-A version directory is written completely before it is used; a writer that re-runs for the same version
-overwrites the same directory, so retries are idempotent. Readers pick the highest complete version
-(one holding a ``_SUCCESS`` marker in each table).
+A writer that re-runs for the same version overwrites the same folders, so retries are idempotent.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.operators.index import Index, corpus_stats
+from tidemark import schemas
+from tidemark.operators.index import Index, corpus_stats, term_table
 
 TERM_BUCKETS = 64
+DOC_BUCKETS = 64
 
 
-def term_bucket(term, buckets: int = TERM_BUCKETS):
+def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+def doc_bucket(doc_id: Column, buckets: int = DOC_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
 
 
-def write_version(index: Index, root: str, version: int, buckets: int = TERM_BUCKETS,
-                  documents: DataFrame | None = None) -> str:
+def _with(schema: T.StructType, bucket: str) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(bucket, T.IntegerType())])
+
+
+def write_version(index: Index, root: str, version: int, documents: DataFrame | None = None) -> str:
+    """Writes one version; raises ValueError if two documents have one id."""
     base = f"{root.rstrip('/')}/version={version}"
     spark = index.postings.sparkSession
-    (documents if documents is not None else index.documents).write.mode("overwrite").parquet(f"{base}/documents")
-    post = index.postings.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
+    docs = (documents if documents is not None else index.documents).drop("doc_bucket")
+    docs = docs.withColumn("doc_bucket", doc_bucket(F.col("doc_id")))
+    docs.repartition("doc_bucket").write.mode("overwrite").partitionBy("doc_bucket").parquet(f"{base}/documents")
+    stored = spark.read.parquet(f"{base}/documents")
+    twice = stored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    if not twice.isEmpty():
+        raise ValueError("two documents have one id")
+    post = index.postings.drop("term_bucket").withColumn("term_bucket", term_bucket(F.col("term")))
     # range partitions on (bucket, term, doc_id): even file sizes, each task writes one or two bucket
     # folders, a very common term is split across tasks, and files are sorted by term for min/max skipping
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (post.repartitionByRange(n, "term_bucket", "term", "doc_id").sortWithinPartitions("term", "doc_id")
+    (post.repartitionByRange("term_bucket", "term", "doc_id").sortWithinPartitions("term_bucket", "term", "doc_id")
      .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{base}/postings"))
+    terms = term_table(spark.read.parquet(f"{base}/postings").select("term", "doc_id")).withColumn("term_bucket", term_bucket(F.col("term")))
+    terms.repartition("term_bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("term_bucket").parquet(f"{base}/terms")
     # stats from the documents just written (a narrow column scan), not by re-running the build plan;
     # an index whose stats are maintained by deltas (re-index) writes those instead
-    stats = index.stats if documents is not None else corpus_stats(spark.read.parquet(f"{base}/documents"))
+    stats = index.stats if documents is not None else corpus_stats(stored)
     stats.select("doc_count", "total_length").coalesce(1).write.mode("overwrite").parquet(f"{base}/stats")
+    spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode("append").parquet(f"{root.rstrip('/')}/versions")
     return base
 
 
 def versions(spark: SparkSession, root: str) -> list[int]:
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
+    """Numbers of the complete versions, ascending."""
+    try:
+        rows = spark.read.schema("version long").parquet(f"{root.rstrip('/')}/versions")
+    except AnalysisException:  # nothing was written yet
         return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("version="):
-            v = int(name.split("=", 1)[1])
-            ok = all(fs.exists(st.getPath().suffix(f"/{t}/_SUCCESS")) for t in ("documents", "postings", "stats"))
-            if ok:
-                out.append(v)
-    return sorted(out)
+    return sorted(r[0] for r in rows.distinct().collect())
 
 
 def read_version(spark: SparkSession, root: str, version: int) -> Index:
     base = f"{root.rstrip('/')}/version={version}"
-    documents = spark.read.parquet(f"{base}/documents")
-    postings = spark.read.parquet(f"{base}/postings")
-    raw = spark.read.parquet(f"{base}/stats")
+    raw = spark.read.schema(schemas.INDEX_STATS).parquet(f"{base}/stats")
     stats = raw.select(
         "doc_count", "total_length",
         F.when(F.col("doc_count") > 0, F.col("total_length") / F.col("doc_count")).otherwise(F.lit(0.0))
         .alias("avg_length"),
     )
-    return Index(documents=documents, postings=postings, stats=stats)
+    return Index(documents=spark.read.schema(_with(schemas.DOCUMENTS, "doc_bucket")).parquet(f"{base}/documents"),
+                 postings=spark.read.schema(_with(schemas.POSTINGS, "term_bucket")).parquet(f"{base}/postings"),
+                 stats=stats, terms=spark.read.schema("term string, df bigint, term_bucket int").parquet(f"{base}/terms"))
 
 
 def read_latest(spark: SparkSession, root: str) -> tuple[int, Index] | None:

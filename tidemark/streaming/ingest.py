@@ -2,7 +2,7 @@
 
 Arriving page files are read with ``readStream`` (``maxFilesPerTrigger`` bounds a micro-batch, the
 batch form of the crawler's page budget); ``foreachBatch`` runs the batch re-index on each micro-batch:
-extract, settle (the last arrival of a url in the batch wins), compare hashes with the stored version,
+extract, settle (a url's pages count in order of arrival, also inside a batch), compare hashes with the stored version,
 write version ``batch_id + 1``. The stored documents are the seen-url state (ST2): a url already stored
 is matched by the J6 join, so no unbounded streaming state is kept. The batch's clock is the newest
 modification time of its files, so the query's checkpoint plus the per-batch version directory make a
@@ -39,11 +39,12 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, index_ro
     old = index_store.read_version(spark, index_root, previous[-1])
     skipped = extracted.filter(~skip_predicate(F.col("url"), F.col("body_text"))).select(
         F.coalesce(F.col("url"), F.col("raw_url")).alias("url"))
-    old_idx = Index(documents=old.documents.drop("crawled_at", "updated_at"),
-                    postings=old.postings.drop("term_bucket"), stats=old.stats)
-    r = reindex(old_idx, old.documents, settled, as_of, skipped)
+    stored = old.documents.drop("doc_bucket")
+    old_idx = Index(documents=stored.drop("crawled_at", "updated_at"),
+                    postings=old.postings.drop("term_bucket"), stats=old.stats, terms=old.terms)
+    r = reindex(old_idx, stored, settled, as_of, skipped)
     docs_ts = materialize(r.documents_ts)
-    nxt = Index(documents=docs_ts.drop("crawled_at", "updated_at"), postings=r.index.postings, stats=r.index.stats)
+    nxt = Index(documents=docs_ts.drop("crawled_at", "updated_at"), postings=r.index.postings, stats=r.index.stats, terms=r.index.terms)
     index_store.write_version(nxt, index_root, version, documents=docs_ts)
 
 
