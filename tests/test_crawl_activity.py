@@ -29,11 +29,11 @@ def test_fetch_list_fixture(spark):
         (6, "https://e.test/1", "e.test", 0, "pending", t(10, 0), None, None),
         (7, "https://f.test/1", "f.test", 0, "pending", t(10, 3), None, None),
         (8, "https://a.test/0", "a.test", 0, "done", t(9, 0), None, None)], schemas.CRAWL_QUEUE)
-    got = [r.id for r in frontier.fetch_list(q, ds, as_of()).collect()]
-    assert got == [2, 7]
-    assert [r.id for r in frontier.fetch_list(q, ds, as_of(), budget=1).collect()] == [2]
+    got = [r.id for r in frontier.fetch_list(q, ds, as_of(), max_pages=200).collect()]
+    assert sorted(got) == [2, 7]
+    assert [r.id for r in frontier.fetch_list(q, ds, as_of(), budget=1, max_pages=200).collect()] == [2]
     blocked = spark.createDataFrame([("a.test",)], "domain string")
-    assert [r.id for r in frontier.fetch_list(q, ds, as_of(), blocked=blocked).collect()] == [7]
+    assert [r.id for r in frontier.fetch_list(q, ds, as_of(), max_pages=200, blocked=blocked).collect()] == [7]
 
 
 def test_enqueue_and_fold(spark):
@@ -42,7 +42,7 @@ def test_enqueue_and_fold(spark):
     pages = spark.createDataFrame([("https://a.test/x", 0, ["/x", "/y", "/y#frag", "mailto:m@a.test", "https://B.test/z/"]),
                                    ("https://deep.test/", 4, ["/never"])],
                                   "url string, depth int, links array<string>")
-    new = frontier.enqueue(frontier.discovered_links(pages), q, as_of())
+    new = frontier.enqueue(frontier.discovered_links(pages, max_depth=4), q, as_of())
     assert sorted((r.url, r.depth) for r in new.collect()) == [("https://a.test/y", 1), ("https://b.test/z", 1)]
     ds = spark.createDataFrame([("a.test", 2, t(9, 0), 1000, False)], schemas.DOMAIN_STATS)
     outs = spark.createDataFrame([
@@ -55,13 +55,17 @@ def test_enqueue_and_fold(spark):
     assert (d["a.test"].pages_crawled, d["a.test"].crawl_delay_ms, d["a.test"].last_fetched_at) == (3, 3000, t(12, 0, 2))
     assert (d["n.test"].pages_crawled, d["n.test"].crawl_delay_ms) == (0, 1000)
     assert {r.status: r.n for r in frontier.queue_counts(q2).collect()} == {"done": 1}
+    failed = spark.createDataFrame([(1, "https://a.test/x", "a.test", 0, "failed", t(10, 0), None, "boom")], schemas.CRAWL_QUEUE)
+    assert frontier.fold_outcomes(failed, ds, outs)[0].first().error == "boom"  # only a new failure replaces the message
+    flagged = frontier.block_domains(ds, spark.createDataFrame([("n.test",), ("a.test",)], "domain string"))
+    assert {r.domain: r.disallowed for r in flagged.collect()} == {"a.test": True, "n.test": True}
 
 
 def test_fetch_gate(spark):
     log = spark.createDataFrame([("u1", 200, "text/html", "<p>", None), ("u2", 200, "application/pdf", "x", None),
                                  ("u3", 404, "text/html", "", None), ("u4", 200, "text/html", "x" * 2_000_001, None)],
                                 schemas.FETCH_LOG)
-    got = {r.url: (r.outcome, r.error) for r in frontier.fetch_gate(log).collect()}
+    got = {r.url: (r.outcome, r.error) for r in frontier.fetch_gate(log, max_bytes=2_000_000).collect()}
     assert got["u1"] == ("indexed", None) and got["u2"] == ("skipped-non-html", None)
     assert got["u3"][0] == "failed" and got["u4"][0] == "failed"
 
@@ -70,28 +74,27 @@ def test_bfs_min_depth(spark):
     seeds = spark.createDataFrame([("a",)], "url string")
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("e", "f")],
                                   "src_url string, url string")
-    got = {r.url: r.depth for r in frontier.bfs_depths(seeds, edges).collect()}
+    got = {r.url: r.depth for r in frontier.bfs_depths(seeds, edges, 4).collect()}
     assert got == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 3, "f": 4}
 
 
 def test_robots_group_precedence(spark):
-    text = "\nUser-agent: *\nDisallow: /private/\nCrawl-delay: 2\n\nUser-agent: TestBot\nDisallow: /no-bots-allowed/\n"
-    rules = spark.createDataFrame([("example.com", text, t(11, 0)), ("long.test", "User-agent: *\nDisallow: /a\n"
-                                   "Allow: /a/b\nDisallow: /a/b$\nAllow: /x*y$", t(11, 0)),
-                                   ("empty.test", "", t(11, 0))], schemas.ROBOTS_CACHE)
+    open_text = "User-agent: gardener\nDisallow: /beds/\nAllow: /beds/roses\n\nUser-agent: *\nCrawl-delay: 4\nDisallow: /shed\n"
+    rules = spark.createDataFrame([
+        ("park.test", "User-agent: *\nDisallow: /\n", t(8, 0)), ("park.test", open_text, t(11, 0)),
+        ("maze.test", "User-agent: *\nDisallow: /way\nAllow: /way/out\nDisallow: /way/out$\nAllow: /p*q$", t(11, 0)), ("void.test", "", t(11, 0))], schemas.ROBOTS_CACHE)
     probes = spark.createDataFrame([
-        (1, "https://example.com/public/page", "example.com", "TestBot/1.0"),
-        (2, "https://example.com/no-bots-allowed/x", "example.com", "TestBot/1.0"),
-        (3, "https://example.com/private/page", "example.com", "TestBot/1.0"),
-        (4, "https://example.com/private/page", "example.com", "SomeOtherBot/1.0"),
-        (5, "https://long.test/a/b/c", "long.test", "X"), (6, "https://long.test/a/c", "long.test", "X"),
-        (7, "https://long.test/a/b", "long.test", "X"), (8, "https://long.test/x-q-y", "long.test", "X"),
-        (9, "https://empty.test/a", "empty.test", "X"), (10, "https://none.test/a", "none.test", "X")],
+        (1, "https://park.test/shed/tools", "park.test", "Gardener/3.1"), (2, "https://park.test/beds/tulips", "park.test", "Gardener/3.1"),
+        (3, "https://park.test/beds/roses/red", "park.test", "Gardener/3.1"), (4, "https://park.test/shed/tools", "park.test", "Walker/2"),
+        (5, "https://park.test/paths", "park.test", "Walker/2"), (6, "https://maze.test/way/out/now", "maze.test", "W"), (7, "https://maze.test/way/in", "maze.test", "W"),
+        (8, "https://maze.test/way/out", "maze.test", "W"), (9, "https://maze.test/p/1/q", "maze.test", "W"), (10, "https://void.test/a", "void.test", "W"), (11, "https://lost.test/a", "lost.test", "W")],
         "probe_id long, url string, domain string, agent string")
     got = {r.probe_id: (r.allowed, r.crawl_delay_ms) for r in robots.check_permission(probes, rules).collect()}
-    assert got[1] == (True, 2000) and got[2][0] is False and got[3][0] is True and got[4] == (False, 2000)
-    assert got[5][0] is True and got[6][0] is False and got[7][0] is False and got[8][0] is True
-    assert got[9] == (True, None) and got[10] == (True, None)
+    # the named group wins outright: no delay and no rule of "*" applies to it
+    assert got[1] == (True, None) and got[2] == (False, None) and got[3] == (True, None)
+    assert got[4] == (False, 4000) and got[5] == (True, 4000)  # the latest text of the domain, not the older "Disallow: /"
+    assert [got[k][0] for k in (6, 7, 8, 9)] == [True, False, False, True]
+    assert got[10] == (True, None) and got[11] == (True, None)
     fresh = spark.createDataFrame([("a.test", "", t(11, 0) - dt.timedelta(hours=23)),
                                    ("b.test", "", t(11, 0) - dt.timedelta(hours=25))], schemas.ROBOTS_CACHE)
     st = {r.domain: r.state for r in robots.cache_state(fresh, F.lit("2024-01-01 11:00:00").cast("timestamp")).collect()}
@@ -115,9 +118,13 @@ def test_history_and_bookmarks(spark, tmp_path):
     users = spark.createDataFrame([("v",)], "user_id string")
     history.export_backup(h, path, users)
     back = history.read_backup(spark, path, schemas.HISTORY).withColumn("query", F.upper("query"))
-    restored = history.restore(h, back, users)
+    restored = history.restore(h, back, "v")
     assert sorted(r.query for r in restored.filter("user_id = 'v'").collect()) == ["CATS"]
     assert restored.filter("user_id = 'u'").count() == 5
+    # rows exported under another user are re-keyed, and none is lost
+    moved = history.restore(h, h.filter("user_id = 'u'"), "v")
+    assert moved.filter("user_id = 'v'").count() == 5 and moved.count() == 10
+    assert history.append(h, back).count() == 7
 
 
 def test_dictionary_cards(spark):

@@ -1,18 +1,31 @@
-import datetime as dt
+import pytest
 
 
-def test_stream_equals_batch_and_uses_arrival_clock(spark):
+@pytest.mark.parametrize("files_per_batch", [1, 2])
+def test_stream_equals_batch(spark, files_per_batch):
     from tidemark.plans.pages import index_pages
-    from tidemark.plans.streaming_run import ARRIVAL_FILES, stream_pages
+    from tidemark.plans.streaming_run import stream_pages
 
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    streamed = stream_pages(spark, pages)
+    streamed = stream_pages(spark, pages, files_per_batch=files_per_batch)
     batch = index_pages(pages)
     cols = ["term", "doc_id", "tf_body", "tf_title"]
     assert sorted(map(tuple, streamed.postings.select(cols).collect())) == \
         sorted(map(tuple, batch.postings.select(cols).collect()))
-    # file i of the arrivals carries modification time base + i seconds (set by split_into_files)
-    base = dt.datetime(2023, 11, 14, 22, 13, 20)
-    allowed = {base + dt.timedelta(seconds=i) for i in range(ARRIVAL_FILES)}
     stamps = {r.crawled_at for r in streamed.documents.select("crawled_at").distinct().collect()}
-    assert stamps and stamps <= allowed
+    assert stamps and None not in stamps
+
+
+def test_recrawled_ids_in_one_batch(spark, tmp_path):
+    """Two files in one batch hold the same page_id with different bodies: the later file counts."""
+    from tidemark.sources import index_store
+    from tidemark.streaming import ingest
+
+    schema = "page_id long, url string, html string"
+    for body in ("first words", "second words"):
+        spark.createDataFrame([(7, "https://x.test/a", f"<body>{body}</body>")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = ingest.start(spark, str(tmp_path / "in"), str(tmp_path / "index"), str(tmp_path / "cp"), max_files_per_trigger=2)
+    q.awaitTermination()
+    _, index = index_store.read_latest(spark, str(tmp_path / "index"))
+    assert sorted(r.term for r in index.postings.filter("tf_body > 0").collect()) == ["second", "word"]
+    assert index.documents.count() == 1

@@ -4,13 +4,12 @@ from tidemark.functions.html import add_page_fields
 from tidemark.functions.urls import add_normalized_url, classify_source, display_url, get_domain
 
 URL_CASES = [
-    ("/a", "https://Site.test/p", "https://site.test/a"),
-    ("https://site.test/p#s", "https://site.test", "https://site.test/p"),
-    ("https://site.test/p/", "https://site.test", "https://site.test/p"),
-    ("https://site.test/p?utm_source=x&b=2", "https://site.test", "https://site.test/p?b=2"),
-    ("mailto:x@site.test", "https://site.test", None),
-    ("javascript:void(0)", "https://site.test", None),
-    ("?z=1&a=2", "https://site.test/p", "https://site.test/p?a=2&z=1"),
+    ("deep/er", "http://HOST.test/dir/", "http://host.test/dir/deep/er"),
+    ("http://host.test/q?gclid=1&fbclid=2&k", None, "http://host.test/q?k="),
+    ("HTTP://host.test:80/q/#frag", None, "http://host.test/q"),
+    ("tel:+123", "http://host.test/", None),
+    ("ftp://host.test/file", None, None),
+    ("?b=1&a=2&b=0", "http://host.test/q?old=1", "http://host.test/q?a=2&b=1&b=0"),
     ("https://site.test/p?page=2&ref=x", None, "https://site.test/p?page=2"),
     ("https://site.test/p?utm_source=a&gclid=b", None, "https://site.test/p"),
     ("https://site.test/p//", None, "https://site.test/p/"),
@@ -89,11 +88,23 @@ def test_body_text_rules(spark):
     assert r.links == ["/k"]
 
 
-def test_links_cap_and_option(spark):
-    html = "<body>" + "".join(f'<a href="/l{i}">x</a>' for i in range(26)) + "<nav><a href='/in-nav'>n</a></nav></body>"
+def test_links_are_uncut_unless_a_limit_is_given(spark):
+    html = "<body>" + "".join(f'<a href="/l{i}">x</a>' for i in range(40)) + "<nav><a href='/in-nav'>n</a></nav></body>"
     df = spark.createDataFrame([("https://p.test/", html)], "url string, html string")
-    r = add_page_fields(df).first()
-    assert len(r.links) == 25 and r.links[-1] == "/l24"
-    r2 = add_page_fields(spark.createDataFrame([("https://p.test/", "<nav><a href='/in-nav'>n</a></nav>")],
-                                                "url string, html string"), links_before_removal=True).first()
-    assert r2.links == ["/in-nav"]
+    assert len(add_page_fields(df).first().links) == 40
+    assert add_page_fields(df, max_links=25).first().links[-1] == "/l24"
+    assert add_page_fields(df, links_before_removal=True).first().links[-1] == "/in-nav"
+
+
+def test_hard_markup(spark):
+    assert _page(spark, "<p>caf&#233; &#8217;s &eacute; &mdash; &amp;lt; &#146; &#x1F600; &nosuch; &#0;</p>").body_text == "café ’s é — &lt; ’ 😀 &nosuch; �"
+    bare = _page(spark, "<!DOCTYPE html><title>My Title</title><p>hello</p>")
+    assert (bare.title, bare.body_text) == ("My Title", "hello")
+    assert _page(spark, '<body><p title="a > b">text</p></body>').body_text == "text"
+    assert _page(spark, "<body><nav-bar>kept</nav-bar> <nav>gone</nav> tail</body>").body_text == "kept tail"
+    assert _page(spark, '<meta name="description" content="a > b &amp; c"><body>x</body>').snippet == "a > b & c"
+    links = ('<a data-href="/no" href="/yes?a=1&amp;b=2">x</a><a\nhref=/bare>y</a><!-- <a href="/c">z</a> -->'
+             "<script>var a=\"<a href='/s'>\"</script><nav><a title=\"q>r\" href='/n'>n</a></nav>")
+    df = spark.createDataFrame([("https://p.test/", links)], "url string, html string")
+    assert add_page_fields(df, links_before_removal=True).first().links == ["/yes?a=1&b=2", "/bare", "/n"]
+    assert add_page_fields(df).first().links == ["/yes?a=1&b=2", "/bare"]
