@@ -64,7 +64,7 @@ def main() -> None:
     doc_idx = index_store.read_version(spark, f"{scratch}/docs", 1)
     page_idx = index_store.read_version(spark, f"{scratch}/pages", 1)
     run("search_batch_cap5000", lambda: sink(rank.bm25_search(doc_idx, queries, 20, 5000)))
-    run("search_batch_nocap", lambda: sink(rank.bm25_search(doc_idx, queries, 20, None)))
+    run("search_batch_nocap", lambda: sink(rank.bm25_search(doc_idx, queries, 20)))
     first = queries.orderBy("query_id").first()
     words = re.findall(r"[a-z0-9]+", (first["query"] or "").lower())[:3]
     one = spark.createDataFrame([(0, " ".join(words))], "query_id long, query string")
@@ -75,13 +75,14 @@ def main() -> None:
 
     def reindex():
         v1 = index_store.read_version(spark, f"{scratch}/pages", 1)
-        v1_ts = stamp(v1.documents, maintenance.ts(maintenance.FIRST_CRAWL_AT))
-        old = Index(documents=v1.documents, postings=v1.postings.drop("term_bucket"), stats=v1.stats)
+        stored = v1.documents.drop("doc_bucket", "crawled_at", "updated_at")
+        v1_ts = stamp(stored, maintenance.ts(maintenance.FIRST_CRAWL_AT))
+        old = Index(documents=stored, postings=v1.postings.drop("term_bucket"), stats=v1.stats, terms=v1.terms)
         batch = materialize(extract_pages(maintenance.second_crawl(pages)).drop("links"))
         r = reindex_op(old, v1_ts, settle_versions(batch), maintenance.ts(maintenance.SECOND_CRAWL_AT))
         docs_ts = materialize(r.documents_ts)
         nxt = Index(documents=docs_ts.drop("crawled_at", "updated_at"), postings=r.index.postings,
-                    stats=r.index.stats)
+                    stats=r.index.stats, terms=r.index.terms)
         index_store.write_version(nxt, f"{scratch}/pages", 2, documents=docs_ts)
 
     run("reindex_pages_every_fifth", reindex)

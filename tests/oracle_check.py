@@ -19,6 +19,9 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 def duckdb_conn(sf_dir: str):
     import duckdb
 
@@ -67,6 +70,10 @@ def compare(spark, name: str, sf_dir: str, sql: str, con=None) -> dict:
     t2 = time.time()
     res = {"name": name, "spark_rows": len(s_rows), "oracle_rows": len(o_rows),
            "cols_match": sorted(s_cols) == sorted(o_cols), "spark_s": round(t1 - t0, 2), "oracle_s": round(t2 - t1, 2)}
+    ours = {f.name: DUCK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema}
+    res["types_match"] = ours == {d[0]: str(d[1]) for d in cur.description}
+    if not res["types_match"]:
+        res["types"] = [ours, {d[0]: str(d[1]) for d in cur.description}]
     a, b = rows_of(s_cols, s_rows), rows_of(o_cols, o_rows)
     res["values_match"] = res["cols_match"] and a == b
     if not res["values_match"]:

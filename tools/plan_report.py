@@ -53,9 +53,11 @@ def main(sf_dir: str) -> None:
     queries = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"),
                                                              F.col("text").alias("query"))
     one = spark.createDataFrame([(0, "that and onesen")], "query_id long, query string")
-    out.append(facts("single query on the stored index (cap 5000)", rank.bm25_search(stored, one)))
-    out.append(facts("200-query batch on the stored index (cap 5000)", rank.bm25_search(stored, queries)))
-    out.append(facts("200-query batch on the stored index (cap off)", rank.bm25_search(stored, queries, 20, None)))
+    out.append(facts("single query on the stored index", rank.bm25_search(stored, one)))
+    out.append(facts("query batch on the stored index", rank.bm25_search(stored, queries)))
+    out.append(facts("query batch with a cap of 5000 postings a term", rank.bm25_search(stored, queries, 20, 5000)))
+    shown = rank.with_document_fields(rank.bm25_search(stored, one), stored.documents)
+    out.append(facts("single query with display fields", shown))
     print("\n".join(out))
 
 
