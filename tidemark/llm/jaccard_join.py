@@ -143,7 +143,8 @@ def _blocks(members: DataFrame, by: str, sizes: DataFrame) -> DataFrame:
 
     ``sizes`` has ``by`` and n_blocks. A group of one block gives one row a member.
     """
-    rows = members.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
+    # the same join at every size: a broadcast that only small inputs get would hide what large ones shuffle
+    rows = members.join(sizes.hint("merge"), by).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
     return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("n_blocks", "other")
 
@@ -216,7 +217,7 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, can
     sizes = sizes.select("label", F.ceil(F.greatest(F.col("n") / BLOCK_NODES, F.col("shingles") / BLOCK_SHINGLES)).alias("n_blocks"))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), _text_key(F.col(f"`{text_col}`")).alias("text_key"), F.col(f"`{text_col}`").alias("text"))
     own = members.select("label", "node", "n_docs", "rep_id", "rep_key")
-    own = own.join(texts, texts["id"].eqNullSafe(own["rep_id"]) & (texts["text_key"] == own["rep_key"]))
+    own = own.hint("merge").join(texts, texts["id"].eqNullSafe(own["rep_id"]) & (texts["text_key"] == own["rep_key"]))
 
     def shingled(batches):
         for batch in batches:
