@@ -1,4 +1,8 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table, by alternating large-star and small-star steps.
+
+The smallest neighbours are written before they are joined back, so that both sides of the join are plain shuffles and Spark can
+split the one node that a very large component hangs on.
+"""
 
 from __future__ import annotations
 
@@ -11,13 +15,13 @@ from tidemark.llm.staging import staged
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest of the node and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+    low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")), "low")
     return both.where("v > u").join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is tied to the smallest of them. Edges run from the larger to the smaller."""
-    low = edges.groupBy("u").agg(F.min("v").alias("low"))
+    low = staged(edges.groupBy("u").agg(F.min("v").alias("low")), "low")
     tied = edges.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return tied.union(low.select("u", F.col("low").alias("v")))
 

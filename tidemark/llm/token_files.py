@@ -75,7 +75,7 @@ def read_token_files(spark: SparkSession, folder: str, index: DataFrame) -> Data
     """One row per document from the files of ``index``: id, start (ids of all documents before), ids (bytes)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wvm").load(folder)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    files = files.join(F.broadcast(staged(index.select("name", "first"), "token-index")), "name")  # one short row a file
+    files = files.join(staged(index.select("name", "first"), "token-index"), "name")  # one short row a file; the planner sees its size
 
     def run(batches):
         from tidemark.llm.wavelet import Shard
