@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.components import components
 from tidemark.llm.runs import groups
@@ -174,8 +175,9 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())],
                 ["id", "text_key", "set_key", "n_shingles", "sig"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return staged(rows.mapInArrow(run, f"id {kind}, text_key bigint, set_key binary, n_shingles bigint, sig binary"), "signatures")
+    schema = T.StructType([rows.schema["id"], rows.schema["text_key"], T.StructField("set_key", T.BinaryType()),
+                           T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.BinaryType())])
+    return staged(rows.mapInArrow(run, schema), "signatures")
 
 
 def _nodes(signed: DataFrame) -> DataFrame:

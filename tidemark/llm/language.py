@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSIONS = 1024
 N = 3
@@ -184,5 +185,6 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], text_col: str = "t
                     scores.append(float(min(1.0, max(0.0, near[best]))))
                 yield pa.RecordBatch.from_arrays([own, pa.array(langs_out, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = rows.mapInArrow(run, schema)
     return out.select("row.*", "lang_pred", "score")

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.staging import staged
 
@@ -59,8 +60,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                     [id_col, "piece", "start", "length", "ids"])
 
     rows = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids binary")
+    schema = T.StructType([rows.schema[id_col], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
+                           T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
+    return rows.mapInArrow(run, schema)
 
 
 class _Bins:
@@ -110,5 +112,5 @@ def pack(pieces: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIEC
             yield batch.append_column("offset", pa.array([o for _, o in at], pa.int64()))
 
     dealt = short.repartition(groups, F.xxhash64("_place")).sortWithinPartitions(F.desc("length"), "_place")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in short.schema] + ["sequence_id bigint", "offset bigint"])
+    schema = T.StructType([*short.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return dealt.mapInArrow(run, schema).unionByName(full).drop("_place")

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TERM_BITS = 18
 FACTORS = 8
@@ -145,4 +146,5 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), kept], [id_col, "score", "predicted"])
 
     rows = docs.select(F.col(id_col), F.col(text_col))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, score double, predicted int")
+    schema = T.StructType([rows.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return rows.mapInArrow(run, schema)
