@@ -50,8 +50,9 @@ def main() -> None:
     def sink(df):
         df.write.format("noop").mode("overwrite").save()
 
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    pages = read_table(spark, sf_dir, "pages")
+    # the test tables are one row group each: dealt out, so that every core takes part in the row work
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"]).repartition(int(cpus))
+    pages = read_table(spark, sf_dir, "pages").repartition(int(cpus))
     queries = read_table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 

@@ -16,8 +16,13 @@ from tidemark.sources.tables import read_table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """The test tables are one row group each: dealt out once, so that every core takes part in the row work."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _documents_index(spark: SparkSession, sf_dir: str) -> ix.Index:
-    return ix.index_documents_table(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return ix.index_documents_table(_dealt(read_table(spark, sf_dir, "documents", ["doc_id", "text"])))
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +71,7 @@ def _bm25(cap, limit, queries=benchmark_queries) -> Query:
 
 
 def _pages(spark, sf_dir):
-    return read_table(spark, sf_dir, "pages")
+    return _dealt(read_table(spark, sf_dir, "pages"))
 
 
 def q_page_fields(spark, sf_dir):
