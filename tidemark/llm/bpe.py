@@ -22,7 +22,7 @@ _BYTE_LEVEL = re.compile(f" ?[{_L}]+|{_SHORT}| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}
 _WORD_LEVEL = re.compile(f"[{_L}]+|{_SHORT}|[{_N}]|[^{_S}{_L}{_N}]+")
 _PLAIN = re.compile("[\t\n\x0b\x0c\r -~\xa0-\xff]*")
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 BATCH_WORDS = 4096
 
 
