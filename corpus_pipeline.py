@@ -46,7 +46,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Copies of a document have their own pieces."""
     import public_tokenizers
 
-    pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -1,11 +1,14 @@
 """Cases in which an operator once did less than its whole job."""
 
+import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from test_learned_and_packed import nearest
+from test_learned_and_packed import NASTY, docs_of, nearest
+from tokenizers import Tokenizer
 
 
 def unit(x):
@@ -30,3 +33,39 @@ def test_search_beside_a_hot_cluster(spark, hot):
     assert len(want) == 20 and got.keys() == want.keys() and all(len(g) == 20 for g in got.values())
     assert sum(len(got[q] & dict(w).keys()) for q, w in want.items()) / 400 >= 0.95
     assert min(len(got[q] & dict(w).keys()) for q, w in want.items()) >= 16
+
+
+ADDED = [*NASTY, "a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "a <|ENDOFTEXT|> b", "don't<|endoftext|>'s", "é <|endoftext|> 中", "<|endof text|>"]
+
+
+def default_ids(name, text):
+    """The library's own call: the given file, nothing set."""
+    return Tokenizer.from_file(public_tokenizers.path(name)).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_as_in_the_library(name):
+    from tidemark.llm.bpe import Encoder
+
+    ours = Encoder(public_tokenizers.path(name), added_tokens=True)
+    want = [default_ids(name, t) for t in ADDED]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ours.encode(ADDED)] == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in ours.encode(ADDED)] == want  # from the cache
+
+
+def test_token_queries_give_the_library_ids(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    from tidemark.llm.queries import QUERIES
+
+    docs_of(spark, [(i, t, "en", "s") for i, t in enumerate(ADDED)]).write.parquet(str(tmp_path / "documents.parquet"))
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    got, at = {r.doc_id: r for r in QUERIES["op7_wavelet_files"](spark, str(tmp_path)).collect()}, 0
+    for i, t in enumerate(ADDED):
+        ids = [*default_ids("word_bpe_49k.json", t), 2]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), crc(ids))
+        at += len(ids)
+    want = {i: crc([*default_ids("byte_bpe_50k.json", t), 2]) for i, t in enumerate(ADDED)}
+    assert {r.doc_id: r.ids_crc32 for r in QUERIES["op9_sum_of_squares"](spark, str(tmp_path)).collect()} == want
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.ids_crc32 for r in cp.packed(spark, docs, str(tmp_path)).collect()} == want

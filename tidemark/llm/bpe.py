@@ -2,7 +2,8 @@
 
 Byte-pair encoding never crosses the borders that a vocabulary's pre-tokenizer sets. For texts of plain
 Latin-1 characters those borders are the matches of a fixed pattern, so a text's ids are its words'
-ids in a row, and words that were encoded before come from a bounded cache. Any other text goes to the library whole.
+ids in a row, and words that were encoded before come from a bounded cache. Any other text goes to the library whole, and so does a
+text with the string of an added token ("<|endoftext|>") where such strings become their ids: those cut across the borders.
 """
 
 from __future__ import annotations
@@ -27,14 +28,19 @@ BATCH_WORDS = 4096
 
 
 class Encoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers, without special tokens."""
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers, without special tokens around them.
 
-    def __init__(self, path: str):
+    With ``added_tokens`` the string of an added token inside a text becomes that token's id, the library's default; else it is ordinary text.
+    """
+
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # a special token's string inside a text is ordinary text
+        self.library.encode_special_tokens = not added_tokens
+        # in lower case, as a token may be looked up after the normalizer; a text that only resembles one is encoded whole for nothing
+        self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()] if added_tokens else []
         kind = str(self.library.pre_tokenizer)
         self.words = None
         if kind.startswith("ByteLevel(add_prefix_space=False") and self.library.normalizer is None:
@@ -43,6 +49,12 @@ class Encoder:
             self.words = lambda text: _WORD_LEVEL.findall(text.lower())
         self.cache: dict[str, bytes] = {}
 
+    def _whole(self, text: str) -> bool:
+        if self.words is None or not _PLAIN.fullmatch(text):
+            return True
+        lower = text.lower() if self.added else ""
+        return any(a in lower for a in self.added)
+
     def _library(self, texts: list[str]) -> list[bytes]:
         out = []
         for found in self.library.encode_batch_fast(texts, add_special_tokens=False):
@@ -65,7 +77,7 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         waiting, new, known = [], set(), self.cache.get
         for i, text in enumerate(texts):
-            if self.words is None or not _PLAIN.fullmatch(text):
+            if self._whole(text):
                 out[i] = self._library([text])[0]
                 continue
             words = self.words(text)
@@ -84,11 +96,11 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added_tokens: bool = False) -> Encoder:
     """This worker's encoder for a vocabulary file; it lives as long as the worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, added_tokens) not in _encoders:
+        _encoders[path, added_tokens] = Encoder(path, added_tokens)
+    return _encoders[path, added_tokens]

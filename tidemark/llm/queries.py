@@ -91,7 +91,7 @@ def op7_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_files import read_token_files, write_token_files
 
     folder = new_folder(spark, "tokens")
-    index = write_token_files(_table(spark, sf_dir, "documents"), folder, _vocabulary("word_bpe_49k.json"))
+    index = write_token_files(_table(spark, sf_dir, "documents"), folder, _vocabulary("word_bpe_49k.json"), added_tokens=True)
     read = read_token_files(spark, folder, index)
     return read.select(F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.crc32("ids").alias("ids_crc32"))
@@ -100,7 +100,7 @@ def op7_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.packing import pack, token_pieces
 
-    pieces = token_pieces(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    pieces = token_pieces(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), added_tokens=True)
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

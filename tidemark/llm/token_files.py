@@ -17,11 +17,11 @@ SHARD_IDS = 1 << 20
 _TEXTS = 256
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_ids: int = SHARD_IDS, added_tokens: bool = False) -> DataFrame:
     """Writes every document's ids and ``end_id`` in ascending ``id_col`` order, ties by text; returns the files' index.
 
     Index: name, part, shard, first (ids in all files before), n_ids, n_docs. Null text is empty; null identifiers
-    come last; repeated rows are written as often as they occur; an empty table writes no file.
+    come last; repeated rows are written as often as they occur; an empty table writes no file. ``added_tokens`` as in ``bpe.Encoder``.
     """
     make_folder(folder)
     end = np.array([end_id], "<u4").tobytes()
@@ -32,7 +32,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, id_col: str
         from tidemark.llm import wavelet
         from tidemark.llm.bpe import encoder
 
-        encode, part, shard = encoder(vocabulary).encode, TaskContext.get().partitionId(), 0
+        encode, part, shard = encoder(vocabulary, added_tokens).encode, TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         tokens: list[bytes] = []
         held = 0
