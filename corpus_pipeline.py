@@ -18,13 +18,15 @@ from tidemark.llm.staging import staged
 
 #: Best cosine below which a text is no nearer to a learned language than random letters are.
 MIN_COSINE = 0.05
+#: Distinct n-grams below which a low cosine says nothing: a word or two are about as near to their own language as noise is.
+MIN_GRAMS = 32
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have no letter or are near no learned language."""
+    """Without documents that have no letter, or are long enough to tell and near no learned language."""
     learned = prototypes(docs, learn=F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    found = identify(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), "text"), learned)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_COSINE)).select("document.*")
+    found = identify(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), "text"), learned, grams_col="n_grams")
+    return found.where((F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= MIN_COSINE) | (F.col("n_grams") < MIN_GRAMS))).select("document.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

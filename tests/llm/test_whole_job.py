@@ -1,13 +1,14 @@
 """Cases in which an operator once did less than its whole job."""
 
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from test_learned_and_packed import NASTY, docs_of, nearest
+from test_learned_and_packed import NASTY, SMALL, brute_classes, docs_of, nearest
 from tokenizers import Tokenizer
 
 
@@ -69,3 +70,30 @@ def test_token_queries_give_the_library_ids(spark, tmp_path):
     assert {r.doc_id: r.ids_crc32 for r in QUERIES["op9_sum_of_squares"](spark, str(tmp_path)).collect()} == want
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.ids_crc32 for r in cp.packed(spark, docs, str(tmp_path)).collect()} == want
+
+
+SHORT = ["Avec.", "A.", "A.\nAll rights reserved.", "Osrañ.", "Bonjour!", "Re.", "Edrere.", "und", "is", "The cat", "été", "Sí.", "No", "Oui", "Ja!", "I", "of", "que", "der", "y"]
+
+
+def test_pipeline_keeps_every_clean_document(spark, tmp_path):
+    """run()'s pieces against brute force; only the mix is the stage's own, given the rows that must reach it."""
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    short = spark.createDataFrame([(10_000 + k, t, "en", "src1", len(t)) for k, t in enumerate(SHORT)] + [(10_500, "1234 5678", "en", "src1", 9)], docs.schema)
+    docs.union(short).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    clean = [r for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    assert {r.doc_id for r in cp.language(spark, docs, "").collect()} == {r.doc_id for r in clean}
+    first = {}
+    for r in sorted(clean, key=lambda r: r.doc_id):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r.text), r)
+    left = {c for _, c, _ in brute_classes([(r.doc_id, r.text) for r in first.values()])}
+    want = Counter()
+    for r in cp.mix(spark, spark.createDataFrame([r for r in clean if r.doc_id in left], docs.schema), "").collect():
+        ids = [*default_ids("byte_bpe_50k.json", r.text), 2]
+        ends = [*range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        for piece, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+            want[r.doc_id, piece, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    got = cp.run(spark, str(tmp_path)).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+    assert Counter(map(tuple, got)) == want

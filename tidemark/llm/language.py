@@ -95,12 +95,16 @@ class Encoder:
             out = out + counts[~known][k : k + 4096].astype(np.float32) @ self._bound(rest[k : k + 4096]).astype(np.float32)
         return out
 
-    def text_vectors(self, texts: list[str | None]) -> list[np.ndarray | None]:
+    def counted_vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, int] | None]:
+        """Each text's vector and number of distinct n-grams."""
         found = [self.grams(t) for t in texts]
         some = [f[0] for f in found if f is not None]
         if some:
             self.learn_keys(np.unique(np.concatenate(some)))
-        return [None if f is None else self.text_vector(*f) for f in found]
+        return [None if f is None else (self.text_vector(*f), len(f[0])) for f in found]
+
+    def text_vectors(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        return [None if c is None else c[0] for c in self.counted_vectors(texts)]
 
 
 _encoder: list[Encoder] = []
@@ -155,16 +159,16 @@ def prototypes(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     return out
 
 
-def identify(docs: DataFrame, learned: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) plus lang_pred and score.
+def identify(docs: DataFrame, learned: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None, grams_col: str | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) plus lang_pred, score and, if named, ``grams_col``: the text's number of distinct n-grams.
 
     score is the cosine with the chosen prototype, 0 where it is negative; equal cosines go to the first language by name. A null
-    text, one without a letter, or any text where nothing was learned gets ``und`` and 0. Columns named like these two are replaced.
+    text, one without a letter, or any text where nothing was learned gets ``und`` and 0. Columns named like these are replaced.
     """
     names = sorted(learned)
     matrix = np.stack([learned[n] for n in names]).astype(np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
     shared = docs.sparkSession.sparkContext.broadcast((names, matrix))
-    columns = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
+    columns = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score", grams_col)]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), *([] if text_col in columns else [F.col(f"`{text_col}`").alias("text")]))
 
     def run(batches):
@@ -173,8 +177,10 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], text_col: str = "t
             for part in _parts(batch):
                 own = part.column(0)
                 texts = part.column(1) if part.num_columns > 1 else own.field(text_col)
-                langs_out, scores = [], []
-                for v in encoder().text_vectors(texts.to_pylist()):
+                langs_out, scores, grams = [], [], []
+                for counted in encoder().counted_vectors(texts.to_pylist()):
+                    v, n = counted or (None, 0)
+                    grams.append(n)
                     if v is None or not len(langs):
                         langs_out.append(UNKNOWN)
                         scores.append(0.0)
@@ -183,8 +189,9 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], text_col: str = "t
                     best = int(near.argmax())
                     langs_out.append(langs[best])
                     scores.append(float(min(1.0, max(0.0, near[best]))))
-                yield pa.RecordBatch.from_arrays([own, pa.array(langs_out, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([own, pa.array(langs_out, pa.string()), pa.array(scores, pa.float64()), pa.array(grams, pa.int64())],
+                                                 ["row", "lang_pred", "score", "grams"])
 
-    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("grams", T.LongType())])
     out = rows.mapInArrow(run, schema)
-    return out.select("row.*", "lang_pred", "score")
+    return out.select("row.*", "lang_pred", "score", *([F.col("grams").alias(grams_col)] if grams_col else []))
