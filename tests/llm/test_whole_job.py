@@ -97,3 +97,13 @@ def test_pipeline_keeps_every_clean_document(spark, tmp_path):
             want[r.doc_id, piece, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
     got = cp.run(spark, str(tmp_path)).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
     assert Counter(map(tuple, got)) == want
+
+
+def test_marks_alone_are_no_letters(spark):
+    from tidemark.llm.language import Encoder, identify, prototypes
+
+    learned = prototypes(docs_of(spark, [(k, "the cat sat with this other thing", "en", "s") for k in range(4)]), learn=F.lit(True))
+    asked = [(0, "\u2764\ufe0f", "q", "q"), (1, "1\ufe0f\u20e3 2\ufe0f\u20e3", "q", "q"), (2, "\u0301", "q", "q"), (3, "e\u0301 \u2764\ufe0f", "q", "q")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs_of(spark, asked), learned).collect()}
+    assert got[0] == got[1] == got[2] == ("und", 0.0) and got[3][0] == "en"
+    assert Encoder().grams("e\u0301")[0].tolist() != Encoder().grams("e")[0].tolist()  # a mark stays inside its n-grams

@@ -26,9 +26,13 @@ _CODE_BITS = 21
 
 
 def _letters() -> np.ndarray:
+    return np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
+
+
+def _marks() -> np.ndarray:
     import unicodedata
 
-    return np.array([chr(c).isalpha() or unicodedata.category(chr(c)).startswith("M") for c in range(sys.maxunicode + 1)])
+    return np.array([unicodedata.category(chr(c)).startswith("M") for c in range(sys.maxunicode + 1)])
 
 
 @dataclass
@@ -37,6 +41,7 @@ class Encoder:
 
     seed: int = 11
     letter: np.ndarray = field(default_factory=_letters)
+    mark: np.ndarray = field(default_factory=_marks)
     vectors: dict[int, np.ndarray] = field(default_factory=dict)
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -45,14 +50,15 @@ class Encoder:
     def grams(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Distinct n-grams (as integers) and their counts; None if the text has no letter.
 
-        Lower case; every run of other characters is one blank, as are both ends.
+        Lower case; combining marks stay, every run of other characters is one blank, as are both ends.
         """
         if not text:
             return None
         codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        codes = np.where(self.letter[codes], codes, 0)
-        if not codes.any():
+        letter = self.letter[codes]
+        if not letter.any():
             return None
+        codes = np.where(letter | self.mark[codes], codes, 0)
         codes = np.concatenate(([0], codes, [0]))
         codes = codes[np.append(True, (codes[1:] != 0) | (codes[:-1] != 0))]
         key = codes[: len(codes) - N + 1].copy()
