@@ -111,6 +111,51 @@ def op10_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op11_batch_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.importance import resample
+
+    out = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Documents whose crc32 h is divisible by 10: from word a on, their words repeat with period p."""
+    from tidemark.llm.words import WORD
+
+    h = F.crc32(F.col("doc_id").cast("string"))
+    found = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"))
+    n = F.size("words").cast("long")
+    found = found.select("doc_id", "text", "words", n.alias("n"), "g", F.when(n > 0, F.col("g") % n).alias("a"))
+    found = found.withColumn("p", F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8)))
+    tail = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - F.col("a") - 1),
+                       lambda i: F.get("words", (F.col("a") + i % F.col("p")).cast("int")))
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), tail), " ")
+    return found.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_descending_lcp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.periodic import periodic_runs
+
+    found = periodic_runs(_with_planted_periods(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # runs are in order of start, then period: only a greater exponent replaces the best so far
+    best = F.aggregate(F.slice("runs", F.lit(2), F.greatest(F.size("runs"), F.lit(1))), F.get("runs", F.lit(0)),
+                       lambda kept, r: F.when(r["length"] * kept["period"] > kept["length"] * r["period"], r).otherwise(kept))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    out = found.withColumn("best", best)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_warc, op2_pareto_mixing, op3_chat_round_trip, op4_factorization_machine, op5_multi_index_hashing, op6_content_sort, op7_wavelet_files, op8_hyperdimensional, op9_sum_of_squares, op10_bayes_jaccard)
+    f.__name__: f for f in (op1_warc, op2_pareto_mixing, op3_chat_round_trip, op4_factorization_machine, op5_multi_index_hashing, op6_content_sort, op7_wavelet_files, op8_hyperdimensional, op9_sum_of_squares, op10_bayes_jaccard,
+                            op11_batch_concatenation, op12_descending_lcp, op13_diagonal_voting)
 }
