@@ -72,7 +72,7 @@ def main() -> None:
     sink(rank.bm25_search(doc_idx, one, 20))  # warm-up
     run("search_single_3terms", lambda: sink(rank.bm25_search(doc_idx, one, 20)))
     run("page_search_batch",
-        lambda: sink(rank.with_document_fields(rank.bm25_search(page_idx, queries, 20), page_idx.documents)))
+        lambda: sink(rank.with_document_fields(rank.bm25_search(page_idx, queries, 20), page_idx)))
 
     def reindex():
         v1 = index_store.read_version(spark, f"{scratch}/pages", 1)

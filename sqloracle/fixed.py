@@ -62,13 +62,15 @@ def until_close(name: str) -> str:
 COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 ANY_TAG = r"""</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>"""
 DECLARATION = r"<[!?][^>]*>"
-DESCRIPTION = r"""(?is)[\s"'/]name\s*=\s*(?:"description"|'description'|description[\s/>])"""
-OG_DESCRIPTION = r"""(?is)[\s"'/]property\s*=\s*(?:"og:description"|'og:description'|og:description[\s/>])"""
+DESCRIPTION = r"""(?s)[\s"'/](?i:name)\s*=\s*(?:"description"|'description'|description[\s/>])"""
+OG_DESCRIPTION = r"""(?s)[\s"'/](?i:property)\s*=\s*(?:"og:description"|'og:description'|og:description[\s/>])"""
 CONTENT = r"""(?is)[\s"'/]content\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
 _ATTRIBUTE = r"""[\s/]+[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]*))?"""
 HREF = rf"""(?is)<a(?:{_ATTRIBUTE})*?[\s/]+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
-REFERENCE = r"&(?:#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[a-zA-Z][a-zA-Z0-9]*);|[^&]+|&"
-NAMED = {k.rstrip(";"): v for k, v in html.entities.html5.items() if k.endswith(";") and v != "\n"}
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)|[^&]+|&"
+ATTRIBUTE_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*[;=]?)|[^&]+|&"
+NAMED = {k.rstrip(";"): v for k, v in html.entities.html5.items() if k.endswith(";")}
+WITHOUT_SEMICOLON = {k: v for k, v in html.entities.html5.items() if not k.endswith(";")}
 WINDOWS_1252 = {n: bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
 
 # The card's address and score, and the dictionary answers of the scenario.
@@ -96,3 +98,13 @@ ROBOTS_TEXTS = [
 ]
 ENTITY_FORMS = ('<a data-href="/lost" href="/found?x=1&amp;y=2" title="p > q">more</a><p title="a > b">caf&#233; &eacute;t&eacute; &#8217;&#x2014;&mdash; '
                 '&amp;lt; &#146; &nosuch; &#0;</p><nav-bar>bar</nav-bar><!-- <a href="/hidden">h</a> -->')
+# What the harder markup of ``page_markup`` shows, written in plain markup.
+PLAIN_MARKUP = (
+    '<p>|</p><div></div><p>after |</p><p>tail |kept |out |apostrophe |</p><a href="/' + "x" * 3000 + '">long</a> |shown '
+    '|© 2020 &amp;x ¬it; ∉ é é x |<a href="?a=1&amp;copy=2&amp;lt=3&lt;">refs</a>|&lt;b&gt;typed&lt;/b&gt; |1 &lt; 2 |'
+)
+# Canonical host (none where a browser refuses the written form) and port of each written form in ``url_hosts``.
+CANONICAL_HOSTS = [
+    ("xn--mller-kva.de", ""), ("xn--mller-kva.de", ""), ("127.0.0.1", ""), ("127.0.0.1", ""), ("[::1]", ":80"), ("[2001:db8::1:0:0:1]", ""),
+    ("[::ffff:c0a8:1]", ""), ("xn--bcher-kva.xn--r8jz45g.jp", ""), ("example.org", ""), ("127.0.0.1", ""), ("a..b.test", ""), (None, ""),
+]

@@ -102,17 +102,28 @@ def classify(url: str) -> str:
             f"'instagram.com') THEN 'instagram' WHEN suffix({h}, 'archive.org') THEN 'archive' ELSE 'google' END")
 
 
-def _decode(x: str) -> str:
+def _map_of(pairs: dict[str, str]) -> str:
+    return f"map([{', '.join(q(k) for k in pairs)}], [{', '.join(q(v) for v in pairs.values())}])"
+
+
+def _decode(x: str, attribute: bool = False) -> str:
     """References decoded once, left to right; the value is split into references, other text and lone '&'."""
-    names = f"map([{', '.join(q(k) for k in K.NAMED)}], [{', '.join(q(v) for v in K.NAMED.values())}])"
     legacy = " ".join(f"WHEN {n} THEN {q(c)}" for n, c in K.WINDOWS_1252.items() if c)
-    number = ("coalesce(CASE WHEN lower(substr(r, 3, 1)) = 'x' THEN TRY_CAST('0x' || substr(r, 4, length(r) - 4) AS BIGINT) "
-              "ELSE TRY_CAST(substr(r, 3, length(r) - 3) AS BIGINT) END, 0)")
+    digits = "regexp_extract(r, '^&#[xX]?0*([0-9a-fA-F]*)', 1)"
+    number = (f"coalesce(CASE WHEN length({digits}) > 7 THEN 0 WHEN lower(substr(r, 3, 1)) = 'x' THEN TRY_CAST('0x' || {digits} AS BIGINT) "
+              f"ELSE TRY_CAST({digits} AS BIGINT) END, 0)")
     point = (f"CASE {number} {legacy} ELSE CASE WHEN {number} > 0 AND {number} <= 1114111 AND NOT ({number} BETWEEN 55296 AND 57343) "
              f"THEN chr(CAST({number} AS INTEGER)) ELSE chr(65533) END END")
+    whole_name = f"CASE WHEN suffix(r, ';') THEN {_map_of(K.NAMED)}[substr(r, 2, length(r) - 2)] END"
+    if attribute:
+        short = [f"{_map_of(K.WITHOUT_SEMICOLON)}[substr(r, 2)]"]
+    else:
+        short = [f"{_map_of({k: v for k, v in K.WITHOUT_SEMICOLON.items() if len(k) == n})}[substr(r, 2, {n})] || substr(r, {n + 2})"
+                 for n in sorted({len(k) for k in K.WITHOUT_SEMICOLON}, reverse=True)]
     one = (f"CASE WHEN NOT starts_with(r, '&') OR length(r) < 3 THEN r WHEN starts_with(r, '&#') THEN {point} "
-           f"ELSE coalesce({names}[substr(r, 2, length(r) - 2)], r) END")
-    whole = f"array_to_string(list_transform(regexp_extract_all({x}, {q(K.REFERENCE)}), lambda r: {one}), '')"
+           f"ELSE coalesce({whole_name}, {', '.join(short)}, r) END")
+    pattern = q(K.ATTRIBUTE_REFERENCE if attribute else K.REFERENCE)
+    whole = f"array_to_string(list_transform(regexp_extract_all({x}, {pattern}), lambda r: {one}), '')"
     return f"CASE WHEN contains({x}, '&') THEN {whole} ELSE {x} END"
 
 
@@ -137,12 +148,12 @@ def _unquoted(v: str) -> str:
 def _description(which: str) -> str:
     metas = f"list_filter(regexp_extract_all(clean, {q('(?is)' + K.open_tag('meta'))}), lambda m: regexp_matches(m, {q(which)}))"
     found = f"list_transform({metas}, lambda m: {_unquoted(f'regexp_extract(m, {q(K.CONTENT)}, 1)')})"
-    return f"list_filter(list_transform({found}, lambda v: {_decode('v')}), lambda v: length(v) > 0)[1]"
+    return f"nullif(list_transform({found}, lambda v: {_decode('v', attribute=True)})[1], '')"
 
 
 def _links(src: str, limit: int | None = None) -> str:
     raw = f"list_transform(regexp_extract_all({src}, {q(K.HREF)}, 1), lambda v: {_unquoted('v')})"
-    kept = f"list_filter(list_transform({raw}, lambda v: {_decode('v')}), lambda v: length(v) > 0)"
+    kept = f"list_filter(list_transform({raw}, lambda v: {_decode('v', attribute=True)}), lambda v: length(v) > 0)"
     return kept if limit is None else f"list_slice({kept}, 1, {limit})"
 
 
@@ -304,6 +315,14 @@ def page_entities_sql() -> str:
 SELECT page_id, title, snippet, body_text, array_to_string(links, ' ') AS links FROM ex"""
 
 
+def page_markup_sql() -> str:
+    """The harder markup shows the same as its plain form."""
+    src = f"(SELECT page_id, url, replace(html, '<article>', '<article>' || {q(K.PLAIN_MARKUP)}) AS html FROM pages)"
+    body = prefixed(extraction_ctes(), "", src)
+    return f"""WITH {body}
+SELECT page_id, title, snippet, body_text, array_to_string(links, ' ') AS links FROM ex"""
+
+
 _SECOND = f"""SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN replace(html, '</article>', {q(K.REVISION)}) ELSE html END AS html"""
 
 
@@ -399,3 +418,36 @@ def reindex_stats_sql() -> str:
     return _reindex_ctes() + """
 SELECT n + dd AS doc_count, CAST(total + dl AS BIGINT) AS total_length,
        CASE WHEN n + dd > 0 THEN (total + dl) / (n + dd) ELSE 0.0 END AS avg_length FROM st1, dlt"""
+
+
+def segment_documents_sql() -> str:
+    return _reindex_ctes() + """
+SELECT d.*, m.mode, m.length_delta, (SELECT count(*) FROM docs2) AS doc_count, CAST((SELECT coalesce(sum(body_length), 0) FROM docs2) AS BIGINT) AS total_length
+FROM docs2 d LEFT JOIN modes m ON d.doc_id = m.doc_id"""
+
+
+def segment_postings_sql() -> str:
+    return _reindex_ctes() + "\nSELECT term, doc_id, tf_body, tf_title, count(*) OVER (PARTITION BY term) AS df FROM post2"
+
+
+def segment_deletions_sql() -> str:
+    return _deleted_ctes() + """
+SELECT p.term, p.doc_id, p.tf_body, p.tf_title, count(*) OVER (PARTITION BY p.term) AS df FROM ppost p JOIN left_over d ON p.doc_id = d.doc_id"""
+
+
+def segment_search_sql() -> str:
+    """After the second crawl every body is the second crawl's, so searching is searching its pages."""
+    return _page_search_ctes(f"({_SECOND} FROM pages)") + "\nSELECT * FROM hits"
+
+
+def url_hosts_sql() -> str:
+    """Every page's path under one plain host, whose place the canonical form of the page's host then takes."""
+    hosts = ", ".join(f"({n}, {'NULL' if h is None else q(h)}, {q(port)})" for n, (h, port) in enumerate(K.CANONICAL_HOSTS))
+    return f"""WITH h0 AS (SELECT page_id, 'https://host.test' || regexp_replace(url, '^https?://[^/?#]*', '') AS raw FROM pages),
+{url_ctes('h0', 'raw', None, 'u', 'h1')},
+h2 AS (SELECT *, 'next?b=1' AS link FROM h1),
+{url_ctes('h2', 'link', 'u', 'nx', 'h3')},
+forms AS (SELECT * FROM (VALUES {hosts}) v(form, host, port))
+SELECT page_id, CASE WHEN host IS NOT NULL THEN replace(u, 'https://host.test', 'https://' || host || port) END AS url, host AS domain,
+       CASE WHEN host IS NULL THEN 'https://next/?b=1' ELSE replace(nx, 'https://host.test', 'https://' || host || port) END AS next
+FROM h3 JOIN forms ON page_id % {len(K.CANONICAL_HOSTS)} = form"""

@@ -48,6 +48,7 @@ def oracle_statements() -> dict[str, str]:
         # streamed index = batch index on the same input (ST1 invariant)
         "stream_index": pg.page_postings_sql(),
         "page_entities": pg.page_entities_sql(),
+        "page_markup": pg.page_markup_sql(),
         "tab_results": pg.tab_results_sql(),
         "first_result": pg.first_result_sql(),
         "search_response": pg.search_response_sql(),
@@ -56,6 +57,12 @@ def oracle_statements() -> dict[str, str]:
         "recrawl_moved_url": pg.recrawl_moved_url_sql(),
         "delete_documents": pg.delete_documents_sql(),
         "delete_stats": pg.delete_stats_sql(),
+        # a segment store ends where re-indexing ends
+        "segment_documents": pg.segment_documents_sql(),
+        "segment_postings": pg.segment_postings_sql(),
+        "segment_search": pg.segment_search_sql(),
+        "segment_deletions": pg.segment_deletions_sql(),
+        "url_hosts": pg.url_hosts_sql(),
         "seed_queue": cr.seed_queue_sql(),
         "blocked_domains": cr.blocked_domains_sql(),
         "history_edit": ac.history_edit_sql(),

@@ -207,7 +207,7 @@ def test_stored_index_answers_like_the_one_in_memory(spark, tmp_path):
     for query in ("trains mountains", "onion"):
         assert search(spark, stored, query) == search(spark, idx, query)
     qs = spark.createDataFrame([(0, "onion")], "query_id long, query string")
-    shown = rank.with_document_fields(rank.bm25_search(stored, qs), stored.documents)
+    shown = rank.with_document_fields(rank.bm25_search(stored, qs), stored)
     assert sorted(r.id for r in shown.collect()) == ["idx-13", "idx-14"]
     assert index_store.versions(spark, str(tmp_path / "none")) == []
     with pytest.raises(ValueError):

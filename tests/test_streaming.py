@@ -18,7 +18,7 @@ def test_stream_equals_batch(spark, files_per_batch):
 
 def test_recrawled_ids_in_one_batch(spark, tmp_path):
     """Two files in one batch hold the same page_id with different bodies: the later file counts."""
-    from tidemark.sources import index_store
+    from tidemark.sources.segments import SegmentStore
     from tidemark.streaming import ingest
 
     schema = "page_id long, url string, html string"
@@ -26,6 +26,6 @@ def test_recrawled_ids_in_one_batch(spark, tmp_path):
         spark.createDataFrame([(7, "https://x.test/a", f"<body>{body}</body>")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     q = ingest.start(spark, str(tmp_path / "in"), str(tmp_path / "index"), str(tmp_path / "cp"), max_files_per_trigger=2)
     q.awaitTermination()
-    _, index = index_store.read_latest(spark, str(tmp_path / "index"))
+    index = SegmentStore(spark, str(tmp_path / "index")).index()
     assert sorted(r.term for r in index.postings.filter("tf_body > 0").collect()) == ["second", "word"]
     assert index.documents.count() == 1

@@ -8,8 +8,8 @@ does not parse becomes null (PF9).
 
 The split is the RFC 3986 appendix-B regex. The whole canonicalisation is one expression whose
 intermediate values are bound once as lambda variables (``transform(array(x), f)[0]``), so a predicate
-pushed through it stays linear in size. Known limits: IDNA hosts, IPv6 literals and ``scheme:relative``
-forms are not handled.
+pushed through it stays linear in size. Hosts are canonicalised by ``hosts.canonical_host``; ``scheme:rest`` with the base's
+own scheme and without two slashes is relative to the base.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.hosts import canonical_host
+
 # Query keys dropped during canonicalisation (exact case).
 TRACKING_KEYS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content",
                  "fbclid", "gclid", "ref", "igshid"]
@@ -28,8 +30,9 @@ SPECIAL_REST_RE = r"^[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 REL_RE = r"^([^?#]*)(\?[^#]*)?(#.*)?$"
 # characters of a path that a browser percent-encodes: controls, blank, " < > ` { } and non-ASCII
 PATH_ENCODE_RE = r'[^\x21-\x7e]|["<>`{}]'
-# characters that make a host invalid
-HOST_FORBIDDEN_RE = r"[\s#%/:<>?@\[\\\]^|]"
+# a host is a bracketed address or ends at a colon
+HOST_RE = r"^(\[[^\]]*\]|[^:]*)"
+PORT_RE = r"^(?:\[[^\]]*\]|[^:\[]*):(.*)$"
 
 
 def _g(c: Column, pattern: str, idx: int) -> Column:
@@ -102,14 +105,20 @@ def _bind(value: Column, fn) -> Column:
 
 def _split_parts(hh: Column, bb: Column) -> Column:
     """struct(scheme, auth, path, query) of href ``hh`` resolved against base ``bb``."""
-    h_abs = hh.rlike(ABS_RE)
+    same = F.lower(_g(hh, ABS_RE, 1)) == F.lower(_g(bb, ABS_RE, 1))
+    relative = hh.rlike("^[hH][tT][tT][pP][sS]?:") & F.coalesce(same, F.lit(False)) & ~hh.rlike(r"^[a-zA-Z]+:[/\\]{2}")
+    return _bind(F.when(relative, _g(hh, ABS_RE, 2)).otherwise(hh), lambda h: _resolved(h, bb, relative))
+
+
+def _resolved(hh: Column, bb: Column, relative: Column) -> Column:
+    h_abs = hh.rlike(ABS_RE) & ~relative
     scheme = F.when(h_abs, F.lower(_g(hh, ABS_RE, 1))).otherwise(F.lower(_g(bb, ABS_RE, 1)))
     br = _g(bb, ABS_RE, 2)
     hr = _g(hh, ABS_RE, 2)
     b_path = _g(br, SPECIAL_REST_RE, 2)
     rel_path = _g(hh, REL_RE, 1)
     rel_query = _opt_group(hh, REL_RE, 2)
-    scheme_rel = hh.startswith("//") | hh.startswith("\\\\")
+    scheme_rel = hh.rlike(r"^[/\\]{2}")
     auth = (
         F.when(h_abs, _g(hr, SPECIAL_REST_RE, 1))
         .when(scheme_rel, _g(hh, SPECIAL_REST_RE, 1))
@@ -135,11 +144,15 @@ def _split_parts(hh: Column, bb: Column) -> Column:
 
 def _assemble(parts: Column) -> Column:
     """Canonical url string from struct(scheme, auth, path, query), or null when invalid."""
-    scheme, a = parts["scheme"], parts["auth"]
+    a = parts["auth"]
     hostport = F.regexp_extract(a, r"^(?:.*@)?([^@]*)$", 1)
     userinfo = F.regexp_extract(a, r"^(.*@)", 1)
-    host = F.lower(F.regexp_extract(hostport, r"^([^:]*)", 1))
-    port = F.regexp_extract(hostport, r"^[^:]*:(.*)$", 1)
+    host = canonical_host(F.lower(F.regexp_extract(hostport, HOST_RE, 1)))
+    return _bind(host, lambda h: _with_host(parts, userinfo, h, F.regexp_extract(hostport, PORT_RE, 1)))
+
+
+def _with_host(parts: Column, userinfo: Column, host: Column, port: Column) -> Column:
+    scheme = parts["scheme"]
     port_num = F.when(port.rlike(r"^[0-9]+$"), F.regexp_replace(port, r"^0+(?=.)", ""))
     default_port = F.when(scheme == "http", F.lit("80")).when(scheme == "https", F.lit("443"))
     port_txt = F.when((F.length(port) == 0) | (port_num == default_port), F.lit("")).otherwise(
@@ -147,10 +160,9 @@ def _assemble(parts: Column) -> Column:
     )
     valid = (
         scheme.isin("http", "https")
-        & (F.length(host) > 0)
+        & host.isNotNull()
         & ((F.length(port) == 0) | (port_num.isNotNull() & (F.length(port_num) <= 5)
                                     & (port_num.try_cast("int") <= 65535)))
-        & ~host.rlike(HOST_FORBIDDEN_RE)
     )
     p = parts["path"]
     p_abs = F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
@@ -194,11 +206,11 @@ def url_host(url: Column) -> Column:
     the url is not absolute."""
     rest = F.regexp_extract(url, ABS_RE, 2)
     hostport = F.regexp_extract(F.regexp_extract(rest, r"^//([^/?#]*)", 1), r"^(?:.*@)?([^@]*)$", 1)
-    host = F.lower(F.regexp_extract(hostport, r"^([^:]*)", 1))
+    host = F.lower(F.regexp_extract(hostport, HOST_RE, 1))
     special = F.lower(F.regexp_extract(url, ABS_RE, 1)).isin("http", "https", "ftp", "ws", "wss", "file")
     special_host = F.lower(
         F.regexp_extract(F.regexp_extract(F.regexp_extract(rest, SPECIAL_REST_RE, 1), r"^(?:.*@)?([^@]*)$", 1),
-                         r"^([^:]*)", 1)
+                         HOST_RE, 1)
     )
     return F.when(~url.rlike(ABS_RE), F.lit(None).cast("string")).when(special, special_host).otherwise(host)
 

@@ -11,9 +11,10 @@ A corpus is a DataFrame ``(doc_id, url, domain, title, snippet, body)``. The ind
 (large) documents table: a query only reads the postings of its terms.
 
 Plan: each document row becomes its filtered word arrays (no shuffle; the body length is the array size).
-The arrays are exploded with their position (title words follow body words), each word is stemmed in place,
-and one hash aggregate on (term, doc_id) counts title and body occurrences together. Its map-side partial
-step sees whole documents, so the only shuffle carries one row per posting.
+The arrays are exploded with their position (title words follow body words) and counted by (word, doc_id); the map-side
+partial step sees whole documents, so that shuffle carries one row per distinct word of a document. The counts are written
+once. Their distinct words, far fewer than their occurrences, are stemmed once each, spread over all tasks, and joined back by word
+(the planner picks the join from the real sizes); words of one stem are added up by (term, doc_id).
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.stem import add_stem
 from tidemark.functions.text import body_hash, index_words
+from tidemark.operators.util import bucket, materialize
 
 
 @dataclass
@@ -33,6 +35,35 @@ class Index:
     postings: DataFrame
     stats: DataFrame
     terms: DataFrame
+    #: Rows (term, doc_id, tf_body, tf_title, doc_len) that add up to the postings, for writers that deal them out by term anyway.
+    parts: DataFrame | None = None
+    #: Folders of a stored index by term and by document, 0 where the tables are not stored that way.
+    term_buckets: int = 0
+    doc_buckets: int = 0
+
+    def _keyed(self, terms: DataFrame) -> tuple[DataFrame, list[str]]:
+        if not self.term_buckets:
+            return terms, ["term"]
+        # the bucket is a partition column, so the join on it prunes folders at run time
+        return terms.filter(F.length("term") > 0).withColumn("term_bucket", bucket(F.col("term"), self.term_buckets)), ["term_bucket", "term"]
+
+    def with_df(self, terms: DataFrame) -> DataFrame:
+        """``terms`` (a column term among others) with the df of those that occur."""
+        asked, keys = self._keyed(terms)
+        return asked.join(self.terms, keys).select(*terms.columns, "df")
+
+    def matches(self, terms: DataFrame) -> DataFrame:
+        """The postings of ``terms``, one row per posting and row of ``terms``."""
+        asked, keys = self._keyed(terms)
+        return self.postings.join(asked, keys)
+
+    def documents_of(self, found: DataFrame) -> DataFrame:
+        """The display columns of the documents in ``found``, joined to its rows."""
+        columns = ["doc_id", "url", "title", "snippet"]
+        if not self.doc_buckets:
+            return self.documents.select(*columns).join(found, "doc_id")
+        asked = found.filter(F.col("doc_id").isNotNull()).withColumn("doc_bucket", bucket(F.col("doc_id"), self.doc_buckets))
+        return self.documents.select("doc_bucket", *columns).join(asked, ["doc_bucket", "doc_id"]).drop("doc_bucket")
 
 
 def skip_predicate(url: Column, body: Column, require_url: bool = True) -> Column:
@@ -76,16 +107,34 @@ def stem_table(words: DataFrame, col: str = "word") -> DataFrame:
     return add_stem(words.select(F.col(col).alias("word")).distinct(), "word", "term")
 
 
-def build_postings(corpus: DataFrame) -> DataFrame:
-    """(term, doc_id, tf_body, tf_title, doc_len) for the kept documents of ``corpus``."""
-    counts = add_stem(_word_counts(corpus), "word", "term")
-    return counts.groupBy("term", "doc_id").agg(
-        F.sum("in_body").cast("int").alias("tf_body"),
-        F.sum("in_title").cast("int").alias("tf_title"),
+def stemmed_vocabulary(words: DataFrame) -> DataFrame:
+    """(word, term) of the distinct words of ``words``, written out. Stemming is dealt over all tasks, however few bytes the words are."""
+    spark = words.sparkSession
+    distinct = words.select("word").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return materialize(add_stem(distinct, "word", "term"))
+
+
+def posting_parts(corpus: DataFrame) -> DataFrame:
+    """(term, doc_id, tf_body, tf_title, doc_len) of every distinct word of the kept documents; words of one stem are still apart."""
+    counts = materialize(_word_counts(corpus).groupBy("word", "doc_id").agg(
+        F.sum("in_body").cast("int").alias("tf_body"), F.sum("in_title").cast("int").alias("tf_title"), F.max("doc_len").cast("int").alias("doc_len")))
+    return counts.join(stemmed_vocabulary(counts), "word").select("term", "doc_id", "tf_body", "tf_title", "doc_len")
+
+
+def added_up(parts: DataFrame, *more: str) -> DataFrame:
+    """``parts`` with one row per term and document; ``more`` names columns that follow from the term."""
+    return parts.groupBy(*more, "term", "doc_id").agg(
+        F.sum("tf_body").cast("int").alias("tf_body"),
+        F.sum("tf_title").cast("int").alias("tf_title"),
         F.max("doc_len").cast("int").alias("doc_len"),
     )
 
 
+def build_postings(corpus: DataFrame) -> DataFrame:
+    """(term, doc_id, tf_body, tf_title, doc_len) for the kept documents of ``corpus``."""
+    return added_up(posting_parts(corpus))
+
+
 def term_table(postings: DataFrame) -> DataFrame:
     """(term, df): the number of documents of every term."""
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -122,8 +171,9 @@ def corpus_stats(documents: DataFrame) -> DataFrame:
 def build_index(corpus: DataFrame, require_url: bool = True) -> Index:
     kept = corpus.filter(skip_predicate(F.col("url"), F.col("body"), require_url))
     documents = build_documents(kept)
-    postings = build_postings(kept)
-    return Index(documents=documents, postings=postings, stats=corpus_stats(documents), terms=term_table(postings))
+    parts = posting_parts(kept)
+    postings = added_up(parts)
+    return Index(documents=documents, postings=postings, stats=corpus_stats(documents), terms=term_table(postings), parts=parts)
 
 
 def index_documents_table(documents_table: DataFrame) -> Index:

@@ -74,21 +74,13 @@ def cap_postings(cand: DataFrame, cap: int, fanin: int = CAP_FANIN) -> DataFrame
 def score_queries(index: Index, qterms: DataFrame, max_postings_per_term: int | None = None,
                   fanin: int = CAP_FANIN, salts: int = SALTS) -> DataFrame:
     """(query_id, salt, doc_id, score): full-precision BM25 sums, one row per matching (query, document)."""
-    keys, known = ["term"], index.terms
-    if "term_bucket" in index.postings.columns:
-        # stored index: the bucket is a partition column, so the join on it prunes folders at run time
-        from tidemark.sources.index_store import term_bucket
-
-        qterms = qterms.filter(F.length("term") > 0).withColumn("term_bucket", term_bucket(F.col("term")))
-        keys = ["term_bucket", "term"]
     if max_postings_per_term is None:
-        rows = index.postings.join(qterms.join(known, keys), keys)
+        rows = index.matches(index.with_df(qterms))
     else:
-        cand = index.postings.join(qterms.select(keys).distinct(), keys, "left_semi")
-        capped = cap_postings(cand, int(max_postings_per_term), fanin)
+        capped = cap_postings(index.matches(qterms.select("term").distinct()), int(max_postings_per_term), fanin)
         # df after the cap (K1): a count over the same term partitioning as the cap, no extra exchange
         capped = capped.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
-        rows = capped.join(qterms, keys)
+        rows = capped.join(qterms, "term")
     # N and the (safe) average length are scalar subqueries over the one-row stats table
     n_docs = index.stats.select("doc_count").scalar()
     avg_safe = index.stats.select(bm25.safe_avg(F.col("avg_length"))).scalar()
@@ -134,18 +126,15 @@ def bm25_search(index: Index, queries: DataFrame, limit=DEFAULT_LIMIT,
     )
 
 
-def with_document_fields(results: DataFrame, documents: DataFrame) -> DataFrame:
+def with_document_fields(results: DataFrame, documents: DataFrame | Index) -> DataFrame:
     """Late materialisation (J3 after top-k): url, title, snippet and source for the kept results only.
 
-    Only the four display columns of the documents are read; on a stored index the document bucket prunes folders.
+    Only the four display columns of the documents are read; with an index stored by document bucket the bucket prunes folders.
     """
-    keys = ["doc_id"]
-    if "doc_bucket" in documents.columns:
-        from tidemark.sources.index_store import doc_bucket
-
-        results = results.filter(F.col("rank") > 0).withColumn("doc_bucket", doc_bucket(F.col("doc_id")))
-        keys = ["doc_bucket", "doc_id"]
-    joined = documents.select(*keys, "url", "title", "snippet").join(results, keys)
+    if isinstance(documents, Index):
+        joined = documents.documents_of(results)
+    else:
+        joined = documents.select("doc_id", "url", "title", "snippet").join(results, "doc_id")
     return joined.select(
         "query_id", "rank", bm25.result_id(F.col("doc_id")).alias("id"), "doc_id", "url", "title", "snippet",
         "score", classify_source(F.col("url")).alias("source"), "total_hits",

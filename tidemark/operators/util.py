@@ -4,7 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def bucket(key: Column, buckets: int) -> Column:
+    """The folder number of a key among ``buckets`` folders."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def buckets_for(rows: int, rows_per_bucket: int) -> int:
+    """How many folders hold ``rows`` rows: a power of two, so that every number in use divides every larger one."""
+    return 1 << max(0, (max(1, -(-rows // rows_per_bucket)) - 1).bit_length())
 
 
 def materialize(df: DataFrame) -> DataFrame:

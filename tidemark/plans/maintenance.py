@@ -70,3 +70,43 @@ def with_deletions(pages: DataFrame):
     index = index_pages(pages)
     gone = extract_pages(pages.filter(F.pmod("page_id", F.lit(7)) == 0)).filter(F.col("url").isNotNull())
     return delete_documents(index, gone.select(url_id(F.col("url")).alias("doc_id")))
+
+
+#: Parts in which the first crawl arrives at the segment store, which merges them.
+ARRIVALS = 2
+
+
+def segment_store(pages: DataFrame):
+    """The scenario of ``run`` on a segment store: the first crawl in ARRIVALS batches (all pages of a url in one), then the second crawl."""
+    import uuid
+
+    from tidemark.session import ensure_checkpoint_dir
+    from tidemark.sources.segments import SegmentStore
+
+    spark = pages.sparkSession
+    store = SegmentStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/segments-{uuid.uuid4().hex}", fanin=ARRIVALS)
+    first = materialize(extract_pages(first_crawl(pages)).drop("links"))
+    for k in range(ARRIVALS):
+        part = first.filter(F.pmod(F.xxhash64("url"), F.lit(ARRIVALS)) == k)
+        store.apply(settle_versions(part), ts(FIRST_CRAWL_AT), f"first crawl {k}")
+    second = materialize(extract_pages(second_crawl(pages)).drop("links"))
+    skipped = second.filter(~skip_predicate(F.col("url"), F.col("body_text"))).select(F.coalesce(F.col("url"), F.col("raw_url")).alias("url"))
+    modes = store.apply(settle_versions(second), ts(SECOND_CRAWL_AT), "second crawl", skipped=skipped)
+    return store, modes
+
+
+def segments_without(pages: DataFrame):
+    """R5 on a segment store: one batch of all pages, then the deletion of every seventh page's document."""
+    import uuid
+
+    from tidemark.plans.pages import page_corpus, url_id
+    from tidemark.session import ensure_checkpoint_dir
+    from tidemark.sources.segments import SegmentStore
+
+    spark = pages.sparkSession
+    store = SegmentStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/segments-{uuid.uuid4().hex}")
+    corpus = page_corpus(pages)
+    store.apply(corpus, ts(FIRST_CRAWL_AT), "all pages")
+    gone = extract_pages(pages.filter(F.pmod("page_id", F.lit(7)) == 0)).filter(F.col("url").isNotNull()).select(url_id(F.col("url")).alias("doc_id"))
+    store.apply(corpus.limit(0), ts(SECOND_CRAWL_AT), "deletions", gone=gone)
+    return store

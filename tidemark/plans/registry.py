@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.urls import add_normalized_url, classify_source
+from tidemark.functions.urls import add_normalized_url, classify_source, get_domain
 from tidemark.operators import index as ix
 from tidemark.operators import rank
 from tidemark.plans import pages as pg
@@ -103,6 +103,13 @@ def q_page_postings(spark, sf_dir):
 
 ENTITY_FORMS = ('<a data-href="/lost" href="/found?x=1&amp;y=2" title="p > q">more</a><p title="a > b">caf&#233; &eacute;t&eacute; &#8217;&#x2014;&mdash; '
                 '&amp;lt; &#146; &nosuch; &#0;</p><nav-bar>bar</nav-bar><!-- <a href="/hidden">h</a> -->')
+#: Nested, unclosed and mis-nested elements, tags of thousands of characters, and references without a semicolon.
+HARD_MARKUP = (
+    "<p>|</p><nav>one<nav>two</nav>three</nav><div><footer>open</div>after |<form><form>in</form>tail |</form><button>a<button>b</button>kept |"
+    "<header><div></header>out </div>|<p title=don't class=x>apostrophe </p>|<img alt=\"a>b\" src=data:" + "A" * 8000 + "><i"
+    + "".join(f' data-{n}="{n}>"' for n in range(200)) + "></i><a class href=/" + "x" * 3000 + ">long</a> |<!-->shown <!-- x --!>|"
+    '&copy 2020 &ampx &notit; &notin; &#233 &#xe9 x |<a href="?a=1&copy=2&amp;lt=3&lt">refs</a>|<textarea><b>typed</b></textarea> |'
+    '<script>"</nav><a href=/s>"</script>1 < 2 |')
 #: Hosts handed out by page_id % 7, so that every source class occurs.
 HOSTS = ["en.wikipedia.org", "www.youtube.com", "youtu.be", "www.instagram.com", "web.archive.org", "", "example.org"]
 
@@ -124,6 +131,12 @@ def q_page_entities(spark, sf_dir):
     return ex.select("page_id", "title", "snippet", "body_text", F.array_join("links", " ").alias("links"))
 
 
+def q_page_markup(spark, sf_dir):
+    pages = _pages(spark, sf_dir).withColumn("html", F.replace(F.col("html"), F.lit("<article>"), F.lit("<article>" + HARD_MARKUP)))
+    ex = pg.extract_pages(pages)
+    return ex.select("page_id", "title", "snippet", "body_text", F.array_join("links", " ").alias("links"))
+
+
 def _page_hits(spark, sf_dir, pages=None, queries=None, limit=20):
     idx = pg.index_pages(_pages(spark, sf_dir) if pages is None else pages)
     res = rank.bm25_search(idx, benchmark_queries(spark, sf_dir) if queries is None else queries, limit=limit)
@@ -230,6 +243,54 @@ def q_delete_stats(spark, sf_dir):
     return maintenance.with_deletions(_pages(spark, sf_dir)).stats
 
 
+def _segments(spark, sf_dir):
+    from tidemark.plans import maintenance
+
+    return maintenance.segment_store(_pages(spark, sf_dir))
+
+
+def _with_df(index):
+    return index.postings.select("term", "doc_id", "tf_body", "tf_title").join(index.terms, "term")
+
+
+def q_segment_documents(spark, sf_dir):
+    """R1-R4 by sketches, opened buckets and tombstones: the documents, what the last batch did to them, and the statistics kept by differences."""
+    store, modes = _segments(spark, sf_dir)
+    index = store.index()
+    out = index.documents.join(modes.filter("mode <> 'skipped'").select("doc_id", "mode", "length_delta"), "doc_id", "left")
+    return out.withColumns({c: index.stats.select(c).scalar() for c in ("doc_count", "total_length")})
+
+
+def q_segment_postings(spark, sf_dir):
+    """Live postings of merged and newest segments, with the document frequencies kept by differences."""
+    return _with_df(_segments(spark, sf_dir)[0].index())
+
+
+def q_segment_search(spark, sf_dir):
+    index = _segments(spark, sf_dir)[0].index()
+    return rank.with_document_fields(rank.bm25_search(index, benchmark_queries(spark, sf_dir)), index)
+
+
+def q_segment_deletions(spark, sf_dir):
+    from tidemark.plans import maintenance
+
+    return _with_df(maintenance.segments_without(_pages(spark, sf_dir)).index())
+
+
+#: Raw forms of a host, handed out by page_id % 12.
+HOST_FORMS = ["müller.de", "MÜLLER.De:443", "0x7f.1", "017700000001", "[::1]:80", "[2001:DB8:0:0:1:0:0:1]", "[::ffff:192.168.0.1]", "bücher.例え.jp",
+              "ex%41mple.org", "１２７．０．０．１", "a..b.test", "256.1.1.1"]
+
+
+def q_url_hosts(spark, sf_dir):
+    """Each page's address with its host in another written form, and a link that is relative to it in spite of its scheme."""
+    forms = F.element_at(F.array(*[F.lit(h) for h in HOST_FORMS]), (F.pmod("page_id", F.lit(len(HOST_FORMS))) + 1).cast("int"))
+    rest = F.regexp_replace("url", r"^https?://[^/?#]*", "")
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "url"]).select("page_id", F.concat(F.lit("https://"), forms, rest).alias("raw"), F.lit("HTTPS:next?b=1").alias("link"))
+    out = add_normalized_url(add_normalized_url(pages, "raw", None, "url"), "link", "url", "next")
+    return out.select("page_id", "url", get_domain(F.col("url")).alias("domain"), "next")
+
+
 def _crawl(spark, sf_dir):
     from tidemark.plans import crawl
 
@@ -412,6 +473,7 @@ QUERIES: dict[str, Query] = {
     "dict_cards": q_dict_cards,
     "stream_index": q_stream_index,
     "page_entities": q_page_entities,
+    "page_markup": q_page_markup,
     "tab_results": q_tab_results,
     "first_result": q_first_result,
     "search_response": q_search_response,
@@ -420,6 +482,11 @@ QUERIES: dict[str, Query] = {
     "recrawl_moved_url": q_recrawl_moved_url,
     "delete_documents": q_delete_documents,
     "delete_stats": q_delete_stats,
+    "segment_documents": q_segment_documents,
+    "segment_postings": q_segment_postings,
+    "segment_search": q_segment_search,
+    "segment_deletions": q_segment_deletions,
+    "url_hosts": q_url_hosts,
     "seed_queue": q_seed_queue,
     "blocked_domains": q_blocked_domains,
     "history_edit": q_history_edit,

@@ -5,33 +5,32 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from tidemark.functions.urls import add_normalized_url
 from tidemark.operators.index import Index
 from tidemark.session import ensure_checkpoint_dir
-from tidemark.sources import index_store
+from tidemark.sources.segments import SegmentStore
 from tidemark.streaming import ingest
 
-ARRIVAL_FILES = 4
+ARRIVALS = 4
 
 
-def split_into_files(pages: DataFrame, path: str, n: int = ARRIVAL_FILES) -> None:
-    """Write ``pages`` as ``n`` parts by page_id, one after the other, so that each arrives after the one before."""
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    width = ((high or 0) - (low or 0)) // n + 1
-    for k in range(n):
-        part = pages.filter(F.floor((F.col("page_id") - F.lit(low or 0)) / width) == k)
-        part.coalesce(1).write.mode("append").parquet(path)
+def split_into_files(pages: DataFrame, path: str, arrivals: int = ARRIVALS) -> int:
+    """Write ``pages`` in one pass as files that each hold all pages of their urls, so that the files may arrive in any order.
 
+    Returns the number of files: one per shuffle partition, one per arrival at least. Every page goes to a file, whatever its id.
+    """
+    files = max(arrivals, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = add_normalized_url(pages, "url", None, "_canonical").repartition(files, "_canonical")
+    dealt.drop("_canonical").write.parquet(path)
+    return files
 
-def stream_pages(spark: SparkSession, pages: DataFrame, n: int = ARRIVAL_FILES, files_per_batch: int = 1) -> Index:
+
+def stream_pages(spark: SparkSession, pages: DataFrame, arrivals: int = ARRIVALS, files_per_batch: int | None = None) -> Index:
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    split_into_files(pages, f"{root}/arrivals", n)
-    q = ingest.start(spark, f"{root}/arrivals", f"{root}/index", f"{root}/checkpoint", max_files_per_trigger=files_per_batch)
+    files = split_into_files(pages, f"{root}/arrivals", arrivals)
+    q = ingest.start(spark, f"{root}/arrivals", f"{root}/index", f"{root}/checkpoint", max_files_per_trigger=files_per_batch or -(-files // arrivals))
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    latest = index_store.read_latest(spark, f"{root}/index")
-    if latest is None:
-        raise RuntimeError("stream wrote no index version")
-    return latest[1]
+    return SegmentStore(spark, f"{root}/index").index()

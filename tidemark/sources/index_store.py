@@ -6,6 +6,7 @@ Layout under a root folder (HDFS, object store or local):
     version=N/postings/term_bucket=B/    parquet, sorted by term inside each file
     version=N/terms/term_bucket=B/       parquet: document frequency of every term
     version=N/stats/                     one-row parquet
+    version=N/layout/                    one row: how many buckets of either kind this version has, chosen from its size
     versions/                            one row per complete version, written last
 
 A writer that re-runs for the same version overwrites the same folders, so retries are idempotent.
@@ -14,51 +15,52 @@ A writer that re-runs for the same version overwrites the same folders, so retri
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import schemas
-from tidemark.operators.index import Index, corpus_stats, term_table
+from tidemark.operators.index import Index, added_up, corpus_stats, term_table
+from tidemark.operators.util import bucket, buckets_for, materialize
 
-TERM_BUCKETS = 64
-DOC_BUCKETS = 64
-
-
-def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def doc_bucket(doc_id: Column, buckets: int = DOC_BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
+#: Rows of one folder: some hundred megabytes of documents, about a gigabyte of postings.
+DOCS_PER_BUCKET = 1 << 21
+POSTINGS_PER_BUCKET = 1 << 26
 
 
 def _with(schema: T.StructType, bucket: str) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(bucket, T.IntegerType())])
 
 
-def write_version(index: Index, root: str, version: int, documents: DataFrame | None = None) -> str:
+def write_version(index: Index, root: str, version: int, documents: DataFrame | None = None,
+                  docs_per_bucket: int = DOCS_PER_BUCKET, postings_per_bucket: int = POSTINGS_PER_BUCKET) -> str:
     """Writes one version; raises ValueError if two documents have one id."""
     base = f"{root.rstrip('/')}/version={version}"
     spark = index.postings.sparkSession
-    docs = (documents if documents is not None else index.documents).drop("doc_bucket")
-    docs = docs.withColumn("doc_bucket", doc_bucket(F.col("doc_id")))
-    docs.repartition("doc_bucket").write.mode("overwrite").partitionBy("doc_bucket").parquet(f"{base}/documents")
+    docs = materialize((documents if documents is not None else index.documents).drop("doc_bucket"))
+    # a document has at most as many postings as words
+    n_docs, n_words = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("body_length"), F.lit(0))).first()
+    doc_buckets, term_buckets = buckets_for(n_docs, docs_per_bucket), buckets_for(n_words, postings_per_bucket)
+    docs = docs.withColumn("doc_bucket", bucket(F.col("doc_id"), doc_buckets))
+    # range partitions: as many tasks as the data has, a large bucket split over several, a small one in one file
+    docs.repartitionByRange("doc_bucket", "doc_id").write.mode("overwrite").partitionBy("doc_bucket").parquet(f"{base}/documents")
     stored = spark.read.parquet(f"{base}/documents")
     twice = stored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     if not twice.isEmpty():
         raise ValueError("two documents have one id")
-    post = index.postings.drop("term_bucket").withColumn("term_bucket", term_bucket(F.col("term")))
-    # range partitions on (bucket, term, doc_id): even file sizes, each task writes one or two bucket
-    # folders, a very common term is split across tasks, and files are sorted by term for min/max skipping
-    (post.repartitionByRange("term_bucket", "term", "doc_id").sortWithinPartitions("term_bucket", "term", "doc_id")
-     .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{base}/postings"))
-    terms = term_table(spark.read.parquet(f"{base}/postings").select("term", "doc_id")).withColumn("term_bucket", term_bucket(F.col("term")))
-    terms.repartition("term_bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("term_bucket").parquet(f"{base}/terms")
+    # range partitions on (bucket, term, doc_id): even file sizes, each task writes one or two bucket folders, a very common
+    # term is split across tasks, and files are sorted by term for min/max skipping; rows of one posting meet in one range
+    post = (index.postings if index.parts is None else index.parts).drop("term_bucket")
+    post = post.withColumn("term_bucket", bucket(F.col("term"), term_buckets)).repartitionByRange("term_bucket", "term", "doc_id")
+    post = post if index.parts is None else added_up(post, "term_bucket")
+    post.sortWithinPartitions("term_bucket", "term", "doc_id").write.mode("overwrite").partitionBy("term_bucket").parquet(f"{base}/postings")
+    terms = term_table(spark.read.parquet(f"{base}/postings").select("term", "doc_id")).withColumn("term_bucket", bucket(F.col("term"), term_buckets))
+    terms.repartitionByRange("term_bucket", "term").sortWithinPartitions("term_bucket", "term").write.mode("overwrite").partitionBy("term_bucket").parquet(f"{base}/terms")
     # stats from the documents just written (a narrow column scan), not by re-running the build plan;
     # an index whose stats are maintained by deltas (re-index) writes those instead
     stats = index.stats if documents is not None else corpus_stats(stored)
     stats.select("doc_count", "total_length").coalesce(1).write.mode("overwrite").parquet(f"{base}/stats")
+    spark.range(1).select(F.lit(doc_buckets).alias("doc_buckets"), F.lit(term_buckets).alias("term_buckets")).write.mode("overwrite").parquet(f"{base}/layout")
     spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode("append").parquet(f"{root.rstrip('/')}/versions")
     return base
 
@@ -74,6 +76,7 @@ def versions(spark: SparkSession, root: str) -> list[int]:
 
 def read_version(spark: SparkSession, root: str, version: int) -> Index:
     base = f"{root.rstrip('/')}/version={version}"
+    doc_buckets, term_buckets = spark.read.schema("doc_buckets int, term_buckets int").parquet(f"{base}/layout").first()
     raw = spark.read.schema(schemas.INDEX_STATS).parquet(f"{base}/stats")
     stats = raw.select(
         "doc_count", "total_length",
@@ -82,7 +85,8 @@ def read_version(spark: SparkSession, root: str, version: int) -> Index:
     )
     return Index(documents=spark.read.schema(_with(schemas.DOCUMENTS, "doc_bucket")).parquet(f"{base}/documents"),
                  postings=spark.read.schema(_with(schemas.POSTINGS, "term_bucket")).parquet(f"{base}/postings"),
-                 stats=stats, terms=spark.read.schema("term string, df bigint, term_bucket int").parquet(f"{base}/terms"))
+                 stats=stats, terms=spark.read.schema("term string, df bigint, term_bucket int").parquet(f"{base}/terms"),
+                 term_buckets=term_buckets, doc_buckets=doc_buckets)
 
 
 def read_latest(spark: SparkSession, root: str) -> tuple[int, Index] | None:

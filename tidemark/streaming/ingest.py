@@ -1,12 +1,11 @@
 """Continuous re-index with Structured Streaming (ST1, ST2).
 
 Arriving page files are read with ``readStream`` (``maxFilesPerTrigger`` bounds a micro-batch, the
-batch form of the crawler's page budget); ``foreachBatch`` runs the batch re-index on each micro-batch:
-extract, settle (a url's pages count in order of arrival, also inside a batch), compare hashes with the stored version,
-write version ``batch_id + 1``. The stored documents are the seen-url state (ST2): a url already stored
-is matched by the J6 join, so no unbounded streaming state is kept. The batch's clock is the newest
-modification time of its files, so the query's checkpoint plus the per-batch version directory make a
-replayed batch rewrite the same output.
+batch form of the crawler's page budget); ``foreachBatch`` extracts and settles a micro-batch (a url's pages count in order of
+arrival, also inside a batch) and applies it to a segment store: it writes one segment of the batch's own size. The stored segments are
+the seen-url state (ST2): their sketches tell new ids from possible old ones, so no unbounded streaming state is kept and no
+stored bucket is opened for a new url. The batch's clock is the newest modification time of its files and its name the batch id, so a
+batch replayed after a failure writes the same segment, or nothing if it was committed.
 """
 
 from __future__ import annotations
@@ -15,37 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.operators.index import Index, build_index, skip_predicate
-from tidemark.operators.reindex import reindex, stamp
+from tidemark.operators.index import skip_predicate
 from tidemark.operators.util import materialize
 from tidemark.plans.pages import extract_pages, settle_versions
-from tidemark.sources import index_store
+from tidemark.sources.segments import SegmentStore
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, index_root: str, as_of=None) -> None:
+    store, name = SegmentStore(spark, index_root), f"batch {batch_id}"
+    if store.applied(name):
+        return
     if as_of is None:
         # the batch's clock is the newest arrival time of its files: a replay of the batch after a failure
         # sees the same files and writes the same rows
         as_of = (batch.select(F.max("arrived_at").cast("timestamp_ntz")).scalar() if "arrived_at" in batch.columns
                  else F.current_timestamp().cast("timestamp_ntz"))
     extracted = materialize(extract_pages(batch).drop("links"))
-    settled = settle_versions(extracted)
-    previous = [v for v in index_store.versions(spark, index_root) if v <= batch_id]
-    version = batch_id + 1
-    if not previous:
-        idx = build_index(settled)
-        index_store.write_version(idx, index_root, version, documents=stamp(idx.documents, as_of))
-        return
-    old = index_store.read_version(spark, index_root, previous[-1])
     skipped = extracted.filter(~skip_predicate(F.col("url"), F.col("body_text"))).select(
         F.coalesce(F.col("url"), F.col("raw_url")).alias("url"))
-    stored = old.documents.drop("doc_bucket")
-    old_idx = Index(documents=stored.drop("crawled_at", "updated_at"),
-                    postings=old.postings.drop("term_bucket"), stats=old.stats, terms=old.terms)
-    r = reindex(old_idx, stored, settled, as_of, skipped)
-    docs_ts = materialize(r.documents_ts)
-    nxt = Index(documents=docs_ts.drop("crawled_at", "updated_at"), postings=r.index.postings, stats=r.index.stats, terms=r.index.terms)
-    index_store.write_version(nxt, index_root, version, documents=docs_ts)
+    store.apply(settle_versions(extracted), as_of, name, skipped=skipped)
 
 
 def start(spark: SparkSession, source_dir: str, index_root: str, checkpoint: str, max_files_per_trigger: int = 1,

@@ -56,7 +56,7 @@ def main(sf_dir: str) -> None:
     out.append(facts("single query on the stored index", rank.bm25_search(stored, one)))
     out.append(facts("query batch on the stored index", rank.bm25_search(stored, queries)))
     out.append(facts("query batch with a cap of 5000 postings a term", rank.bm25_search(stored, queries, 20, 5000)))
-    shown = rank.with_document_fields(rank.bm25_search(stored, one), stored.documents)
+    shown = rank.with_document_fields(rank.bm25_search(stored, one), stored)
     out.append(facts("single query with display fields", shown))
     print("\n".join(out))
 
