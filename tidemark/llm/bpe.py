@@ -2,7 +2,8 @@
 
 Byte-pair encoding never crosses the borders that a vocabulary's pre-tokenizer sets. For texts of plain
 Latin-1 characters those borders are the matches of a fixed pattern, so a text's ids are its words'
-ids in a row, and words that were encoded before come from a bounded cache. Any other text goes to the library whole, and so does a
+ids in a row. A new word goes straight to the library's byte-pair model, as its bytes in the byte-level alphabet; words that were
+encoded before come from a bounded cache of two generations, in which rare words give way. Any other text goes to the library whole, and so does a
 text with the string of an added token ("<|endoftext|>") where such strings become their ids: those cut across the borders.
 """
 
@@ -23,8 +24,18 @@ _BYTE_LEVEL = re.compile(f" ?[{_L}]+|{_SHORT}| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}
 _WORD_LEVEL = re.compile(f"[{_L}]+|{_SHORT}|[{_N}]|[^{_S}{_L}{_N}]+")
 _PLAIN = re.compile("[\t\n\x0b\x0c\r -~\xa0-\xff]*")
 
-CACHE_WORDS = 250_000
-BATCH_WORDS = 4096
+#: Words that a worker keeps at most, in two generations.
+CACHE_WORDS = 400_000
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if printable, else the next free one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+_ALPHABET = _byte_alphabet()
 
 
 class Encoder:
@@ -33,7 +44,7 @@ class Encoder:
     With ``added_tokens`` the string of an added token inside a text becomes that token's id, the library's default; else it is ordinary text.
     """
 
-    def __init__(self, path: str, added_tokens: bool = False):
+    def __init__(self, path: str, added_tokens: bool = False, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -47,7 +58,9 @@ class Encoder:
             self.words = _BYTE_LEVEL.findall
         elif kind.startswith("Sequence(pretokenizers=[Split(") and "Lowercase" in str(self.library.normalizer):
             self.words = lambda text: _WORD_LEVEL.findall(text.lower())
-        self.cache: dict[str, bytes] = {}
+        self.young_words = max(1, cache_words // 2)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bool:
         if self.words is None or not _PLAIN.fullmatch(text):
@@ -55,30 +68,35 @@ class Encoder:
         lower = text.lower() if self.added else ""
         return any(a in lower for a in self.added)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for found in self.library.encode_batch_fast(texts, add_special_tokens=False):
-            ids = array("I", found.ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            out.append(ids.tobytes())
-        return out
-
-    def _encode_new(self, words: list[str]) -> dict[str, bytes]:
-        found: dict[str, bytes] = {}
-        for k in range(0, len(words), BATCH_WORDS):
-            part = words[k : k + BATCH_WORDS]
-            found.update(zip(part, self._library(part), strict=True))
-        if len(self.cache) < CACHE_WORDS:
-            self.cache.update(found)
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _encode_whole(self, text: str) -> bytes:
+        return self._packed(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that the young generation doesn't hold; it does afterwards."""
+        tokenize, known, found = self.library.model.tokenize, self.old.get, {}
+        for word in words:
+            ids = known(word)
+            if ids is None:
+                ids = self._packed([t.id for t in tokenize(word.encode("utf-8").decode("latin-1").translate(_ALPHABET))])
+            found[word] = ids
+        if len(self.young) + len(found) > self.young_words:
+            self.old, self.young = self.young, {}
+        self.young.update(found)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        waiting, new, known = [], set(), self.cache.get
+        waiting, new, known = [], set(), self.young.get
         for i, text in enumerate(texts):
             if self._whole(text):
-                out[i] = self._library([text])[0]
+                out[i] = self._encode_whole(text)
                 continue
             words = self.words(text)
             ids = list(map(known, words))
@@ -88,7 +106,7 @@ class Encoder:
                 waiting.append((i, words, ids, missing))
             else:
                 out[i] = b"".join(ids)
-        found = self._encode_new(list(new))
+        found = self._encode_words(list(new))
         for i, words, ids, missing in waiting:
             for k in missing:
                 ids[k] = found[words[k]]
@@ -96,11 +114,12 @@ class Encoder:
         return out
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, int], Encoder] = {}
 
 
-def encoder(path: str, added_tokens: bool = False) -> Encoder:
+def encoder(path: str, added_tokens: bool = False, cache_words: int = CACHE_WORDS) -> Encoder:
     """This worker's encoder for a vocabulary file; it lives as long as the worker."""
-    if (path, added_tokens) not in _encoders:
-        _encoders[path, added_tokens] = Encoder(path, added_tokens)
-    return _encoders[path, added_tokens]
+    key = (path, added_tokens, cache_words)
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, added_tokens, cache_words)
+    return _encoders[key]
