@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +20,7 @@ from tidemark.llm.staging import staged
 
 LENGTH = 1024
 END_ID = 2
-#: Pieces that one task packs; the groups' number grows with the input.
+#: Pieces that are packed together; the groups' number grows with the input.
 GROUP_PIECES = 16_384
 _TEXTS = 256
 
@@ -95,22 +94,28 @@ def pack(pieces: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIEC
     """``pieces`` (with a column length, 1 to ``length``) plus sequence_id and offset.
 
     Every sequence is filled from offset 0 without gaps and holds at most ``length`` tokens; its number has no
-    meaning. Other columns pass through. Rows are told apart by their place in the staged table, so repeated rows and null
-    identifiers are packed like any others.
+    meaning. Other columns pass through; columns of the input named sequence_id, offset, _place or _group are left out. Rows are told
+    apart by their place in the staged table, so repeated rows and null identifiers are packed like any others. A task packs as many
+    groups as its partition holds, one after the other, so the number of tasks follows the data's size and not the number of groups.
     """
-    rows = staged(pieces, "pack-pieces").withColumn("_place", F.monotonically_increasing_id())
+    rows = staged(pieces.drop("sequence_id", "offset", "_place", "_group"), "pack-pieces").withColumn("_place", F.monotonically_increasing_id())
     full = rows.where(F.col("length") >= length).withColumns({"sequence_id": -1 - F.col("_place"), "offset": F.lit(0).cast("long")})
     short = rows.where(F.col("length") < length)
     groups = max(1, -(-short.count() // group_pieces))
 
     def run(batches):
-        group, bins = TaskContext.get().partitionId(), _Bins(length)
+        group, bins = None, _Bins(length)
         for batch in batches:
-            at = [bins.place(size) for size in batch.column("length").to_pylist()]
-            numbers = np.array([n for n, _ in at], np.int64) + (group << 40)
-            batch = batch.append_column("sequence_id", pa.array(numbers))
+            own, at = batch.column("_group").to_pylist(), []
+            for number, size in zip(own, batch.column("length").to_pylist(), strict=True):
+                if number != group:
+                    group, bins = number, _Bins(length)
+                at.append(bins.place(size))
+            numbers = np.array([n for n, _ in at], np.int64) + (np.array(own, np.int64) << 40)
+            batch = batch.drop_columns(["_group"]).append_column("sequence_id", pa.array(numbers))
             yield batch.append_column("offset", pa.array([o for _, o in at], pa.int64()))
 
-    dealt = short.repartition(groups, F.xxhash64("_place")).sortWithinPartitions(F.desc("length"), "_place")
+    dealt = short.withColumn("_group", F.pmod(F.xxhash64("_place"), F.lit(groups))).repartition("_group")
+    dealt = dealt.sortWithinPartitions("_group", F.desc("length"), "_place")
     schema = T.StructType([*short.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return dealt.mapInArrow(run, schema).unionByName(full).drop("_place")
