@@ -24,8 +24,8 @@ _BYTE_LEVEL = re.compile(f" ?[{_L}]+|{_SHORT}| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}
 _WORD_LEVEL = re.compile(f"[{_L}]+|{_SHORT}|[{_N}]|[^{_S}{_L}{_N}]+")
 _PLAIN = re.compile("[\t\n\x0b\x0c\r -~\xa0-\xff]*")
 
-#: Words that a worker keeps at most, in two generations.
-CACHE_WORDS = 400_000
+#: Words that a worker keeps at most, in two generations; about 200 bytes each.
+CACHE_WORDS = 1_000_000
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -53,20 +53,23 @@ class Encoder:
         # in lower case, as a token may be looked up after the normalizer; a text that only resembles one is encoded whole for nothing
         self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()] if added_tokens else []
         kind = str(self.library.pre_tokenizer)
-        self.words = None
+        self.words, self.lower = None, False
         if kind.startswith("ByteLevel(add_prefix_space=False") and self.library.normalizer is None:
             self.words = _BYTE_LEVEL.findall
         elif kind.startswith("Sequence(pretokenizers=[Split(") and "Lowercase" in str(self.library.normalizer):
-            self.words = lambda text: _WORD_LEVEL.findall(text.lower())
+            self.words, self.lower = _WORD_LEVEL.findall, True
         self.young_words = max(1, cache_words // 2)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _whole(self, text: str) -> bool:
+    def _split(self, text: str) -> list[str] | None:
+        """The text's words; none if it has to go to the library whole."""
         if self.words is None or not _PLAIN.fullmatch(text):
-            return True
-        lower = text.lower() if self.added else ""
-        return any(a in lower for a in self.added)
+            return None
+        lower = text.lower() if self.lower or self.added else text
+        if any(a in lower for a in self.added):
+            return None
+        return self.words(lower if self.lower else text)
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
@@ -95,10 +98,10 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         waiting, new, known = [], set(), self.young.get
         for i, text in enumerate(texts):
-            if self._whole(text):
+            words = self._split(text)
+            if words is None:
                 out[i] = self._encode_whole(text)
                 continue
-            words = self.words(text)
             ids = list(map(known, words))
             if None in ids:
                 missing = [k for k, found in enumerate(ids) if found is None]

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.bpe import CACHE_WORDS
 from tidemark.llm.staging import staged
 
 LENGTH = 1024
@@ -35,18 +36,18 @@ def _pieces_of(ids: bytes, length: int) -> Iterator[tuple[int, int, bytes]]:
         start, end = end, end + length
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, added_tokens: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, added_tokens: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: ``id_col``, piece, start, length, ids (little-endian unsigned 32-bit integers).
 
     A document is the ids of its whole text and ``end_id``; null text is empty and gives the end id alone.
-    Repeated rows and null identifiers give their own pieces; an empty table gives none. ``added_tokens`` as in ``bpe.Encoder``.
+    Repeated rows and null identifiers give their own pieces; an empty table gives none. ``added_tokens`` and ``cache_words`` as in ``bpe.Encoder``.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         from tidemark.llm.bpe import encoder
 
-        encode = encoder(vocabulary, added_tokens).encode
+        encode = encoder(vocabulary, added_tokens, cache_words).encode
         for batch in batches:
             for at in range(0, batch.num_rows, _TEXTS):
                 part = batch.slice(at, _TEXTS)

@@ -21,14 +21,18 @@ MAGIC = b"WVM1"
 BLOCK_WORDS = 8
 
 
+def _narrow(bits: int) -> type:
+    return np.uint16 if bits <= 16 else np.uint32
+
+
 def build(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray, nulls: int = 0, part: int = 0, shard: int = 0, level: int = 1) -> bytes:
     """The bytes of one shard. ``starts`` has one entry more than there are documents, of which the last ``nulls`` have no identifier."""
     bits = max(1, int(ids.max(initial=0)).bit_length())
     squeeze = zstandard.ZstdCompressor(level=level).compress
     frames = [squeeze(doc_ids.astype("<i8").tobytes()), squeeze(starts.astype("<u8").tobytes())]
-    zeros, now = [], ids.astype(np.uint32)
+    zeros, now = [], ids.astype(_narrow(bits))
     for k in range(bits - 1, -1, -1):
-        ones = ((now >> np.uint32(k)) & np.uint32(1)).astype(bool)
+        ones = (now & now.dtype.type(1 << k)).astype(bool)
         words = np.zeros(-(-len(now) // 512) * BLOCK_WORDS, "<u8")
         packed = np.packbits(ones, bitorder="little")
         words.view(np.uint8)[: len(packed)] = packed
@@ -36,7 +40,7 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray, nulls: int =
         ranks = np.concatenate(([0], np.cumsum(per_block))).astype("<u8")
         frames.append(squeeze(words.tobytes() + ranks.tobytes()))
         zeros.append(int(len(now) - ranks[-1]))
-        now = np.concatenate((now[~ones], now[ones]))
+        now = np.concatenate((np.compress(~ones, now), np.compress(ones, now)))
     places = np.cumsum([0, *map(len, frames)]).tolist()
     header = json.dumps({"n": len(ids), "docs": len(doc_ids), "bits": bits, "zeros": zeros, "places": places, "nulls": nulls, "part": part, "shard": shard}).encode()
     return MAGIC + struct.pack("<I", len(header)) + header + b"".join(frames)
@@ -131,12 +135,13 @@ class Shard:
 
     def all_ids(self) -> np.ndarray:
         """Every id in order: the planes undone from the last to the first."""
-        now = np.zeros(self.n, np.uint32)
+        narrow = _narrow(self.bits)
+        now = np.zeros(self.n, narrow)
         for level in range(self.bits - 1, -1, -1):
             words, _ = self._plane(level)
-            bit = np.unpackbits(words.view(np.uint8), bitorder="little")[: self.n].astype(bool)
-            back = np.empty(self.n, np.uint32)
-            back[~bit] = now[: self.zeros[level]]
-            back[bit] = now[self.zeros[level] :]
-            now = back | (bit.astype(np.uint32) << np.uint32(self.bits - 1 - level))
-        return now
+            bit = np.unpackbits(words.view(np.uint8), bitorder="little")[: self.n].view(bool)
+            back = np.empty(self.n, narrow)
+            back[np.flatnonzero(~bit)] = now[: self.zeros[level]]
+            back[np.flatnonzero(bit)] = now[self.zeros[level] :] | narrow(1 << (self.bits - 1 - level))
+            now = back
+        return now.astype(np.uint32)
