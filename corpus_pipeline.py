@@ -20,6 +20,8 @@ from tidemark.llm.staging import staged
 MIN_COSINE = 0.05
 #: Distinct n-grams below which a low cosine says nothing: a word or two are about as near to their own language as noise is.
 MIN_GRAMS = 32
+#: Words that a packing worker keeps encoded: fewer than in a job of its own, as earlier stages leave the workers larger.
+PACK_CACHE_WORDS = 400_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Copies of a document have their own pieces."""
     import public_tokenizers
 
-    pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
+    pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True, cache_words=PACK_CACHE_WORDS)
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
