@@ -72,3 +72,32 @@ def dict_cards_sql() -> str:
     return f"""WITH {cards_cte()}
 SELECT e.event_id AS query_id, 0 AS rank, c.id, c.url, c.title, c.snippet, c.score
 FROM events e JOIN cards c ON lower(trim(e.event_type)) = c.word WHERE regexp_matches(trim(e.event_type), '^[a-zA-Z]+$')"""
+
+
+def backup_restore_sql() -> str:
+    """Users whose id ends in 0 take over all that the next user has."""
+    return f"""WITH {HIST},
+settings AS (SELECT CAST(user_id AS VARCHAR) AS user_id, max(event_type) || '|' || count(*) AS item FROM events GROUP BY user_id),
+marks AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id, 'idx-' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS item
+          FROM events WHERE event_type = 'purchase'),
+shortcuts AS (SELECT CAST(user_id AS VARCHAR) AS user_id, 's' || event_id || '|https://short.test/' || CAST(floor(value) AS BIGINT) AS item
+              FROM events WHERE event_type = 'signup'),
+had AS (SELECT 'settings' AS kind, * FROM settings UNION ALL SELECT 'history', user_id, history_id || '|' || query FROM h
+        UNION ALL SELECT 'bookmarks', * FROM marks UNION ALL SELECT 'shortcuts', * FROM shortcuts),
+users AS (SELECT user_id, CAST(CAST(user_id AS BIGINT) + 1 AS VARCHAR) AS source_user FROM settings WHERE suffix(user_id, '0'))
+SELECT kind, user_id, item FROM had WHERE user_id NOT IN (SELECT user_id FROM users)
+UNION ALL SELECT kind, u.user_id, item FROM had JOIN users u ON had.user_id = u.source_user"""
+
+
+def history_log_sql() -> str:
+    return f"WITH {HIST}\nSELECT history_id, user_id, query, ts FROM h"
+
+
+def word_cards_sql() -> str:
+    return f"""WITH w AS (SELECT item_id, text, lower(regexp_extract(text, '[A-Za-z]+')) AS word FROM benchmark WHERE regexp_matches(text, '[A-Za-z]')),
+e AS (SELECT word, arg_min(text, item_id) AS text, min(item_id) AS item_id FROM w GROUP BY word),
+asked AS (SELECT doc_id, lower(regexp_extract(text, '[A-Za-z]+')) AS word FROM documents)
+SELECT doc_id AS query_id, 0 AS rank, 'dict-' || word AS id, {q(K.CARD_URL)} || word AS url, word || ' (noun) - Definition & Meaning' AS title,
+       'Definition: ' || substr(text, 1, 60) || ' Pronunciation: ' || CASE WHEN item_id % 2 = 0 THEN '/' || word || '/' ELSE '~' || word END AS snippet,
+       CAST({K.CARD_SCORE} AS DOUBLE) AS score
+FROM asked JOIN e USING (word)"""

@@ -74,6 +74,19 @@ one AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY do
 SELECT * FROM one ORDER BY discovered_at, id LIMIT 50"""
 
 
+def fetch_schedule_sql() -> str:
+    """Turns are counted per domain; a turn is the delay and a millisecond after the one before."""
+    as_of = _ts(K.AS_OF)
+    return f"""WITH {base_ctes()},
+turns AS (SELECT q.*, coalesce(d.pages_crawled, 0) AS crawled, d.last_fetched_at AS fetched, coalesce(d.crawl_delay_ms, 1000) + 1 AS step,
+                 row_number() OVER (PARTITION BY q.domain ORDER BY q.discovered_at, q.id) - 1 AS turn
+          FROM queue q LEFT JOIN ds d ON q.domain = d.domain WHERE q.status = 'pending' AND NOT coalesce(d.disallowed, false)),
+slots AS (SELECT *, greatest({as_of}, coalesce(fetched + to_milliseconds(step), {as_of})) + to_milliseconds(turn * step) AS fetch_at FROM turns)
+SELECT id, url, domain, depth, status, discovered_at, processed_at, error, fetch_at FROM slots
+WHERE fetch_at < {as_of} + INTERVAL 5 SECONDS AND crawled + turn < 200
+ORDER BY fetch_at, discovered_at, id LIMIT (SELECT greatest(1, count(*) // 5) FROM cp)"""
+
+
 def fetch_gate_sql() -> str:
     return f"WITH {base_ctes()}\nSELECT url, outcome, error FROM gate"
 

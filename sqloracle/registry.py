@@ -63,6 +63,12 @@ def oracle_statements() -> dict[str, str]:
         "segment_search": pg.segment_search_sql(),
         "segment_deletions": pg.segment_deletions_sql(),
         "url_hosts": pg.url_hosts_sql(),
+        "seed_files": cr.seed_queue_sql(),
+        "fetch_schedule": cr.fetch_schedule_sql(),
+        "suggest_indexed": ac.suggest_sql(),
+        "backup_restore": ac.backup_restore_sql(),
+        "history_log": ac.history_log_sql(),
+        "word_cards": ac.word_cards_sql(),
         "seed_queue": cr.seed_queue_sql(),
         "blocked_domains": cr.blocked_domains_sql(),
         "history_edit": ac.history_edit_sql(),

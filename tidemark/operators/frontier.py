@@ -7,7 +7,7 @@ Every job takes an explicit ``as_of`` so results repeat.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.urls import add_normalized_url, get_domain
@@ -81,6 +81,36 @@ def fetch_list(queue: DataFrame, domain_stats: DataFrame, as_of: Column, budget:
     return (rows if budget is None else rows.orderBy("discovered_at", "id").limit(budget)).select(e.columns)
 
 
+def fetch_schedule(queue: DataFrame, domain_stats: DataFrame, as_of: Column, horizon_ms: int, budget: int | None = None,
+                   max_pages: int | None = None, blocked: DataFrame | None = None) -> DataFrame:
+    """M2 over a horizon: what a crawler fetches until ``as_of`` + ``horizon_ms``, and when: the queue's columns and fetch_at.
+
+    A domain's urls follow each other in order of discovery, each later than the one before by more than its delay (whole
+    milliseconds); the first slot is ``as_of``, or the first moment at which the delay since its last fetch has passed. The lifetime page cap
+    counts the pages to come. With a budget, the earliest slots are kept, ties in order of discovery. A url's turn in its domain is
+    its place in its range of the sorted queue plus the counts of earlier ranges, so a domain with a large part of the queue is spread.
+    """
+    ds = domain_stats.select("domain", "pages_crawled", "last_fetched_at", "crawl_delay_ms", "disallowed")
+    j = queue.filter(F.col("status") == "pending").join(ds, "domain", "left").filter(~F.coalesce(F.col("disallowed"), F.lit(False)))
+    if blocked is not None:
+        j = j.join(blocked.select("domain"), "domain", "left_anti")
+    # written once, so that a row's range is a fact
+    ranged = materialize(j.repartitionByRange("domain", "discovered_at", "id").withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("domain", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("domain").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("domain", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("domain", "_part").orderBy("discovered_at", "id")
+    turn = ranged.withColumn("_own", F.row_number().over(own)).join(before, ["domain", "_part"]).withColumn("_turn", F.col("_before") + F.col("_own") - 1)
+    step = F.coalesce(F.col("crawl_delay_ms"), F.lit(DEFAULT_DELAY_MS)).cast("long") + 1
+    millis = lambda n: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (n / F.lit(1000)).cast("decimal(18,6)"))
+    free_at = F.greatest(as_of, F.col("last_fetched_at") + millis(step))  # greatest skips a null: never fetched
+    out = turn.withColumn("fetch_at", free_at + millis(F.col("_turn") * step)).filter(F.col("fetch_at") < as_of + millis(F.lit(horizon_ms)))
+    if max_pages is not None:
+        out = out.filter(F.coalesce(F.col("pages_crawled"), F.lit(0)) + F.col("_turn") < max_pages)
+    out = out if budget is None else out.orderBy("fetch_at", "discovered_at", "id").limit(budget)
+    return out.select(*queue.columns, "fetch_at")
+
+
 def fetch_gate(fetch_log: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """SC4: classify fetch responses -> (url, outcome, error). 200-399 with an html content type and, if a limit is given, a body
     of at most ``max_bytes`` is indexed; other 2xx/3xx responses are finished without indexing; anything else failed, with

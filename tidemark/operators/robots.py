@@ -10,8 +10,11 @@ A probe (url, agent) uses the rules of every group naming its token, else those
 from the start of path + query, ``*`` is any run of characters and a trailing ``$`` anchors the end; the
 longest pattern wins and allow wins a tie (RFC 9309); no matching rule means allowed. The crawl delay
 is that of the same groups: a specific group wins outright, also when it states no delay. Of several cached
-texts of a domain the latest counts. A domain's rules for one agent are one row with an array, so probes join
-one row each (J9) and the winner is picked inside the row; a domain with very many urls is split like any skewed join.
+texts of a domain the latest counts.
+
+A rule is keyed by its literal prefix, the part before the first ``*``. A probe looks up only those of its own prefixes whose length some rule of
+its group has, by an equi-join (J9), so its work follows the number of distinct lengths and not the number of rules. What is
+left of a pattern is matched piece by piece between its stars, with no regular expression.
 """
 
 from __future__ import annotations
@@ -57,12 +60,25 @@ def rule_tables(robots: DataFrame):
     return agents, rules, delays
 
 
-def pattern_regex(pattern: Column) -> Column:
-    """Robots path pattern -> anchored regex: literal text quoted, '*' any run, trailing '$' the end."""
-    anchored = pattern.endswith("$")
-    core = F.when(anchored, F.left(pattern, F.length(pattern) - 1)).otherwise(pattern)
-    quoted = F.concat(F.lit("^\\Q"), F.replace(core, F.lit("*"), F.lit("\\E.*\\Q")), F.lit("\\E"))
-    return F.when(anchored, F.concat(quoted, F.lit("$"))).otherwise(quoted)
+def literal_prefix(pattern: Column) -> Column:
+    """The part of a pattern before its first '*', without a '$' that ends it."""
+    return F.when(F.contains(pattern, F.lit("*")), F.substring_index(pattern, "*", 1)).otherwise(F.regexp_replace(pattern, r"\$$", ""))
+
+
+def pattern_matches(path: Column, pattern: Column) -> Column:
+    """Whether a path matches a pattern from its start: each piece between stars at its first place after the one before."""
+    anchored = F.endswith(pattern, F.lit("$"))
+    pieces = F.split(F.when(anchored, F.left(pattern, F.length(pattern) - 1)).otherwise(pattern), r"\*", -1)
+    first, last = F.get(pieces, 0), F.element_at(pieces, -1)
+
+    def after(at: Column, piece: Column) -> Column:
+        found = F.position(piece, path, at)
+        return F.when((at == 0) | (F.length(piece) == 0), at).when(found == 0, F.lit(0)).otherwise(found + F.length(piece))
+
+    free = F.when(anchored, F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))).otherwise(F.slice(pieces, F.lit(2), F.size(pieces)))
+    end = F.aggregate(free, F.length(first) + 1, after)
+    closed = F.when(F.size(pieces) == 1, path == first).otherwise(F.endswith(path, last) & (F.length(path) - F.length(last) + 1 >= end))
+    return F.startswith(path, first) & (end > 0) & (~anchored | closed)
 
 
 def url_path_query(url: Column) -> Column:
@@ -70,39 +86,40 @@ def url_path_query(url: Column) -> Column:
     return F.when(F.length(pq) == 0, F.lit("/")).when(pq.startswith("?"), F.concat(F.lit("/"), pq)).otherwise(pq)
 
 
-def group_rows(robots: DataFrame) -> DataFrame:
-    """(domain, agent, rules, delay_sec): one row per domain and named agent, from the domain's latest text."""
+def group_tables(robots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(domain, agent, lengths, delay_sec) per domain and named agent, and its rules (domain, agent, prefix, pattern, allow), from the latest text.
+
+    ``lengths`` are the distinct lengths of the rules' literal prefixes.
+    """
     agents, rules, delays = rule_tables(latest_rules(robots))
     named = agents.select("domain", "agent").distinct()
-    own = rules.join(agents, ["domain", "group_id"]).groupBy("domain", "agent").agg(
-        F.array_sort(F.collect_set(F.struct(F.length("pattern").alias("chars"), "allow", "pattern", pattern_regex(F.col("pattern")).alias("rx")))).alias("rules"))
+    own = rules.join(agents, ["domain", "group_id"]).select("domain", "agent", literal_prefix(F.col("pattern")).alias("prefix"), "pattern", "allow").distinct()
+    lengths = own.groupBy("domain", "agent").agg(F.collect_set(F.length("prefix")).alias("lengths"))
     delay = delays.join(agents, ["domain", "group_id"]).groupBy("domain", "agent").agg(
         F.max_by("delay_sec", "line_no").alias("delay_sec"))
-    return named.join(own, ["domain", "agent"], "left").join(delay, ["domain", "agent"], "left")
-
-
-def _matches(path: Column, rule: Column) -> Column:
-    """Literal prefixes by comparison; a regex only where the pattern has '*' or ends in '$'."""
-    plain = ~F.contains(rule["pattern"], F.lit("*")) & ~F.endswith(rule["pattern"], F.lit("$"))
-    return F.when(plain, F.startswith(path, rule["pattern"])).otherwise(F.rlike(path, rule["rx"]))
+    return named.join(lengths, ["domain", "agent"], "left").join(delay, ["domain", "agent"], "left"), own
 
 
 def check_permission(probes: DataFrame, robots: DataFrame) -> DataFrame:
     """G1: probes (probe_id, url, domain, agent) -> (probe_id, allowed, crawl_delay_ms)."""
-    groups = group_rows(robots)
+    groups, rules = group_tables(robots)
     p = probes.select("probe_id", "domain", agent_token(F.col("agent")).alias("agent"), url_path_query(F.col("url")).alias("path"))
-    star = groups.filter(F.col("agent") == "*").select("domain", F.struct("rules", "delay_sec").alias("star"))
-    own = groups.select("domain", "agent", F.struct("rules", "delay_sec").alias("own"))
+    group = F.struct("agent", "lengths", "delay_sec")
+    star = groups.filter(F.col("agent") == "*").select("domain", group.alias("star"))
+    own = groups.select("domain", "agent", group.alias("own"))
     out = p.join(own, ["domain", "agent"], "left").join(star, "domain", "left")
-    out = out.withColumn("group", F.when(F.col("own").isNotNull(), F.col("own")).otherwise(F.col("star")))
-    hits = F.filter("group.rules", lambda r: _matches(F.col("path"), r))
-    delay = F.col("group.delay_sec")
-    return out.select(
-        "probe_id",
-        # rules are sorted by (length, allow): the last match is the longest, allow before disallow
-        F.coalesce(F.try_element_at(hits, F.lit(-1))["allow"], F.lit(True)).alias("allowed"),
-        F.when(delay > 0, (delay * 1000).cast("long")).alias("crawl_delay_ms"),
-    )
+    out = out.select("probe_id", "domain", "path", F.coalesce("own", "star").alias("group"))
+    fits = F.filter("group.lengths", lambda n: n <= F.length("path"))
+    looked_up = out.select("probe_id", "domain", F.col("group.agent").alias("agent"), "path", "group.delay_sec", F.explode_outer(fits).alias("n"))
+    looked_up = looked_up.withColumn("prefix", F.left("path", F.col("n")))
+    hits = looked_up.join(rules, ["domain", "agent", "prefix"], "left")
+    counts = F.col("pattern").isNotNull() & pattern_matches(F.col("path"), F.col("pattern"))
+    # the longest pattern wins, allow before disallow
+    best = F.max(F.when(counts, F.struct(F.length("pattern").alias("chars"), "allow")))
+    delay = F.max("delay_sec")
+    return hits.groupBy("probe_id").agg(
+        F.coalesce(best["allow"], F.lit(True)).alias("allowed"),
+        F.when(delay > 0, (delay * 1000).cast("long")).alias("crawl_delay_ms"))
 
 
 def latest_rules(robots: DataFrame) -> DataFrame:

@@ -6,10 +6,13 @@ properties (``click 69``); ``purchase`` events bookmark the result ``idx-<floor(
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import enrich, history
+from tidemark.session import ensure_checkpoint_dir
 
 RESTORE_SHIFT_DAYS = 7
 
@@ -82,3 +85,59 @@ def dictionary_table(spark: SparkSession) -> DataFrame:
 def dictionary_cards(spark: SparkSession, events: DataFrame) -> DataFrame:
     queries = events.select(F.col("event_id").alias("query_id"), F.col("event_type").alias("query"))
     return enrich.cards_for_queries(queries, dictionary_table(spark))
+
+
+def user_tables(events: DataFrame) -> dict[str, DataFrame]:
+    """All that a user has: history and bookmarks as above, one settings row a user, a shortcut per sign-up."""
+    user = F.col("user_id").cast("string").alias("user_id")
+    settings = events.groupBy("user_id").agg(F.max("event_type").alias("theme"), F.count(F.lit(1)).alias("results_per_page")).select(user, "theme", "results_per_page")
+    shortcuts = events.filter(F.col("event_type") == "signup").select(
+        user, F.concat(F.lit("s"), F.col("event_id")).alias("shortcut_id"), F.concat(F.lit("https://short.test/"), F.floor("value").cast("long")).alias("url"))
+    return {"settings": settings, "history": history_table(events), "bookmarks": bookmarks_table(events), "shortcuts": shortcuts}
+
+
+def backup_scenario(events: DataFrame) -> DataFrame:
+    """Users whose id ends in 0 restore the next user's whole backup, which went through JSON files; all tables as (kind, user_id, item)."""
+    tables = user_tables(events)
+    targets = tables["settings"].filter(F.col("user_id").endswith("0")).select(
+        "user_id", (F.col("user_id").cast("long") + 1).cast("string").alias("source_user"))
+    path = f"{ensure_checkpoint_dir(events.sparkSession).rstrip('/')}/backup-{uuid.uuid4().hex}"
+    history.export_user_data(tables, path, targets.select(F.col("source_user").alias("user_id")))
+    out = None
+    for kind, table in history.restore_user_data(tables, path, targets).items():
+        item = F.concat_ws("|", *[F.col(c).cast("string") for c in table.columns if c not in ("user_id", "ts")])
+        rows = table.select(F.lit(kind).alias("kind"), "user_id", item.alias("item"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def logged_history(events: DataFrame) -> DataFrame:
+    """H1: the searches arrive as files and are appended by a stream; the log read back."""
+    spark = events.sparkSession
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    rows = history_table(events)
+    rows.repartition(4).write.parquet(f"{root}/arrivals")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/arrivals")
+    stream = history.append_stream(arriving, f"{root}/log", f"{root}/checkpoint")
+    stream.awaitTermination()
+    if stream.exception() is not None:
+        raise RuntimeError(str(stream.exception()))
+    return spark.read.schema(rows.schema).parquet(f"{root}/log").select(*rows.columns)
+
+
+def benchmark_dictionary(benchmark: DataFrame) -> DataFrame:
+    """A dictionary of the benchmark items' first words, as the dictionary API answers: the text's start defines the word."""
+    words = benchmark.select("item_id", "text", F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("word")).filter(F.length("word") > 0)
+    first = words.groupBy("word").agg(F.min(F.struct("item_id", "text")).alias("r"))
+    even = F.pmod("r.item_id", F.lit(2)) == 0
+    entry = F.struct(
+        "word", F.when(even, F.concat(F.lit("/"), F.col("word"), F.lit("/"))).otherwise(F.lit("")).alias("phonetic"),
+        F.array(F.struct(F.lit("").alias("text")), F.struct(F.concat(F.lit("~"), F.col("word")).alias("text"))).alias("phonetics"),
+        F.array(F.struct(F.lit("noun").alias("partOfSpeech"), F.array(F.struct(F.substring("r.text", 1, 60).alias("definition"))).alias("definitions"))).alias("meanings"))
+    return first.select("word", F.to_json(F.array(entry)).alias("entry_json"))
+
+
+def word_cards(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Every document's first word is looked up."""
+    queries = documents.select(F.col("doc_id").alias("query_id"), F.regexp_extract("text", "[A-Za-z]+", 0).alias("query"))
+    return enrich.cards_for_queries(queries, benchmark_dictionary(benchmark))

@@ -360,6 +360,29 @@ def q_seed_queue(spark, sf_dir):
     return fr.seed_queue(pages.select("url"), known, crawl.ts(crawl.AS_OF))
 
 
+def q_seed_files(spark, sf_dir):
+    """SC3: the pages' addresses written as seed files, a JSON array each, read back and queued; every third page is queued already."""
+    import uuid
+
+    from tidemark.operators import frontier as fr
+    from tidemark.session import ensure_checkpoint_dir
+    from tidemark.sources.tables import read_seed_list, write_seed_lists
+
+    crawl, pages, _, queue = _crawl(spark, sf_dir)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/seeds-{uuid.uuid4().hex}"
+    write_seed_lists(pages.select("url"), folder)
+    return fr.seed_queue(read_seed_list(spark, folder).select("url"), queue.filter(F.pmod("id", F.lit(3)) == 0), crawl.ts(crawl.AS_OF))
+
+
+def q_fetch_schedule(spark, sf_dir):
+    """M2: five seconds of polite fetching, a fifth of the pages at most."""
+    from tidemark.operators import frontier as fr
+
+    crawl, _, cp, queue = _crawl(spark, sf_dir)
+    budget = max(1, cp.count() // 5)
+    return fr.fetch_schedule(queue, crawl.domain_stats_table(queue), crawl.ts(crawl.AS_OF), 5000, budget, crawl.MAX_PAGES_PER_DOMAIN)
+
+
 def q_blocked_domains(spark, sf_dir):
     """M4: the domains of every ninth page are blocked."""
     crawl, _, cp, queue = _crawl(spark, sf_dir)
@@ -401,6 +424,34 @@ def q_suggest(spark, sf_dir):
     return history.suggestions(activity.history_table(ev), activity.suggestion_inputs(ev))
 
 
+def q_suggest_indexed(spark, sf_dir):
+    """H3 through trigram postings."""
+    from tidemark.operators import history
+    from tidemark.plans import activity
+
+    ev = _events(spark, sf_dir)
+    h = activity.history_table(ev)
+    return history.indexed_suggestions(h, history.trigram_postings(h), activity.suggestion_inputs(ev))
+
+
+def q_backup_restore(spark, sf_dir):
+    from tidemark.plans import activity
+
+    return activity.backup_scenario(_events(spark, sf_dir))
+
+
+def q_history_log(spark, sf_dir):
+    from tidemark.plans import activity
+
+    return activity.logged_history(_events(spark, sf_dir))
+
+
+def q_word_cards(spark, sf_dir):
+    from tidemark.plans import activity
+
+    return activity.word_cards(_dealt(read_table(spark, sf_dir, "documents", ["doc_id", "text"])), read_table(spark, sf_dir, "benchmark"))
+
+
 def q_result_flags(spark, sf_dir):
     from tidemark.operators import history
     from tidemark.plans import activity
@@ -487,6 +538,12 @@ QUERIES: dict[str, Query] = {
     "segment_search": q_segment_search,
     "segment_deletions": q_segment_deletions,
     "url_hosts": q_url_hosts,
+    "seed_files": q_seed_files,
+    "fetch_schedule": q_fetch_schedule,
+    "suggest_indexed": q_suggest_indexed,
+    "backup_restore": q_backup_restore,
+    "history_log": q_history_log,
+    "word_cards": q_word_cards,
     "seed_queue": q_seed_queue,
     "blocked_domains": q_blocked_domains,
     "history_edit": q_history_edit,

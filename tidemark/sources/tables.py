@@ -26,3 +26,15 @@ def read_seed_list(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True)
     arr = F.from_json(F.col("value"), "array<string>")
     return raw.select(F.posexplode(arr).alias("pos", "url"))
+
+
+#: Addresses of one seed file, about.
+SEEDS_PER_FILE = 10_000
+
+
+def write_seed_lists(seeds: DataFrame, folder: str, per_file: int = SEEDS_PER_FILE) -> None:
+    """Seed files below ``folder``, one JSON array of urls each, for ``read_seed_list``; null urls are left out."""
+    rows = seeds.select("url").filter(F.col("url").isNotNull())
+    files = max(1, -(-rows.count() // per_file))
+    dealt = rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(files)))
+    dealt.groupBy("part").agg(F.to_json(F.collect_list("url")).alias("value")).write.partitionBy("part").text(folder)
