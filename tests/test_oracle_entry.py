@@ -12,7 +12,8 @@ SF_DIR = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parent.parent
 #: Left to TIDEMARK_ALL_ORACLE=1: queries whose plan another one here already runs.
 SLOW = {"doc_lengths", "doc_freq", "stem_vocab", "query_terms", "bm25_uncapped", "page_documents", "page_postings", "source_counts", "reindex_modes", "reindex_postings",
-        "queue_counts", "outcome_domains", "robots_stale", "stream_index", "first_result", "delete_documents", "recrawl_moved_url", "enqueue_new", "fetch_gate"}
+        "queue_counts", "outcome_domains", "robots_stale", "stream_index", "first_result", "delete_documents", "recrawl_moved_url", "enqueue_new", "fetch_gate",
+        "segment_postings", "segment_search", "segment_deletions", "seed_files"}
 
 
 def names():
