@@ -1,7 +1,7 @@
 import pytest
 
 
-@pytest.mark.parametrize("files_per_batch", [1, 2])
+@pytest.mark.parametrize("files_per_batch", [4, 8])
 def test_stream_equals_batch(spark, files_per_batch):
     from tidemark.plans.pages import index_pages
     from tidemark.plans.streaming_run import stream_pages
