@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.staging import staged
+
 TERM_BITS = 18
 FACTORS = 8
 #: Labelled rows that the fit reads at most; a bound of the classifier's sample, never of what is scored.
@@ -114,20 +116,50 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "terms array<bigint>, label double")
 
 
+def _within(hashed: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """``hashed`` with only the terms among ``chosen``."""
+
+    def run(batches):
+        for batch in batches:
+            kept = [np.intersect1d(np.asarray(t, np.int64), chosen) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.int64())), batch.column(1)], ["terms", "label"])
+
+    return hashed.mapInArrow(run, "terms array<bigint>, label double")
+
+
+def selected_terms(hashed: DataFrame) -> DataFrame:
+    """The ``SELECTED`` terms of ``hashed`` (terms, label) with the strongest link to the label, counted by Spark: a column term.
+
+    The rule is that of the fit; without labels of both kinds there are none.
+    """
+    whole = hashed.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("label").alias("pos"))
+    per = hashed.select(F.explode("terms").alias("term"), "label").groupBy("term").agg(
+        F.count(F.lit(1)).cast("double").alias("seen"), F.sum("label").alias("both")).where(F.col("seen") >= _MIN_ROWS)
+    n, pos = whole.select("n").scalar(), whole.select("pos").scalar()
+    per = per.withColumn("expected", F.col("seen") * pos / n)
+    per = per.withColumn("spread", F.col("expected") * (1 - pos / n) * F.greatest(1 - F.col("seen") / n, F.lit(1e-9)))
+    miss = F.col("both") - F.col("expected")
+    per = per.where("spread > 0").withColumn("chi", miss * miss / F.greatest(F.col("spread"), F.lit(1e-9)))
+    return per.where("chi > 0").orderBy(F.col("chi").desc(), "term").limit(SELECTED).select("term")
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Machine:
     """A machine from the labelled rows for which ``learn`` holds, at most ``sample_rows`` of them by a hash of the identifier.
 
     Null labels and labels of unknown documents are left out; a document with several labels counts with each; so do
-    repeated rows of a document.
+    repeated rows of a document. The terms are counted in Spark; the driver gets the selected terms and, of each sampled
+    row, which of these it holds, however long its text is.
     """
-    known = labels.where(F.col(label_col).isNotNull() & learn).select(F.col(id_col), F.col(label_col).cast("double").alias("label"))
+    known = labels.where(F.col(f"`{label_col}`").isNotNull() & learn).select(
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("label"))
     n = known.count()
     chance = min(1.0, sample_rows / n) if n else 1.0
     if chance < 1:
-        known = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("toxic-sample")), F.lit(1 << 30)) < int(chance * (1 << 30)))
-    # the sample's labels are a few hundred kilobytes, whatever the size of the tables
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(known), id_col)
-    table = _hashed(rows.select("text", "label")).toArrow()
+        known = known.where(F.pmod(F.xxhash64("id", F.lit("toxic-sample")), F.lit(1 << 30)) < int(chance * (1 << 30)))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(known, "id")
+    hashed = staged(_hashed(rows.select("text", "label")), "toxic-terms")
+    chosen = np.sort(np.array([r[0] for r in selected_terms(hashed).collect()], np.int64))
+    table = _within(hashed, chosen).toArrow()
     found = [np.asarray(t, np.int64) for t in table["terms"].to_pylist()]
     y = table["label"].to_numpy()
     order = sorted(range(len(y)), key=lambda i: (y[i], found[i].tobytes()))  # arrival order must not matter
@@ -135,7 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id_col``, score, predicted. A null or empty text has no terms and gets the bias's score."""
+    """One row per input row: ``id_col``, score, predicted; other columns are left out, whatever their names, and an empty table gives
+    an empty result. A null or empty text has no terms and gets the bias's score."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
@@ -143,8 +176,8 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
         for batch in batches:
             found = [model.score(terms(t)) for t in batch.column(1).to_pylist()]
             kept = pa.array([int(s >= 0.5) for s in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), kept], [id_col, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), kept], ["id", "score", "predicted"])
 
-    rows = docs.select(F.col(id_col), F.col(text_col))
-    schema = T.StructType([rows.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    schema = T.StructType([rows.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return rows.mapInArrow(run, schema).select(F.col("id").alias(id_col), "score", "predicted")
