@@ -133,15 +133,17 @@ def prototypes(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     """Unit prototype per language from rows for which ``learn`` holds and whose language is known.
 
     About ``sample_rows`` rows of each language, chosen by a hash of the identifier; a language with fewer rows is learned from all.
+    Repeated rows share their draw and each counts.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & learn)
-    share = known.groupBy(lang_col).agg(F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.count("*")).alias("share"))
+    known = docs.where(F.col(f"`{lang_col}`").isNotNull() & learn)
+    known = known.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.count("*")).alias("share"))
     shares = {r[0]: r[1] for r in share.collect()}  # one number a language
     if not shares:
         return {}
-    limit = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col(lang_col))
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("language-sample")), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.where(draw < limit).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
+    draw = F.pmod(F.xxhash64("id", F.lit("language-sample")), F.lit(1 << 30)) / float(1 << 30)
+    rows = known.where(draw < limit).select("lang", "text")
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -169,7 +171,8 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], text_col: str = "t
     """``docs`` (or its columns ``keep``) plus lang_pred, score and, if named, ``grams_col``: the text's number of distinct n-grams.
 
     score is the cosine with the chosen prototype, 0 where it is negative; equal cosines go to the first language by name. A null
-    text, one without a letter, or any text where nothing was learned gets ``und`` and 0. Columns named like these are replaced.
+    text, one without a letter, or any text where nothing was learned gets ``und`` and 0. Columns named like these are replaced. Every row
+    is judged by itself, so repeated rows get equal results.
     """
     names = sorted(learned)
     matrix = np.stack([learned[n] for n in names]).astype(np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
