@@ -33,6 +33,8 @@ BAND_HASHES = 4
 STEP = 16
 BLOCK_NODES = 1024
 BLOCK_SHINGLES = 1 << 20
+#: Parts, by a hash of the node, that a bucket's or a group's members are dealt into where they are joined with its number of blocks.
+PARTS = 16
 
 
 def least_matches(threshold: float, tolerance: float, step: int = STEP, hashes: int = HASHES) -> list[tuple[int, int]]:
@@ -139,13 +141,23 @@ def _verify(table: pa.Table, threshold: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links), pa.array(nodes[ties.roots()])], ["node", "links", "tied"])
 
 
+def _in_parts(sizes: DataFrame) -> DataFrame:
+    """``sizes`` (one narrow row a group) once for every part, so that the members of a large group can meet it in several tasks."""
+    return sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+
+def _part(node: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(node), F.lit("part")), F.lit(PARTS)).cast("int")
+
+
 def _blocks(members: DataFrame, by: str, sizes: DataFrame) -> DataFrame:
     """``members`` (by, node, ...) with block, i and j: one row per pair of blocks that the member takes part in.
 
     ``sizes`` has ``by`` and n_blocks. A group of one block gives one row a member.
     """
     # the same join at every size: a broadcast that only small inputs get would hide what large ones shuffle
-    rows = members.join(sizes.hint("merge"), by).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
+    rows = members.withColumn("part", _part("node")).join(_in_parts(sizes).hint("merge"), [by, "part"]).drop("part")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
     return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("n_blocks", "other")
 
