@@ -3,7 +3,8 @@
 The writer makes one gzip member a record, whose header carries the member's length and the record's length (the "sl"
 extra field of the WARC guidelines). The reader inflates a record's first bytes, parses the headers, tests the pushed
 predicates and goes to the next member; payloads that no one asked for are not inflated. Archives of others without
-that field, and uncompressed ones, are read as well.
+that field, and uncompressed ones, are read as well. An archive is read in ranges of its file: only what is looked at is fetched, and
+a task holds one range and one record of it, however long the archive is.
 """
 
 from __future__ import annotations
@@ -63,16 +64,52 @@ def member(record: bytes, level: int = 1) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 
-def _gzip_head(data: memoryview, at: int) -> tuple[int, int | None]:
-    """Where a member's deflate stream starts, and where the next member does if the header tells."""
-    flags, start, following = data[at + 3], at + 10, None
+class _Ranges:
+    """A file's bytes by slices; holds the last range read, of at least ``least`` bytes, and seeks past what no one asks for."""
+
+    def __init__(self, file, size: int, least: int = 1 << 18):
+        self.file, self.size, self.least = file, size, least
+        self.start, self.held = 0, b""
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, asked: slice) -> bytes:
+        start, stop, _ = asked.indices(self.size)
+        if start >= stop:
+            return b""
+        if start < self.start or stop > self.start + len(self.held):
+            self.held = b""  # never two ranges at once
+            self.file.seek(start)
+            self.start, self.held = start, self.file.read(min(max(stop - start, self.least), self.size - start))
+        if stop - start >= self.least:  # a long range is handed over and not kept
+            out, self.held = self.held[: stop - start], b""
+            return out
+        return self.held[start - self.start : stop - self.start]
+
+
+def _gzip_head(data: bytes, at: int) -> tuple[int, int | None]:
+    """Where the deflate stream of the member at ``at`` starts, and where the next member does if its header tells."""
+    for size in (1 << 10, 1 << 18):  # the header's fields are short, but may be long
+        head = data[at : at + size]
+        try:
+            start, length = _member_head(head)
+        except (IndexError, struct.error):
+            continue
+        return at + start, None if length is None else at + length
+    raise ValueError(f"record at {at} has no complete header")
+
+
+def _member_head(data: bytes) -> tuple[int, int | None]:
+    """Where the deflate stream starts in a member's first bytes, and the member's length if they tell."""
+    flags, start, length = data[3], 10, None
     if flags & 4:
         n = struct.unpack_from("<H", data, start)[0]
         field, end = start + 2, start + 2 + n
         while field + 4 <= end:
-            kind, size = bytes(data[field : field + 2]), struct.unpack_from("<H", data, field + 2)[0]
+            kind, size = data[field : field + 2], struct.unpack_from("<H", data, field + 2)[0]
             if kind == b"sl" and size == 8:
-                following = at + struct.unpack_from("<I", data, field + 4)[0]
+                length = struct.unpack_from("<I", data, field + 4)[0]
             field += 4 + size
         start = end
     for bit in (8, 16):
@@ -80,17 +117,17 @@ def _gzip_head(data: memoryview, at: int) -> tuple[int, int | None]:
             while data[start]:
                 start += 1
             start += 1
-    return start + 2 * bool(flags & 2), following
+    return start + 2 * bool(flags & 2), length
 
 
-def records(data: bytes, wanted, payload: bool = True) -> Iterator[tuple[int, dict[str, str], bytes | None]]:
+def records(data: bytes | _Ranges, wanted, payload: bool = True) -> Iterator[tuple[int, dict[str, str], bytes | None]]:
     """(offset, headers, block or None) of the records that ``wanted(headers)`` accepts; raises on a broken archive."""
-    view, at = memoryview(data), 0
+    at = 0
     while at < len(data):
         if data[at : at + 2] != b"\x1f\x8b":
             yield from _plain_records(data, at, wanted, payload)
             return
-        start, following = _gzip_head(view, at)
+        start, following = _gzip_head(data, at)
         inflate, text, fed = zlib.decompressobj(-15), b"", start
         head = None
         while head is None:  # the headers, a small piece at a time
@@ -126,14 +163,17 @@ def records(data: bytes, wanted, payload: bool = True) -> Iterator[tuple[int, di
         at = following
 
 
-def _plain_records(data: bytes, at: int, wanted, payload: bool) -> Iterator[tuple[int, dict[str, str], bytes | None]]:
+def _plain_records(data: bytes | _Ranges, at: int, wanted, payload: bool) -> Iterator[tuple[int, dict[str, str], bytes | None]]:
     while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+        size, head = _HEAD_BYTES, parse_head(data[at : at + _HEAD_BYTES])
+        while head is None and at + size < len(data):
+            size *= 4
+            head = parse_head(data[at : at + size])
+        if head is None:
             if data[at:].strip():
                 raise ValueError(f"record at {at} has no complete header")
             return
-        fields, block = parse_head(data[at : end + 4])
+        fields, block = head
         size = int(fields.get("content-length", "0"))
         if wanted(fields):
             yield at, fields, data[at + block : at + block + size] if payload else None
@@ -187,16 +227,15 @@ class WarcReader(DataSourceReader):
         system, _ = open_folder(self.folder)
         rows, held = [], 0
         for path in partition.paths:
-            with system.open_input_stream(path, compression=None) as f:
-                data = f.read()
-            for offset, fields, block in records(data, self._wanted, self.payload):
-                payload, length = _http(fields, block)
-                row = {column: fields.get(name) for column, name in _HEADER_OF.items()}
-                rows.append(row | {"http_length": length, "payload": payload, "headers": list(fields.items()), "file": path, "offset": offset})
-                held += len(payload or b"") + 1024
-                if held >= _BATCH_BYTES or len(rows) >= _BATCH_RECORDS:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                    rows, held = [], 0
+            with system.open_input_file(path) as f:
+                for offset, fields, block in records(_Ranges(f, f.size()), self._wanted, self.payload):
+                    payload, length = _http(fields, block)
+                    row = {column: fields.get(name) for column, name in _HEADER_OF.items()}
+                    rows.append(row | {"http_length": length, "payload": payload, "headers": list(fields.items()), "file": path, "offset": offset})
+                    held += len(payload or b"") + 1024
+                    if held >= _BATCH_BYTES or len(rows) >= _BATCH_RECORDS:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                        rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
