@@ -134,3 +134,56 @@ def test_a_chain_of_weak_neighbours_stays_apart(spark, monkeypatch):
     got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.class_id, r.n_links) for r in got} == {
         i: (i - 100 if i >= 100 else i, int(i >= 100 or i % 5 == 0)) for i, _ in rows}
+
+
+def test_a_long_archive_is_read_in_ranges(tmp_path):
+    """200 MB, 64 MB at most held, whether payloads are asked for or not."""
+    import tracemalloc
+
+    from tidemark.llm import warc
+
+    big = b"".join(zlib.crc32(k.to_bytes(4, "big")).to_bytes(4, "big") for k in range(1_000_000))
+    member = warc.member(warc._record("urn:page:1", "http://a", b"\0" * 20, None, big, warc.DATE), level=0)
+    small = warc.member(warc._record("urn:page:2", "http://a", b"\0" * 20, "urn:page:1", b"", warc.DATE))
+    with open(tmp_path / "long.warc.gz", "wb") as f:
+        for _ in range(50):
+            f.write(member + small)
+    del member
+    assert (tmp_path / "long.warc.gz").stat().st_size > 200_000_000
+    for options, n in (({"recordtype": "revisit"}, 50), ({"recordtype": "response", "payload": "false"}, 50), ({}, 100)):
+        reader = warc.WarcReader({"path": str(tmp_path), **options})
+        tracemalloc.start()
+        found = sum(batch.num_rows for part in reader.partitions() for batch in reader.read(part))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == n and peak < 64 << 20, (options, found, peak)
+
+
+def test_ranges_are_the_files_bytes(tmp_path):
+    from pyarrow import fs
+
+    from tidemark.llm.warc import _Ranges
+
+    data = np.random.default_rng(2).bytes(5000)
+    (tmp_path / "x").write_bytes(data)
+    rng = np.random.default_rng(3)
+    with fs.LocalFileSystem().open_input_file(str(tmp_path / "x")) as f:
+        held = _Ranges(f, f.size(), least=64)
+        for _ in range(500):
+            a, n = int(rng.integers(0, 5100)), int(rng.integers(0, 300))
+            assert held[a : a + n] == data[a : a + n]
+        assert held[4990:] == data[4990:] and len(held) == 5000
+
+
+def test_uncompressed_records_with_long_headers(tmp_path):
+    from tidemark.llm import warc
+
+    def record(kind, extra, block):
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\n{extra}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    plain = record("response", "X-Long: " + "y" * 50_000 + "\r\n", b"z" * 300_000) + record("metadata", "", b"tail")
+    (tmp_path / "a.warc").write_bytes(plain)
+    with open(tmp_path / "a.warc", "rb") as f:
+        got = list(warc.records(warc._Ranges(f, len(plain), least=1024), lambda fields: True))
+    assert [(h["warc-type"], len(b)) for _, h, b in got] == [("response", 300_000), ("metadata", 4)]
+    assert got == list(warc.records(plain, lambda fields: True))
