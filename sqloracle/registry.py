@@ -53,6 +53,7 @@ def oracle_statements() -> dict[str, str]:
         "first_result": pg.first_result_sql(),
         "search_response": pg.search_response_sql(),
         "bm25_stored": s.bm25_documents_sql(s.BENCHMARK_QUERIES, None, 20),
+        "bm25_lookup": s.bm25_documents_sql(s.COMMON_WORDS_QUERY, None, 20),
         "recrawl_same_id": pg.recrawl_same_id_sql(),
         "recrawl_moved_url": pg.recrawl_moved_url_sql(),
         "delete_documents": pg.delete_documents_sql(),

@@ -99,6 +99,11 @@ SELECT DISTINCT query_id, term FROM qsel JOIN stems ON qsel.word = stems.word"""
 BENCHMARK_QUERIES = "SELECT item_id AS query_id, text AS qtext FROM benchmark"
 CONVERSATION_QUERIES = "SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS query_id, text AS qtext FROM conversations"
 
+#: One query: the three index words that the most benchmark items hold.
+COMMON_WORDS_QUERY = f"""SELECT 0 AS query_id, string_agg(word, ' ' ORDER BY word) AS qtext FROM (
+  SELECT word FROM (SELECT DISTINCT item_id, unnest({words_of('text')}) AS word FROM benchmark)
+  WHERE {keep_word('word')} GROUP BY word ORDER BY count(*) DESC, word LIMIT 3)"""
+
 
 def bm25_documents_sql(src_sql: str, cap: int | None, limit: int) -> str:
     return f"""WITH {query_word_ctes(src_sql)},
@@ -109,4 +114,4 @@ SELECT * FROM bm25res"""
 
 
 __all__ = ["STOP_SQL", "postings_sql", "doc_lengths_sql", "corpus_stats_sql", "doc_freq_sql", "stem_vocab_sql",
-           "query_terms_sql", "bm25_documents_sql", "BENCHMARK_QUERIES", "CONVERSATION_QUERIES"]
+           "query_terms_sql", "bm25_documents_sql", "BENCHMARK_QUERIES", "COMMON_WORDS_QUERY", "CONVERSATION_QUERIES"]

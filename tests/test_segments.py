@@ -36,6 +36,8 @@ def same_as_rebuilt(spark, store, bodies):
     columns = ["query_id", "rank", "doc_id", "score", "total_hits"]
     assert rows(rank.bm25_search(index, asked, 5), *columns) == rows(rank.bm25_search(whole, asked, 5), *columns)
     assert rows(rank.bm25_search(index, asked, 5, 3), *columns) == rows(rank.bm25_search(whole, asked, 5, 3), *columns)
+    for text in ("alpha beta", "missing", ""):
+        assert rows(rank.search_one(index, text, 5), *columns) == rows(rank.search_one(whole, text, 5), *columns)
     shown = [*columns[:3], "url", "title"]
     assert rows(rank.with_document_fields(rank.bm25_search(index, asked, 5), index), *shown) == \
         rows(rank.with_document_fields(rank.bm25_search(whole, asked, 5), whole.documents), *shown)

@@ -19,7 +19,7 @@ once. Their distinct words, far fewer than their occurrences, are stemmed once e
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +57,21 @@ class Index:
         asked, keys = self._keyed(terms)
         return self.postings.join(asked, keys)
 
+    def narrowed(self, terms: DataFrame) -> Index:
+        """This index with only the rows of ``terms`` (a column term), which are few: those of one query string.
+
+        They reach the scans as literals, so folders, row groups (Bloom filters, smallest and largest term) and pages that hold
+        none of them are left out before a row is read. Spark pushes up to spark.sql.parquet.pushdown.inFilterThreshold
+        terms one by one, more as their range.
+        """
+        asked, keys = self._keyed(terms.select("term").distinct())
+        found = asked.select(*keys).collect()
+        postings, frequencies = self.postings, self.terms
+        for key in keys:
+            values = sorted({r[key] for r in found})
+            postings, frequencies = postings.filter(F.col(key).isin(values)), frequencies.filter(F.col(key).isin(values))
+        return replace(self, postings=postings, terms=frequencies, parts=None)
+
     def documents_of(self, found: DataFrame) -> DataFrame:
         """The display columns of the documents in ``found``, joined to its rows."""
         columns = ["doc_id", "url", "title", "snippet"]

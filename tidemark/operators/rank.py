@@ -126,6 +126,16 @@ def bm25_search(index: Index, queries: DataFrame, limit=DEFAULT_LIMIT,
     )
 
 
+def search_one(index: Index, query: str | None, limit=DEFAULT_LIMIT, query_id: int = 0) -> DataFrame:
+    """``bm25_search`` for one query string. Its terms are looked up first, so that a stored index is read only where they occur.
+
+    The results are those of a batch of one query; a null or blank string gives no rows.
+    """
+    spark = index.postings.sparkSession
+    asked = spark.range(1).select(F.lit(query_id).alias("query_id"), F.lit(query).cast("string").alias("query"))
+    return bm25_search(index.narrowed(query_terms(asked)), asked, limit)
+
+
 def with_document_fields(results: DataFrame, documents: DataFrame | Index) -> DataFrame:
     """Late materialisation (J3 after top-k): url, title, snippet and source for the kept results only.
 

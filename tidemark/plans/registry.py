@@ -197,6 +197,21 @@ def q_bm25_stored(spark, sf_dir):
     return rank.bm25_search(index_store.read_version(spark, root, 1), benchmark_queries(spark, sf_dir), 20)
 
 
+def q_bm25_lookup(spark, sf_dir):
+    """One query string, the three words that most benchmark items hold, on a stored index read only where they occur."""
+    import uuid
+
+    from tidemark.functions.text import index_words
+    from tidemark.session import ensure_checkpoint_dir
+    from tidemark.sources import index_store
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    index_store.write_version(_documents_index(spark, sf_dir), root, 1)
+    words = benchmark_queries(spark, sf_dir).select("query_id", F.explode(index_words(F.col("query"))).alias("word")).distinct()
+    most = words.groupBy("word").count().orderBy(F.col("count").desc(), "word").limit(3).collect()
+    return rank.search_one(index_store.read_version(spark, root, 1), " ".join(r["word"] for r in most), 20)
+
+
 def _reindex(spark, sf_dir):
     from tidemark.plans import maintenance
 
@@ -529,6 +544,7 @@ QUERIES: dict[str, Query] = {
     "first_result": q_first_result,
     "search_response": q_search_response,
     "bm25_stored": q_bm25_stored,
+    "bm25_lookup": q_bm25_lookup,
     "recrawl_same_id": q_recrawl_same_id,
     "recrawl_moved_url": q_recrawl_moved_url,
     "delete_documents": q_delete_documents,

@@ -3,7 +3,7 @@
 Layout under a root folder (HDFS, object store or local):
 
     version=N/documents/doc_bucket=B/    parquet
-    version=N/postings/term_bucket=B/    parquet, sorted by term inside each file
+    version=N/postings/term_bucket=B/    parquet, sorted by term inside each file, Bloom filters of the terms
     version=N/terms/term_bucket=B/       parquet: document frequency of every term
     version=N/stats/                     one-row parquet
     version=N/layout/                    one row: how many buckets of either kind this version has, chosen from its size
@@ -26,6 +26,10 @@ from tidemark.operators.util import bucket, buckets_for, materialize
 #: Rows of one folder: some hundred megabytes of documents, about a gigabyte of postings.
 DOCS_PER_BUCKET = 1 << 21
 POSTINGS_PER_BUCKET = 1 << 26
+#: How files that are looked up by term are written: row groups and pages of bounded rows, and a Bloom filter of each row
+#: group's terms in the size that they need, so that a reader with terms in hand opens little else.
+BY_TERM = {"parquet.bloom.filter.enabled#term": "true", "parquet.bloom.filter.adaptive.enabled": "true",
+           "parquet.block.row.count.limit": str(1 << 18), "parquet.page.row.count.limit": str(1 << 11)}
 
 
 def _with(schema: T.StructType, bucket: str) -> T.StructType:
@@ -53,9 +57,9 @@ def write_version(index: Index, root: str, version: int, documents: DataFrame |
     post = (index.postings if index.parts is None else index.parts).drop("term_bucket")
     post = post.withColumn("term_bucket", bucket(F.col("term"), term_buckets)).repartitionByRange("term_bucket", "term", "doc_id")
     post = post if index.parts is None else added_up(post, "term_bucket")
-    post.sortWithinPartitions("term_bucket", "term", "doc_id").write.mode("overwrite").partitionBy("term_bucket").parquet(f"{base}/postings")
+    post.sortWithinPartitions("term_bucket", "term", "doc_id").write.options(**BY_TERM).mode("overwrite").partitionBy("term_bucket").parquet(f"{base}/postings")
     terms = term_table(spark.read.parquet(f"{base}/postings").select("term", "doc_id")).withColumn("term_bucket", bucket(F.col("term"), term_buckets))
-    terms.repartitionByRange("term_bucket", "term").sortWithinPartitions("term_bucket", "term").write.mode("overwrite").partitionBy("term_bucket").parquet(f"{base}/terms")
+    terms.repartitionByRange("term_bucket", "term").sortWithinPartitions("term_bucket", "term").write.options(**BY_TERM).mode("overwrite").partitionBy("term_bucket").parquet(f"{base}/terms")
     # stats from the documents just written (a narrow column scan), not by re-running the build plan;
     # an index whose stats are maintained by deltas (re-index) writes those instead
     stats = index.stats if documents is not None else corpus_stats(stored)

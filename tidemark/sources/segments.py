@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.index import Index, added_up, build_documents, posting_parts
 from tidemark.operators.util import bucket, buckets_for, materialize
+from tidemark.sources.index_store import BY_TERM
 
 FANIN = 4
 DOCS_PER_BUCKET = 1 << 21
@@ -118,6 +119,19 @@ class SegmentIndex(Index):
     def matches(self, terms: DataFrame) -> DataFrame:
         return self._per_segment("postings", terms, "term", "term_bucket", "term_buckets")
 
+    def narrowed(self, terms: DataFrame) -> Index:
+        """The live rows of a few terms; every segment is read by literal folders and terms, as ``Index.narrowed`` says."""
+        found = terms.select("term", F.xxhash64("term").alias("hash")).where(F.length("term") > 0).distinct().collect()
+        values = sorted(r["term"] for r in found)
+
+        def own(s: Segment, table: str) -> DataFrame:
+            folders = sorted({r["hash"] % s.term_buckets for r in found})
+            return self.store.read(s, table).where(F.col("term_bucket").isin(folders) & F.col("term").isin(values)).drop("term_bucket")
+
+        postings = _union([self._live(s, own(s, "postings")) for s in self.segments] or [self.store.empty("postings").drop("term_bucket")])
+        frequencies = _union([own(s, "terms") for s in self.segments] or [self.store.empty("terms")])
+        return Index(documents=self.documents, postings=postings, stats=self.stats, terms=self._sum(frequencies))
+
     def documents_of(self, found: DataFrame) -> DataFrame:
         rows = self._per_segment("documents", found, "doc_id", "doc_bucket", "doc_buckets")
         return rows.select("doc_id", "url", "title", "snippet", *[c for c in found.columns if c != "doc_id"])
@@ -193,6 +207,7 @@ class SegmentStore:
         files = max(1, -(-n_rows // self.rows_per_file))
         rows = rows.repartitionByRange(files, *order) if files > 1 else rows.coalesce(1) if n_rows < 1000 else rows.repartition(1)
         writer = within(rows).sortWithinPartitions(*order).write.mode("overwrite")
+        writer = writer.options(**BY_TERM) if "term" in order else writer
         writer = writer.partitionBy(order[0]) if order[0].endswith("_bucket") else writer
         writer.parquet(f"{self.root}/segment={number}/{table}")
 
