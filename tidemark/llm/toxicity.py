@@ -119,9 +119,14 @@ def _hashed(rows: DataFrame) -> DataFrame:
 def _within(hashed: DataFrame, chosen: np.ndarray) -> DataFrame:
     """``hashed`` with only the terms among ``chosen``."""
 
+    among = np.zeros(1 << TERM_BITS, bool)
+    among[chosen] = True
+
     def run(batches):
         for batch in batches:
-            kept = [np.intersect1d(np.asarray(t, np.int64), chosen) for t in batch.column(0).to_pylist()]
+            lists = batch.column(0)
+            found = [np.asarray(lists[i].values, np.int64) for i in range(len(lists))]
+            kept = [t[among[t]] for t in found]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.int64())), batch.column(1)], ["terms", "label"])
 
     return hashed.mapInArrow(run, "terms array<bigint>, label double")
