@@ -84,3 +84,16 @@ def test_stored_and_segment_postings_are_the_runs_postings(spark, tmp_path):
         for file in (tmp_path / folder).rglob("*.parquet"):
             found = [(r.term, r.doc_id) for r in spark.read.parquet(str(file)).collect()]
             assert found == sorted(found)
+
+
+def test_tables_by_document_are_written_by_as_many_tasks_as_their_words_need(spark, tmp_path):
+    docs = corpus(spark, [(i, f"https://a.test/{i}", "", " ".join(f"w{i % 5}{j}x" for j in range(10))) for i in range(40)])
+    store = SegmentStore(spark, str(tmp_path), rows_per_file=100)
+    store.apply(docs, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), "one")
+    files = {t: [spark.read.parquet(str(f)).count() for f in (tmp_path / "segment=0" / t).rglob("*.parquet")] for t in ("terms_of", "documents", "postings")}
+    # 400 postings of 40 documents: four files of either kind, not one with the terms of all documents
+    assert len(files["terms_of"]) >= 3 and max(files["terms_of"]) <= 20
+    assert len(files["documents"]) >= 5 and len(files["postings"]) >= 3
+    assert sum(files["terms_of"]) == sum(files["documents"]) == 40 and sum(files["postings"]) == 400
+    assert {r.doc_id: sorted(r.terms) for r in store.read(store.segments()[0], "terms_of").collect()} == {
+        i: sorted(f"w{i % 5}{j}x" for j in range(10)) for i in range(40)}
