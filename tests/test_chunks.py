@@ -69,3 +69,43 @@ def test_chunks_out_of_order_are_refused(spark, tmp_path):
             list(blocks._held(files, pa.array(["a"]), np.array([1.0]), None, 10))
     finally:
         blocks.READ_ROWS = before
+
+
+def met(queries, limit, *chunks):
+    """(doc_id, score, hits) by query, of chunks of (key, doc_id, score), each met as a block of its own or, in a list, with others."""
+    rows = [(q, k) for q, keys in queries.items() for k in keys]
+    block = blocks._Queries(pa.table({"query_id": [r[0] for r in rows], "key": [r[1] for r in rows], "weight": [1.0] * len(rows)}), limit)
+    place = {k: i for i, k in enumerate(block.keys.to_pylist())}
+    for held in chunks:
+        kept = [[p for p in chunk if p[0] in place] for chunk in held]
+        parts = [(np.array([place[k] for k, *_ in c], np.int32), np.array([x for *_, x in c]), pa.array([d for _, d, _ in c], pa.int64())) for c in kept if c]
+        block.meet(blocks._Documents([blocks._one_chunk([p]) for p in parts], block))
+    out = {}
+    for r in block.best().to_pylist():
+        out.setdefault(r["query_id"], []).append((r["doc_id"], round(r["score"], 9), r["part_hits"]))
+    return out
+
+
+def test_a_better_first_chunk_leaves_room_for_the_next():
+    later = [(0, i, 1.0 + i / 100) for i in range(20)]
+    assert met({"q": [0]}, 3, [[(0, 99, 9.0)]], [later]) == {"q": [(99, 9.0, 21), (19, 1.19, 21), (18, 1.18, 21)]}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bounds_by_units_lose_nothing(seed):
+    """Against plain sums: ties, a null id, terms of all documents, queries of one term and of most terms."""
+    rng = np.random.default_rng(seed)
+    ids = [None, *rng.permutation(5000)[:799].tolist()]
+    rng.shuffle(ids)
+    ends = [0, 3, 150, 400, 800]
+    postings = [[(k, d, float(x)) for d in ids[a:b] for k in np.flatnonzero(rng.random(200) < np.linspace(0.001, 0.9, 200)).tolist()
+                 for x in [rng.choice([0.5, 1.25, 2.0]) if k % 2 else rng.random() * 20]] for a, b in zip(ends, ends[1:], strict=False)]
+    queries = {i: rng.choice(200, n, replace=False).tolist() for i, n in enumerate([1, 1, 2, 3, 5, 8, 20, 60, 150, 199] * 3)}
+    got = met(queries, 6, postings[:1], postings[1:2], postings[2:])
+    for q, keys in queries.items():
+        sums, asked = {}, set(keys)
+        for k, d, x in (p for chunk in postings for p in chunk if p[0] in asked):
+            sums[d] = sums.get(d, 0) + x
+        want = sorted(sums, key=lambda d: (-round(sums[d], 9), d is not None, d or 0))[:6]
+        assert [d for d, *_ in got.get(q, [])] == want, q
+        assert all(abs(x - sums[d]) < 1e-8 and n == len(sums) for d, x, n in got.get(q, []))

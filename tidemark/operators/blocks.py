@@ -87,7 +87,7 @@ def _held(files: list[str], keys, weights, avg_safe: float | None, held_postings
             file = pq.ParquetFile(source)
             key = next(c for c in file.schema_arrow.names if c in ("term", "number"))
             for batch in file.iter_batches(READ_ROWS, columns=["chunk", key, "doc_ids", *values]):
-                at = pc.index_in(batch.column(key), value_set=keys)
+                at = pc.index_in(batch.column(key), value_set=keys.cast(batch.column(key).type))
                 # rows of documents have no chunk
                 rows = pa.table([at, *[batch.column(c) for c in ("chunk", "doc_ids", *values)]], ["at", "chunk", "doc_ids", *values])
                 rows = rows.filter(pc.and_(pc.is_valid(at), pc.is_valid(batch.column("chunk"))))
@@ -261,7 +261,8 @@ class _Queries:
         import numpy as np
 
         found, limit, least = self.found[i], self.limit, 1.0
-        if found and len(found[0]) == limit:
+        full = found is not None and len(found[0]) == limit
+        if full:
             least = (found[0][-1] - 1e-8) / block.unit - 1
         elif hits > limit:
             least = float(np.partition(units, block.n - limit)[block.n - limit]) - len(terms) - 1
@@ -269,7 +270,7 @@ class _Queries:
         if not len(some):
             return
         scores = block.exact(terms, some)
-        if least > 1 and found:
+        if full:
             above = scores >= found[0][-1] - 1e-8
             some, scores = some[above], scores[above]
             if not len(some):
